@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import decontaminate
+from .language_id import identify, is_held_out
 from .packing import pack
 from .simhash import near_duplicates
 from .token_count import count_tokens
@@ -32,11 +33,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", is_held_out("doc_id", 3, 1))
+    return identify(docs, docs.where("not held_out"), keep=("held_out",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
