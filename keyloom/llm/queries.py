@@ -12,6 +12,7 @@ from .common import read_table
 from .decontaminate import decontaminate
 from .language_id import identify, is_held_out
 from .packing import pack
+from .ppm import score_texts
 from .simhash import near_duplicates
 from .token_count import count_tokens
 
@@ -25,6 +26,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return score_texts(docs.withColumn("train", ~is_held_out("doc_id", 7, 2)), "train")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -41,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_ppm_scoring": op5_ppm_scoring,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op10_language_id": op10_language_id,
