@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -86,6 +88,13 @@ class Scratch:
                 _delete(self.spark, f)
 
 
+def release() -> None:
+    """Hands free memory of this worker back to the system; allocators keep it for a next time that is another task's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def rechunk(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Joins small batches until they hold about ``size`` bytes, so that vector code has enough to do."""
     held, n = [], 0
@@ -96,8 +105,11 @@ def rechunk(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Itera
         if n >= size:
             yield _joined(held)
             held, n = [], 0
+            release()
     if held:
         yield _joined(held)
+        held = []
+    release()
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, bound_batches, partitions_for, rechunk
+from .common import BATCH_BYTES, bound_batches, partitions_for, rechunk, release
 from .textvec import LOWER, SPACES, U, mix, ragged_sum, span_hashes, texts, words
 
 #: Bytes of text in a block, and symbols whose n-grams are made at once.
-BLOCK, SLICE = 16 << 20, 1 << 21
+BLOCK, SLICE = 16 << 20, 1 << 20
 END, SYMBOLS, BITS = 256, 257, 9
 TEXT, GRAMS, WORDS = 0, 1, 2
 
@@ -114,12 +114,14 @@ def make_blocks(docs: DataFrame, order: int, key: str, text: str, train: str, lo
             for a, code in slices(s, soff, order):
                 d, i = _encode(code)
                 grams[0].append(d)
-                grams[1].append(np.bincount(i[learn[a : a + len(code)]], minlength=len(d)))
+                grams[1].append(np.bincount(i[learn[a : a + len(code)]], minlength=len(d)).astype(np.int32))
             if with_words:
                 h, woff = word_hashes(data, off)
                 d, i = _encode(h)
                 tokens[0].append(d)
-                tokens[1].append(np.bincount(i[np.repeat(flags, np.diff(woff))], minlength=len(d)))
+                tokens[1].append(np.bincount(i[np.repeat(flags, np.diff(woff))], minlength=len(d)).astype(np.int32))
+                tokens = tuple([x] for x in _summed(*tokens))
+            grams = tuple([x] for x in _summed(*grams))
             size += len(data)
             if size >= BLOCK:
                 yield rows(block, GRAMS, *grams, key_type)
@@ -209,6 +211,8 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, order: int, score: Calla
                 x = grams[code]
                 total += ragged_sum(x, np.clip(soff - a, 0, len(code)))
             parts.append(pa.table([pa.array(r["keys"], t.schema.field("keys").type.value_type), pa.array(r["flags"], pa.bool_()), pa.array(n + 1), pa.array(total), *map(pa.array, score(data, off, tokens))], names=names))
+        grams = tokens = None
+        release()
         return pa.concat_tables(parts)
 
     left = blocks.where(F.col("kind") == TEXT).select("block", "keys", "flags", "lens", "payload").groupBy("block")

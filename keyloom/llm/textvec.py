@@ -7,7 +7,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes hashed at once; bounds the memory of prefix sums.
-SPAN = 4 << 20
+SPAN = 1 << 20
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
