@@ -12,6 +12,7 @@ from .common import read_table
 from .decontaminate import decontaminate
 from .kneser_ney import quality
 from .language_id import identify, is_held_out
+from .lsh_forest import nearest
 from .packing import pack
 from .ppm import score_texts
 from .simhash import near_duplicates
@@ -44,6 +45,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", is_held_out("doc_id", 3, 1))
     return identify(docs, docs.where("not held_out"), keep=("held_out",))
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
+    "op9_hash_prefix_forest": op9_hash_prefix_forest,
     "op10_language_id": op10_language_id,
 }
 
