@@ -17,6 +17,11 @@ from .packing import pack
 from .ppm import score_texts
 from .simhash import near_duplicates
 from .token_count import count_tokens
+from .warc import round_trip
+
+
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_bundles": op1_warc_bundles,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ppm_scoring": op5_ppm_scoring,
