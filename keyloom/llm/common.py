@@ -70,7 +70,14 @@ class Scratch:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
     def _write(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(path)
+        # once the table is written, nothing reads the shuffle files that led to it
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:

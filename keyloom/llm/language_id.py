@@ -142,12 +142,13 @@ def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str =
     """key, the columns of keep, lang_pred, score (cosine, 0 to 1) and rejected of each row of docs; learns from all rows of train."""
     bound_batches(docs.sparkSession)
     idf, names, centroids, radii = fit(train, key, text, lang)
-    first = [key, *keep]
+    first = [key, *(c for c in keep if c != key)]
+    at_text = first.index(text) if text in first else len(first)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in first) + ", lang_pred string, score double, rejected boolean"
 
     def run(batches):
         for b in rechunk(batches):
-            column, pred, score, rejected = b.column(len(first)), [], [], []
+            column, pred, score, rejected = b.column(at_text), [], [], []
             at = 0
             for x, letters in vectors(column, idf):
                 cos = x @ centroids.T if names else np.zeros((len(x), 1))
@@ -163,4 +164,4 @@ def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str =
                 at += len(x)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(first)], pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)], names=[*first, "lang_pred", "score", "rejected"])
 
-    return docs.select(*first, text).mapInArrow(run, schema)
+    return docs.select(*first, *([] if text in first else [text])).mapInArrow(run, schema)
