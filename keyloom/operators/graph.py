@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and read from the shared folder from here on."""
+    _checkpointed(df.sparkSession)
+    return df.checkpoint()
+
+
 def _checkpointed(spark: SparkSession) -> None:
     """A checkpoint folder: the session's setting, or one of our own where it is unset (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:

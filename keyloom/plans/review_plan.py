@@ -13,6 +13,7 @@ from ..functions.text import fuzzy_trigger, is_guide
 from ..operators import glossary as g
 from ..operators import routing, terms, verdicts
 from ..operators.fuzzy import fuzzy_search
+from ..operators.graph import cut
 from ..operators.review import Call, review, without_review
 
 def header():
@@ -34,18 +35,21 @@ class Reviewed:
 def mine_glossary(entries: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Buckets, and the glossary (norm, en, zh) of entries (key, en, zh, pos); guide pages are left out."""
     rows = entries.where(~is_guide(F.col("key")))
-    buckets = terms.bucket_terms(terms.extract_all(rows.select("key", F.col("en").alias("value"), "pos"), settings=settings), settings)
-    return buckets, g.resolve_conflicts(g.build_glossary(buckets, rows, settings), buckets, rows, settings)
+    buckets = cut(terms.bucket_terms(terms.extract_all(rows.select("key", F.col("en").alias("value"), "pos"), settings=settings), settings))
+    first = cut(g.build_glossary(buckets, rows, settings))
+    return buckets, cut(g.resolve_conflicts(first, buckets, rows, settings))
 
 
 def run_review(entries: DataFrame, call: Call | None = None, settings: Settings = DEFAULTS) -> Reviewed:
     """entries: key, en, zh, namespace, pos. Without a callable, equal texts become REVIEW rows and the rules' verdicts stand."""
     buckets, glossary = mine_glossary(entries, settings)
     with_variants = glossary.join(buckets.select("norm", "variants"), "norm").select(F.col("en").alias("term"), "variants", F.col("zh").alias("std_zh"))
-    fmt = check_entries(entries, settings)
-    term = g.check_consistency(entries.select("key", "en", "zh"), with_variants)
+    # what several steps read is computed once
+    fmt = cut(check_entries(entries, settings))
+    term = cut(g.check_consistency(entries.select("key", "en", "zh"), with_variants))
     flagged = fmt.select("key").unionByName(term.select("key"))
     routed = routing.split_untranslated(routing.route(entries.select("key", "en", "zh"), flagged, glossary.select("en", "zh"), settings), fmt)
+    routed = cut(routed)
     if call is None:
         asked = without_review(routed)
     else:
@@ -57,7 +61,7 @@ def run_review(entries: DataFrame, call: Call | None = None, settings: Settings
         asked = review(routing.prompts(blocks, header(), settings), call, settings=settings)
         same = routing.entry_blocks(routed.where("queue = 'untranslated'").select("key", "en", "zh"))
         asked = asked.unionByName(review(routing.prompts(same, header(), settings), call, "untranslated_review", settings))
-    merged = verdicts.merge_verdicts(verdicts.union_verdicts(fmt, term, asked))
+    merged = cut(verdicts.merge_verdicts(verdicts.union_verdicts(fmt, term, asked)))
     return Reviewed(glossary, fmt, term, routed, merged, verdicts.review_stats(entries, merged), verdicts.namespace_report(merged, entries))
 
 

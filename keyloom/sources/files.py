@@ -111,9 +111,12 @@ def read_map(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
     return map_rows(files, kind, keep=("path",))
 
 
-def read_guides(spark: SparkSession, path: str) -> DataFrame:
-    """path, key, lang, value: each guide page below a folder as one value."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
+def read_guides(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, key, lang, value: each guide page, or each below a folder, as one value.
+
+    Spark doesn't list folders whose names begin with an underscore, so those of translations are named themselves.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(list(paths), wholetext=True)
     rows = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"(projects/.*)$", 1).alias("path"), "value").where(F.col("path").rlike(GUIDE_PATH))
     g = lambda i: F.regexp_extract("path", GUIDE_PATH, i)
     return rows.select("path", F.concat(F.lit("ae2guide:"), g(7)).alias("key"), F.when(g(6) != "", "zh_cn").otherwise("en_us").alias("lang"), "value")
