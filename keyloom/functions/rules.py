@@ -27,6 +27,18 @@ def verdict(name: str, reason: Column, source: str = "format_check", suggestion:
     return F.struct(F.col("key").alias("key"), F.col("en").alias("en_current"), F.col("zh").alias("zh_current"), F.lit(name).alias("verdict"), (suggestion if suggestion is not None else F.lit("")).alias("suggestion"), reason.alias("reason"), F.lit(source).alias("source"))
 
 
+#: What several places of the rules read of each text; found once, in columns of their own.
+FOUND = {
+    "printf": t.printf_items, "percent": lambda c: t.all_matches(c, t.PERCENT_NAME), "brace": lambda c: t.all_matches(c, t.BRACE_NAME, 1), "color": lambda c: t.all_matches(c, t.COLOR), "alt": lambda c: t.all_matches(c, t.ALT_COLOR),
+    "action": lambda c: t.all_matches(c, t.ACTION), "tag": lambda c: t.all_matches(c, t.TAG), "break": lambda c: F.regexp_count(c, F.lit(t.BREAK)), "newline": lambda c: F.regexp_count(c, F.lit(t.NEWLINE)), "unit": lambda c: t.all_matches(c, t.UNIT, 1),
+}
+
+
+def found(name: str) -> tuple[Column, Column]:
+    """What FOUND has of the source and of the target text."""
+    return F.col(f"_{name}_en"), F.col(f"_{name}_zh")
+
+
 def _joined(issues: list[Column]) -> Column:
     """The issues that aren't null, joined; null if there are none."""
     found = F.array_compact(F.array(*issues))
@@ -39,8 +51,9 @@ def _text(*parts) -> Column:
 
 def empty_or_same(s: Settings = DEFAULTS) -> Column:
     head = F.substring(F.col("en"), 1, s.preview)
+    # the cheap tests first
     open_ = (F.col("en") != "") & ~t.music_disc(F.col("key")) & ~t.code_like(F.col("en"))
-    return F.when(open_ & (F.col("zh") == ""), verdict(FAIL, _text("翻译为空，原文'", head, "'未翻译"))).when(open_ & (F.col("en") == F.col("zh")), verdict(FAIL, _text("值相同（'", head, "'），疑似未翻译")))
+    return F.when((F.col("zh") == "") & open_, verdict(FAIL, _text("翻译为空，原文'", head, "'未翻译"))).when((F.col("en") == F.col("zh")) & open_, verdict(FAIL, _text("值相同（'", head, "'），疑似未翻译")))
 
 
 def disc_translated(s: Settings = DEFAULTS) -> Column:
@@ -55,24 +68,24 @@ def _differences(en: Column, zh: Column, name: str, shape=lambda x: x) -> list[C
 
 def placeholders(s: Settings = DEFAULTS) -> Column:
     issues = [
-        *_differences(t.printf_items(F.col("en")), t.printf_items(F.col("zh")), "占位符"),
-        *_differences(t.all_matches(F.col("en"), t.PERCENT_NAME), t.all_matches(F.col("zh"), t.PERCENT_NAME), "变量"),
-        *_differences(t.all_matches(F.col("en"), t.BRACE_NAME, 1), t.all_matches(F.col("zh"), t.BRACE_NAME, 1), "变量", lambda x: F.concat(F.lit("{"), x, F.lit("}"))),
+        *_differences(*found("printf"), "占位符"),
+        *_differences(*found("percent"), "变量"),
+        *_differences(*found("brace"), "变量", lambda x: F.concat(F.lit("{"), x, F.lit("}"))),
     ]
-    found = _joined(issues)
-    return F.when(found.isNotNull(), verdict(FAIL, _text("占位符不一致: ", found)))
+    why = _joined(issues)
+    return F.when(why.isNotNull(), verdict(FAIL, _text("占位符不一致: ", why)))
 
 
 def special_tags(s: Settings = DEFAULTS) -> Column:
     issues = []
-    for pattern, name in ((t.COLOR, "§颜色码"), (t.ALT_COLOR, "&颜色码"), (t.ACTION, "$(action)占位符"), (t.TAG, "HTML标签")):
-        en, zh = t.all_matches(F.col("en"), pattern), t.all_matches(F.col("zh"), pattern)
+    for kind, name in (("color", "§颜色码"), ("alt", "&颜色码"), ("action", "$(action)占位符"), ("tag", "HTML标签")):
+        en, zh = found(kind)
         issues.append(F.when(~t.same_items(en, zh), _text(f"{name}不一致: EN有", F.size(en), "个, ZH有", F.size(zh), "个")))
-    for pattern, name in ((t.BREAK, "<br>数量"), (t.NEWLINE, "换行符数量")):
-        en, zh = F.regexp_count(F.col("en"), F.lit(pattern)), F.regexp_count(F.col("zh"), F.lit(pattern))
+    for kind, name in (("break", "<br>数量"), ("newline", "换行符数量")):
+        en, zh = found(kind)
         issues.append(F.when(en != zh, _text(f"{name}不一致: EN=", en, ", ZH=", zh)))
-    found = _joined(issues)
-    return F.when(found.isNotNull(), verdict(FAIL, _text("格式标签不一致: ", found)))
+    why = _joined(issues)
+    return F.when(why.isNotNull(), verdict(FAIL, _text("格式标签不一致: ", why)))
 
 
 def _json_differences(a, b, path: str = "") -> list[str]:
@@ -119,8 +132,8 @@ def punctuation(s: Settings = DEFAULTS) -> Column:
     n, m = F.regexp_count(F.col("zh"), F.lit(MARK_SPACE)), F.regexp_count(F.col("zh"), F.lit(WORD_SPACE))
     free = t.any_of([F.col("key").startswith(p) for p in s.spacing_whitelist])
     issues += [F.when(n > 0, _text("中文与中文标点间有不必要空格（", n, "处）")), F.when((m > 0) & ~free, _text("中英文间有不必要空格（", m, "处）"))]
-    found = _joined(issues)
-    return F.when(t.has_han(F.col("zh")) & found.isNotNull(), verdict(SUGGEST, _text("标点规范: ", found)))
+    why = _joined(issues)
+    return F.when(t.has_han(F.col("zh")) & why.isNotNull(), verdict(SUGGEST, _text("标点规范: ", why)))
 
 
 def trailing_space(s: Settings = DEFAULTS) -> Column:
@@ -128,7 +141,7 @@ def trailing_space(s: Settings = DEFAULTS) -> Column:
 
 
 def energy_units(s: Settings = DEFAULTS) -> Column:
-    en, zh = t.all_matches(F.col("en"), t.UNIT, 1), t.all_matches(F.col("zh"), t.UNIT, 1)
+    en, zh = found("unit")
     missing = F.array_join(F.filter(en, lambda u: ~F.array_contains(zh, u)), ", ")
     return F.when((F.size(en) > 0) & ~t.same_items(en, zh), verdict(FAIL, _text("能量/体积单位不应翻译，缺少: ", missing)))
 
@@ -158,10 +171,11 @@ def check_entries(entries: DataFrame, settings: Settings = DEFAULTS, rules: dict
     Null texts count as empty.
     """
     rows = entries.withColumns({"en": F.coalesce(F.col("en"), F.lit("")), "zh": F.coalesce(F.col("zh"), F.lit(""))})
-    found = [f(settings) for f in (rules or RULES).values()]
+    rows = rows.withColumns({f"_{name}_{c}": f(F.col(c)) for name, f in FOUND.items() for c in ("en", "zh")})
+    checks = [f(settings) for f in (rules or RULES).values()]
     if with_tellraw and rules is None:
         may = t.strip(F.col("en")).rlike(t.TELLRAW) & t.strip(F.col("zh")).rlike(t.TELLRAW)
         rows = rows.withColumn("tellraw_differences", F.when(may, F.pandas_udf(tellraw_differences, "string")(F.when(may, F.col("en")), F.when(may, F.col("zh")))))
-        found.insert(TELLRAW_AT, tellraw(F.col("tellraw_differences"), settings))
+        checks.insert(TELLRAW_AT, tellraw(F.col("tellraw_differences"), settings))
     keep = [c for c in ("pos", "namespace") if c in entries.columns]
-    return rows.select(*keep, F.posexplode(F.array(*found)).alias("seq", "v")).where("v is not null").select(*keep, "seq", "v.*")
+    return rows.select(*keep, F.posexplode(F.array(*checks)).alias("seq", "v")).where("v is not null").select(*keep, "seq", "v.*")

@@ -24,7 +24,7 @@ NEWLINE = r"\\n|\n"
 UNIT = r"(?<![A-Za-z0-9_])(FE|RF|MB|EU|AE|kJ|kW|kRF)(?![A-Za-z0-9_])"
 HAN = "[\u4e00-\u9fff\u3400-\u4dbf]"
 TELLRAW = r'^(?U:\s)*\{[^}]*"text"(?U:\s)*:'
-CODE_LIKE = ("^[A-Z_]+$", "^(?U:[0-9])+$", "^[A-Za-z0-9_.-]+$", "^§[0-9a-fA-F].*", "^%[a-zA-Z0-9_.$]*$", r"^\{[^{}]*\}$", r"^%[A-Za-z_](?U:\w)*%$")
+CODE_LIKE = r"(?U)^\s*(?:§[0-9a-fA-F]|(?:[A-Z_]+|[0-9]+|[A-Za-z0-9_.-]+|%[a-zA-Z0-9_.$]*|\{[^{}]*\}|%[A-Za-z_]\w*%)\s*$)"
 KEYBOARD = r"(?iU)\b(Shift|Ctrl|Alt|Tab)\b"
 MOUSE = (
     r"(?iU)\b(?:left\s*click|right\s*click|left[- ]?mouse|right[- ]?mouse|mouse\s*button|scroll\s*wheel|drag|double[-\s]?click|"
@@ -59,8 +59,7 @@ def has_han(text: Column) -> Column:
 
 def code_like(text: Column) -> Column:
     """Whether a text is code, a number, a lone placeholder or one ASCII word, and so needs no translation."""
-    t = strip(text)
-    return any_of([t.rlike(p) for p in CODE_LIKE])
+    return text.rlike(CODE_LIKE)
 
 
 def music_disc(key: Column) -> Column:
