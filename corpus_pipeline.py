@@ -21,8 +21,8 @@ from keyloom.llm.common import Scratch, read_table
 from keyloom.llm.decontaminate import decontaminate
 from keyloom.llm.kneser_ney import quality
 from keyloom.llm.language_id import identify
+from keyloom.llm.near_copies import near_copies
 from keyloom.llm.packing import pack
-from keyloom.llm.simhash import near_duplicates
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near-duplicates."""
-    return _kept(docs, near_duplicates(docs).select("doc_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("keep")))
+    """One document, that with the smallest doc_id, of each group of copies and of texts at 0.8 or more in shingles of five words."""
+    return _kept(docs, near_copies(docs).select("doc_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("keep")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
