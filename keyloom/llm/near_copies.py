@@ -26,7 +26,7 @@ from .simhash import _masks, fingerprints_of
 from .textvec import LOWER, SPACES, U, mix, spaced, texts, words, xxh64
 
 #: Fingerprints of a text, bits within which two of them meet, and bits by which the pair may differ on average over all.
-SEEDS, RADIUS, SPREAD = 6, 2, 7
+SEEDS, RADIUS, SPREAD = 4, 2, 7
 SHINGLE, LEAST = 5, 0.8
 _ODD = [U((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(16)]
 
@@ -93,10 +93,17 @@ def candidates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     # texts that can't be told apart by a fingerprint and its min-hash are led by one of them, counted by each task first
     lead = scratch.table(rows.groupBy("k", "fp", "m").agg(F.min("same").alias("lead")), "leads")
     led = rows.join(lead, ["k", "fp", "m"]).where("same <> lead").select(F.col("same").alias("a"), F.col("lead").alias("b"))
-    ball = lead.select("k", "m", "lead", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in _masks(RADIUS // 2)])).alias("variant"))
-    w = Window.partitionBy("k", "variant").orderBy("m", "lead")
-    met = ball.select("lead", F.array(F.lag("lead", 1).over(w), F.lag("lead", 2).over(w)).alias("before")).where("before[0] is not null")
-    met = met.select(F.col("lead").alias("a"), F.explode("before").alias("b")).where("b is not null and a <> b")
+    # what is shuffled 65 times is two numbers: the variant, told apart by its seed, and a mark that orders by the
+    # min-hash and names the leading text
+    mark = F.col("m").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.xxhash64("k", "m", "lead").bitwiseAND(F.lit((1 << 32) - 1)))
+    lead = scratch.table(lead.withColumn("mark", mark), "marks")
+    salted = F.col("fp").bitwiseXOR(F.xxhash64("k"))
+    ball = lead.select("mark", F.explode(F.array(*[salted.bitwiseXOR(F.lit(x)) for x in _masks(RADIUS // 2)])).alias("variant"))
+    w = Window.partitionBy("variant").orderBy("mark")
+    met = ball.select("mark", F.array(F.lag("mark", 1).over(w), F.lag("mark", 2).over(w)).alias("before")).where("before[0] is not null")
+    met = scratch.table(met.select("mark", F.explode("before").alias("other")).where("other is not null").distinct(), "met")
+    name = lead.select("mark", F.col("lead").alias("a"))
+    met = met.join(name, "mark").join(name.select(F.col("mark").alias("other"), F.col("a").alias("b")), "other").where("a <> b").select("a", "b")
     pairs = scratch.table(led.unionByName(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     side = lambda c: distinct.select(F.col("same").alias(c), F.col("fps").alias(f"fps_{c}"))
     bits = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
