@@ -36,10 +36,7 @@ class Ids:
     """Token ids as the tokenizers library gives them; texts without special strings go through tiktoken's faster code over the same ranks."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         self.fast, ranks = None, path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -51,6 +48,11 @@ class Ids:
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or "<|" in text:
+            if self.slow is None:  # most workers never need it
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
