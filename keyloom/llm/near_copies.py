@@ -1,11 +1,13 @@
-"""Near copies by word shingles and Jaccard similarity, with SimHash ball hashing to find the candidates.
+"""Near copies by word shingles and Jaccard similarity, with a prefix filter to find the candidates.
 
-One fingerprint of shingles finds only copies that are almost whole. Here each distinct text has SEEDS
-fingerprints of its single words, which a few changed words hardly move, and each of them emits all
-variants within half the radius, as in ball hashing. Texts that meet at a variant are put in order by a
-min-hash of their shingles, which brings similar ones together, and each is paired with the two before it;
-so pairs grow with the rows and not with their square. Pairs are then verified: first by more
-min-hashes, then by the exact similarity of their sets of shingles.
+The distinct shingles of each text are put in one order that all texts share. Two texts of similarity t share one of the
+first n - ceil(t n) + 1 shingles of each, whatever was changed, cut or added; so these prefixes are what is shuffled. The order
+puts shingles last that are common in a sample of the texts: that makes groups small and changes no result. Texts that meet at
+a shingle are put in order by a min-hash, which brings similar ones together, and each is paired with the one before it; what
+this links is a component, and then all texts that meet and are still in different components are paired. So a large group of
+copies costs its rows and not their square, and no pair that could join two components is left out. Pairs
+are verified: first by an upper bound of the similarity from a bitmap of parities, which loses none, then by the
+exact similarity of their sets of shingles.
 
 Copies that differ in case of A-Z or in white space only are one text. A text of fewer words than a
 shingle has is one shingle; texts without words are copies of each other; null counts as empty; rows with
@@ -17,19 +19,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, rechunk
 from .components import components
-from .simhash import _masks, fingerprints_of
 from .textvec import LOWER, SPACES, U, mix, spaced, texts, words, xxh64
 
-#: Fingerprints of a text, and bits within which two of them meet; min-hashes, and how many a pair has to share before its
-#: sets are compared (at a similarity of 0.8 fewer are shared by 1.5 pairs in 1000).
-SEEDS, RADIUS = 4, 2
-MINS, SHARED = 16, 8
 SHINGLE, LEAST = 5, 0.8
+#: Texts that are looked at for common shingles, and most of those that are put last: these set the order only.
+SAMPLE, COMMON = 5_000, 200_000
+#: Longs of the bitmap of parities; min-hashes that texts at a shingle are ordered by.
+BITMAP, ORDERS = 8, 2
 _ODD = [U((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(16)]
 
 
@@ -54,25 +55,68 @@ def _hashed(column: pa.Array, shingle: int):
     return h, woff, whole, g, soff
 
 
-def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """key, same (a hash of the text's words), fps and mins (arrays of SEEDS and MINS) of each row; one pass."""
+def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """At most COMMON shingles that several texts of a sample have, the rarest first."""
     bound_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    every = max(1, docs.count() // SAMPLE)
 
     def run(batches):
         for b in rechunk(batches):
-            h, woff, whole, g, soff = _hashed(b.column(1), shingle)
-            n = b.num_rows
-            fps, mins = np.zeros((n, SEEDS), U), np.zeros((n, MINS), U)
-            full = np.flatnonzero(np.diff(soff))
-            for k in range(SEEDS):
-                fps[:, k] = fingerprints_of(mix(h ^ _ODD[k]), woff)
-            for k in range(MINS if len(full) else 0):
-                mins[full, k] = np.minimum.reduceat(mix(g ^ _ODD[k]), soff[full])
-            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (fps, mins)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole.view(np.int64)), *arrays], names=[key, "same", "fps", "mins"])
+            *_, g, soff = _hashed(b.column(0), shingle)
+            own = np.repeat(np.arange(len(soff) - 1), np.diff(soff))
+            at = np.lexsort((g, own))
+            g, own = g[at], own[at]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64))], names=["g"])
+
+    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(every)) == 0).select(text)
+    counts = some.mapInArrow(run, "g long").groupBy("g").count().where("count > 1").orderBy(F.desc("count"), "g").limit(COMMON)
+    return counts.select("g").toArrow()["g"].to_numpy()[::-1].view(U)
+
+
+def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
+    """key, same (a hash of the text's words), n (distinct shingles), mins, bits (parities) and prefix of each row; one pass."""
+    common = common_shingles(docs.select(key, text), text, shingle)
+    by = np.argsort(common)
+    known, rank = common[by], by + 1
+    bound_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, same long, fps array<long>, mins array<long>")
+    def run(batches):
+        for b in rechunk(batches):
+            _, _, whole, g, soff = _hashed(b.column(1), shingle)
+            m = b.num_rows
+            own, late = np.repeat(np.arange(m), np.diff(soff)), np.zeros(len(g), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                late = np.where(known[at] == g, rank[at], 0)
+            order = np.lexsort((g, late, own))
+            g, own = g[order], own[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
+            g, own = g[new], own[new]
+            n = np.bincount(own, minlength=m)
+            off = np.zeros(m + 1, np.int64)
+            np.cumsum(n, out=off[1:])
+            full = np.flatnonzero(n)
+            mins, bits = np.zeros((m, ORDERS), U), np.zeros((m, BITMAP), U)
+            if len(full):
+                for k in range(ORDERS):
+                    mins[full, k] = np.minimum.reduceat(mix(g ^ _ODD[k]), off[full])
+                h = mix(g ^ _ODD[15])
+                bit, place = U(1) << (h & U(63)), (h >> U(6)) % U(BITMAP)
+                for k in range(BITMAP):
+                    bits[full, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, U(0)), off[full])
+            first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+            inside = np.arange(len(g)) - np.repeat(off[:-1], n) < np.repeat(first, n)
+            ends = np.zeros(m + 1, np.int32)
+            np.cumsum(first, out=ends[1:])
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))
+            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (mins, bits)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), *arrays, prefix], names=[key, "same", "n", "mins", "bits", "prefix"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, same long, n long, mins array<long>, bits array<long>, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -88,45 +132,65 @@ def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFram
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, shingles array<long>")
 
 
-def candidates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: pairs of distinct texts (same, fps, mins) that meet and share enough min-hashes."""
-    seed = F.posexplode(F.arrays_zip("fps", F.slice("mins", 1, SEEDS).alias("mins"))).alias("k", "x")
-    rows = scratch.table(distinct.select("same", seed).select("same", "k", F.col("x.fps").alias("fp"), F.col("x.mins").alias("m")), "seeds")
-    # texts that can't be told apart by a fingerprint and its min-hash are led by one of them, counted by each task first
-    lead = scratch.table(rows.groupBy("k", "fp", "m").agg(F.min("same").alias("lead")), "leads")
-    led = rows.join(lead, ["k", "fp", "m"]).where("same <> lead").select(F.col("same").alias("a"), F.col("lead").alias("b"))
-    # what is shuffled 65 times is two numbers: the variant, told apart by its seed, and a mark that orders by the
-    # min-hash and names the leading text
-    mark = F.col("m").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.xxhash64("k", "m", "lead").bitwiseAND(F.lit((1 << 32) - 1)))
-    lead = scratch.table(lead.withColumn("mark", mark), "marks")
-    salted = F.col("fp").bitwiseXOR(F.xxhash64("k"))
-    ball = lead.select("mark", F.explode(F.array(*[salted.bitwiseXOR(F.lit(x)) for x in _masks(RADIUS // 2)])).alias("variant"))
-    w = Window.partitionBy("variant").orderBy("mark")
-    met = ball.select("mark", F.array(F.lag("mark", 1).over(w), F.lag("mark", 2).over(w)).alias("before")).where("before[0] is not null")
-    met = scratch.table(met.select("mark", F.explode("before").alias("other")).where("other is not null").distinct(), "met")
-    name = lead.select("mark", F.col("lead").alias("a"))
-    met = met.join(name, "mark").join(name.select(F.col("mark").alias("other"), F.col("a").alias("b")), "other").where("a <> b").select("a", "b")
-    pairs = scratch.table(led.unionByName(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    side = lambda c: distinct.select(F.col("same").alias(c), F.col("mins").alias(f"mins_{c}"))
-    shared = F.size(F.filter(F.zip_with("mins_a", "mins_b", lambda x, y: x == y), lambda x: x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= SHARED).select("a", "b")
+def _near(least: float) -> Column:
+    """Whether the parities of a and b allow the similarity: a bit that differs is a shingle of one of them alone at least."""
+    apart = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITMAP)), F.lit(0))
+    return apart <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6
+
+
+def _side(rows: DataFrame, c: str, *more: str) -> DataFrame:
+    return rows.select(F.col("same").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more])
+
+
+def meetings(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """shingle, same, mins of the prefixes' shingles that several texts have there."""
+    rows = distinct.select("same", "mins", F.explode("prefix").alias("shingle"))
+    return scratch.table(rows.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).where("texts > 1").drop("texts"), "meetings")
+
+
+def neighbours(met: DataFrame, distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """a, b: pairs that are neighbours at a shingle in one of the orders, and may be similar."""
+    before = [F.lag("same").over(Window.partitionBy("shingle").orderBy(F.col("mins")[k], "same")) for k in range(ORDERS)]
+    pairs = met.select(F.col("same").alias("a"), F.array(*before).alias("before")).select("a", F.explode("before").alias("b")).where("b is not null")
+    pairs = scratch.table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    both = pairs.join(_side(distinct, "a", "n", "bits"), "a").join(_side(distinct, "b", "n", "bits"), "b")
+    return scratch.table(both.where(_near(least)).select("a", "b"), "candidates")
+
+
+def others(met: DataFrame, distinct: DataFrame, roots: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """a, b: all pairs that meet at a shingle, may be similar and are in different components."""
+    w = Window.partitionBy("shingle")
+    root = met.select("shingle", "same").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    mixed = root.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low < high").select("shingle", "same", "root")
+    mixed = scratch.table(mixed.join(distinct.select("same", "n", "bits"), "same"), "mixed")
+    more = ("shingle", "root", "n", "bits")
+    pairs = _side(mixed, "a", *more).join(_side(mixed, "b", *more), F.col("shingle_a") == F.col("shingle_b"))
+    apart = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6
+    return scratch.table(pairs.where(apart & sizes & _near(least)).select("a", "b").distinct(), "others")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, least: float, key: str, text: str, s: Scratch) -> DataFrame:
+    """The pairs whose sets of shingles are similar."""
+    # the sets of texts that have a candidate, from one row of each
+    some = pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct().join(distinct.select("same", "rep"), "same").where("rep is not null")
+    ids = s.table(some.select("rep", "same"), "some")
+    rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(ids.select("rep").hint("shuffle_hash"), "rep", "left_semi").dropDuplicates(["rep"])
+    sets = s.table(shingle_sets(rows, "rep", "text", shingle).join(ids, "rep").select("same", "shingles"), "sets")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    alike = pairs.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
+    return s.table(alike.where(common >= least * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b"), "links")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id (the smallest key that is reachable over copies and similar texts) of each row."""
     with Scratch(docs.sparkSession) as s:
-        made = s.table(sketches(docs, key, text, shingle), "sketches")
-        distinct = s.table(made.groupBy("same").agg(F.min(key).alias("rep"), F.first("fps").alias("fps"), F.first("mins").alias("mins")), "distinct")
-        pairs = s.table(candidates(distinct, s), "candidates")
-        # the sets of texts that have a candidate, from one row of each
-        some = pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct().join(distinct.select("same", "rep"), "same").where("rep is not null")
-        ids = s.table(some.select("rep", "same"), "some")
-        rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(ids.select("rep").hint("shuffle_hash"), "rep", "left_semi").dropDuplicates(["rep"])
-        sets = s.table(shingle_sets(rows, "rep", "text", shingle).join(ids, "rep").select("same", "shingles"), "sets")
-        side = lambda c: sets.select(F.col("same").alias(c), F.col("shingles").alias(f"s_{c}"))
-        common = F.size(F.array_intersect("s_a", "s_b"))
-        alike = pairs.join(side("a"), "a").join(side("b"), "b").where(common >= least * (F.size("s_a") + F.size("s_b") - common))
-        roots = components(s.table(alike.select("a", "b"), "links"), s)
+        made = s.table(sketches(docs, key, text, shingle, least), "sketches")
+        distinct = s.table(made.groupBy("same").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in ("n", "mins", "bits", "prefix")]), "distinct")
+        met = meetings(distinct, s)
+        links = verified(neighbours(met, distinct, least, s), docs, distinct, shingle, least, key, text, s)
+        rest = verified(others(met, distinct, components(links, s), least, s), docs, distinct, shingle, least, key, text, s)
+        roots = components(links.unionByName(rest), s)
         lowest = roots.join(distinct.select("same", "rep"), roots["node"] == distinct["same"]).groupBy("root").agg(F.min("rep").alias("component_id"))
         linked = s.table(roots.join(lowest, "root").select(F.col("node").alias("same"), "component_id"), "linked")
         by_text = s.table(distinct.select("same", "rep").join(linked, "same", "left").select("same", F.coalesce("component_id", "rep").alias("component_id")), "by_text")

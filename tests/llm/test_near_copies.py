@@ -46,3 +46,21 @@ def test_copies_and_near_copies_are_grouped_and_others_left_alone(as_docs):
 def test_empty_table_and_null_keys(as_docs):
     assert near_copies(as_docs([])).collect() == []
     assert sorted(str(r.component_id) for r in near_copies(as_docs(["a b", "A  b", "c"], ids=[None, 7, None])).collect()) == ["7", "7", "None"]
+
+
+def cut_and_extended(rnd, n, size):
+    """Texts, then for each a cut one, one with other text after it and one with a passage before it, all at 0.8 or more."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(4, 9)))
+    texts = [[word() for _ in range(rnd.randrange(*size))] for _ in range(n)]
+    more = [w[: -max(1, len(w) * 17 // 100)] for w in texts]
+    more += [w + [word() for _ in range(len(w) * 18 // 100)] for w in texts]
+    more += [[word() for _ in range(len(w) * 18 // 100)] + w for w in texts]
+    return [" ".join(w) for w in texts + more]
+
+
+def test_cut_extended_and_short_copies_are_found(as_docs):
+    rnd = random.Random(8)
+    texts = cut_and_extended(rnd, 40, (30, 60)) + cut_and_extended(rnd, 40, (60, 150))
+    texts += ["a b c d e f", "a b c d e", "b c d e f", "q w e r t y u i o p a s d f", "q w e r t y u i o p a s d"]
+    got = {r.doc_id: r.component_id for r in near_copies(as_docs(texts)).collect()}
+    assert got == brute(texts)
