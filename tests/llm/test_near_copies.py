@@ -64,3 +64,15 @@ def test_cut_extended_and_short_copies_are_found(as_docs):
     texts += ["a b c d e f", "a b c d e", "b c d e f", "q w e r t y u i o p a s d f", "q w e r t y u i o p a s d"]
     got = {r.doc_id: r.component_id for r in near_copies(as_docs(texts)).collect()}
     assert got == brute(texts)
+
+
+def test_near_copies_within_a_crowd_of_one_template(as_docs):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    template = [word() for _ in range(600)]
+    texts = [[word() if i % 25 == 0 else w for i, w in enumerate(template)] for _ in range(250)]
+    for w in texts[:40]:
+        texts.append([*w[:302], word(), *w[303:]])
+    texts = [" ".join(w) for w in texts]
+    got = {r.doc_id: r.component_id for r in near_copies(as_docs(texts)).collect()}
+    assert got == {i: i if i < 250 else i - 250 for i in range(290)}
