@@ -119,17 +119,16 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, same long, n long, mins array<long>, bits array<long>, prefix array<long>")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """key and shingles (distinct hashes) of each row."""
+def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """same (a hash of the text's words) and shingles (distinct hashes) of each row."""
     bound_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in rechunk(batches):
-            *_, g, soff = _hashed(b.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(g[soff[i] : soff[i + 1]]).view(np.int64) for i in range(b.num_rows)], pa.list_(pa.int64()))], names=[key, "shingles"])
+            _, _, whole, g, soff = _hashed(b.column(0), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([np.unique(g[soff[i] : soff[i + 1]]).view(np.int64) for i in range(b.num_rows)], pa.list_(pa.int64()))], names=["same", "shingles"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, shingles array<long>")
+    return docs.select(text).mapInArrow(run, "same long, shingles array<long>")
 
 
 def _near(least: float) -> Column:
@@ -172,11 +171,12 @@ def others(met: DataFrame, distinct: DataFrame, roots: DataFrame, least: float,
 
 def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, least: float, key: str, text: str, s: Scratch) -> DataFrame:
     """The pairs whose sets of shingles are similar."""
-    # the sets of texts that have a candidate, from one row of each
-    some = pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct().join(distinct.select("same", "rep"), "same").where("rep is not null")
+    # the sets of texts that have a candidate, from the rows of one key (which may be null, or have other texts too)
+    some = pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct().join(distinct.select("same", "rep"), "same")
     ids = s.table(some.select("rep", "same"), "some")
-    rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(ids.select("rep").hint("shuffle_hash"), "rep", "left_semi").dropDuplicates(["rep"])
-    sets = s.table(shingle_sets(rows, "rep", "text", shingle).join(ids, "rep").select("same", "shingles"), "sets")
+    keys = ids.select("rep").distinct().hint("shuffle_hash")
+    rows = docs.join(keys, docs[key].eqNullSafe(keys["rep"]), "left_semi").select(F.col(text).alias("text"))
+    sets = s.table(shingle_sets(rows, "text", shingle).join(ids.select("same"), "same", "left_semi").dropDuplicates(["same"]), "sets")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     alike = pairs.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
     return s.table(alike.where(common >= least * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b"), "links")

@@ -66,6 +66,18 @@ def test_cut_extended_and_short_copies_are_found(as_docs):
     assert got == brute(texts)
 
 
+def test_texts_of_one_key_and_null_keys_are_compared_each(as_docs):
+    rnd = random.Random(4)
+    texts = cut_and_extended(rnd, 6, (30, 60))
+    # keys: the cut texts of the first three share one key, those of the others have none
+    ids = [*range(6), 90, 90, 90, None, None, None, *range(100, 112)]
+    got = near_copies(as_docs(texts, ids=ids)).collect()
+    want = {i: i for i in range(6)} | {100 + i: i % 6 for i in range(12)}
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None and r.doc_id != 90} == want
+    assert sorted(r.component_id for r in got if r.doc_id == 90) == [0, 1, 2]
+    assert sorted(r.component_id for r in got if r.doc_id is None) == [3, 4, 5]
+
+
 def test_near_copies_within_a_crowd_of_one_template(as_docs):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
