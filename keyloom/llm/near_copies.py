@@ -131,10 +131,14 @@ def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return docs.select(text).mapInArrow(run, "same long, shingles array<long>")
 
 
+def _apart() -> Column:
+    """Parities that differ between a and b: each is a shingle of one of them alone at least."""
+    return sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITMAP)), F.lit(0))
+
+
 def _near(least: float) -> Column:
-    """Whether the parities of a and b allow the similarity: a bit that differs is a shingle of one of them alone at least."""
-    apart = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITMAP)), F.lit(0))
-    return apart <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6
+    """Whether the parities of a and b allow the similarity."""
+    return _apart() <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6
 
 
 def _side(rows: DataFrame, c: str, *more: str) -> DataFrame:
@@ -152,8 +156,9 @@ def neighbours(met: DataFrame, distinct: DataFrame, least: float, scratch: Scrat
     before = [F.lag("same").over(Window.partitionBy("shingle").orderBy(F.col("mins")[k], "same")) for k in range(ORDERS)]
     pairs = met.select(F.col("same").alias("a"), F.array(*before).alias("before")).select("a", F.explode("before").alias("b")).where("b is not null")
     pairs = scratch.table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    both = pairs.join(_side(distinct, "a", "n", "bits"), "a").join(_side(distinct, "b", "n", "bits"), "b")
-    return scratch.table(both.where(_near(least)).select("a", "b"), "candidates")
+    both = pairs.join(_side(distinct, "a", "n", "bits"), "a").join(_side(distinct, "b", "n", "bits"), "b").where(_near(least))
+    # one link of each text to a smaller one connects most; what it leaves apart is paired in full by others()
+    return scratch.table(both.groupBy("a").agg(F.min_by("b", F.struct(_apart(), "b")).alias("b")), "candidates")
 
 
 def others(met: DataFrame, distinct: DataFrame, roots: DataFrame, least: float, scratch: Scratch) -> DataFrame:
@@ -185,9 +190,13 @@ def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: in
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id (the smallest key that is reachable over copies and similar texts) of each row."""
     with Scratch(docs.sparkSession) as s:
-        made = s.table(sketches(docs, key, text, shingle, least), "sketches")
-        distinct = s.table(made.groupBy("same").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in ("n", "mins", "bits", "prefix")]), "distinct")
-        met = meetings(distinct, s)
+        full = s.table(sketches(docs, key, text, shingle, least), "sketches")
+        made = s.table(full.select(key, "same"), "rows")
+        distinct = s.table(full.groupBy("same").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in ("n", "mins", "bits", "prefix")]), "prefixes")
+        s.drop(full)
+        met, wide = meetings(distinct, s), distinct
+        distinct = s.table(wide.select("same", "rep", "n", "bits"), "distinct")
+        s.drop(wide)
         links = verified(neighbours(met, distinct, least, s), docs, distinct, shingle, least, key, text, s)
         rest = verified(others(met, distinct, components(links, s), least, s), docs, distinct, shingle, least, key, text, s)
         roots = components(links.unionByName(rest), s)
