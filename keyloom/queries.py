@@ -438,6 +438,14 @@ def context_pick(spark, d):
     return glossary.pick_contexts(hits).select("term", F.col("nth").cast("int").alias("nth"), F.md5("text").alias("digest"))
 
 
+@query()
+def context_pick_all(spark, d):
+    """As context_pick, for words of any length. Tested by brute force; SQL over all words of whole tables would be slow."""
+    docs = a.table(spark, d, "documents")
+    hits = docs.select(F.explode(F.array_distinct(F.split("text", " "))).alias("term"), "text", F.col("doc_id").alias("pos"))
+    return glossary.pick_contexts(hits).select("term", F.col("nth").cast("int").alias("nth"), F.md5("text").alias("digest"))
+
+
 # ---- similarity
 _SIMS = "n AS (SELECT p_name AS term, CAST(row_number() OVER (ORDER BY p_name) AS BIGINT) AS id FROM (SELECT DISTINCT p_name FROM part)), pairs AS (SELECT x.id AS a, y.id AS b, x.term AS term_a, y.term AS term_b, round_even(100.0::DOUBLE * (1.0::DOUBLE - levenshtein(x.term, y.term)::DOUBLE / greatest(length(x.term), length(y.term))), 2) AS sim FROM n x JOIN n y ON x.id < y.id)"
 

@@ -241,3 +241,19 @@ def test_stream_of_changes(spark, tmp_path):
 def test_settings():
     s, w = load_settings('{"_comment": 1, "terminology": {"min_freq": 9, "nope": 1}, "stop_words": ["The"], "other": 2}')
     assert s.min_freq == 9 and s.stop_words == ("the",) and w == ["unknown setting: terminology.nope", "unknown setting: other"]
+
+
+def test_contexts_of_words_of_any_length_by_brute_force(spark, tmp_path):
+    import hashlib
+
+    from keyloom import queries
+
+    texts = ["an ox", "an ox ran", "an ox ran by", "the ox", "considerable an", "considerable", "an ox", "by a considerable ox"]
+    spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for term in {w for x in texts for w in x.split(" ")}:
+        found = sorted({x for x in texts if term in x.split(" ")}, key=lambda x: (len(x), texts.index(x), x))
+        if len(found) > 1:
+            want |= {(term, 0, found[-1])} | {(term, i + 1, x) for i, x in enumerate(found[:4])}
+    got = queries.QUERIES["context_pick_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.term, r.nth, r.digest) for r in got} == {(w, n, hashlib.md5(x.encode()).hexdigest()) for w, n, x in want}
