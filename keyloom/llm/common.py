@@ -30,9 +30,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is set (single-machine tests)."""
+    """The folder named in spark.checkpoint.dir; one of our own only where none is set, which a cluster isn't allowed."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file:///tmp/keyloom-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_delete, spark, root)
@@ -124,6 +126,10 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def partitions_for(spark: SparkSession, df: DataFrame, each: int = 64 << 20) -> int:
-    """Partitions of about ``each`` bytes by the planner's size of ``df``; at least the session's setting."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // each + 1))
+    """Partitions of about ``each`` bytes by the planner's sizes of what ``df`` reads; at least the session's setting.
+
+    The leaves' sizes are added up: that of a join is estimated as a product.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // each + 1)

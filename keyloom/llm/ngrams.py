@@ -8,6 +8,8 @@ what is moved is the compressed texts once and each block's distinct n-grams.
 
 An n-gram is one long: a symbol (a byte, or 256 for the end of a text) in the lowest 9 bits, above it the
 bytes before it, the nearest lowest. Before a text begins, these are zeros.
+
+What is moved is small: sorted n-grams as differences, and all numbers byte plane by byte plane, compressed.
 """
 
 from __future__ import annotations
@@ -73,6 +75,20 @@ def _encode(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e.dictionary.to_numpy(), e.indices.to_numpy()
 
 
+def pack(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers of 32 or 64 bits as compressed bytes: all first bytes, all second ones and so on; ascending ones as differences."""
+    if ascending:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(packed: bytes, kind, ascending: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s, e, woff = words(data, off, ~SPACES)
     return span_hashes(data, s, e), woff
@@ -91,12 +107,12 @@ def make_blocks(docs: DataFrame, order: int, key: str, text: str, train: str, lo
         asked, n = _summed(keys, counts)
         to = (mix(asked) % U(shards)).astype(np.int32)
         order = np.argsort(to, kind="stable")
-        asked, n, to = asked[order], n[order].astype(np.int64), to[order]
+        asked, n, to = asked[order], n[order].astype(np.uint32), to[order]
         used, first = np.unique(to, return_index=True)
         ends = np.append(first, len(to))[1:]
         m = len(used)
         nulls = [pa.nulls(m, t) for t in (pa.list_(key_type), pa.list_(pa.bool_()), pa.binary(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.full(m, k, np.int32)), pa.array(used), pa.array([asked[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()), *nulls], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.full(m, k, np.int32)), pa.array(used), pa.array([pack(asked[a:b], True) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([pack(n[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), *nulls], names=names)
 
     def run(batches):
         task, nth, size = TaskContext.get().partitionId(), 0, 0
@@ -136,15 +152,29 @@ def make_blocks(docs: DataFrame, order: int, key: str, text: str, train: str, lo
     return docs.select(key, text, train).mapInArrow(run, schema)
 
 
-def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in column]
+def _arrays(column: pa.ChunkedArray, kind, ascending: bool = False) -> list[np.ndarray]:
+    return [unpack(x.as_py(), kind, ascending) for x in column]
+
+
+def _asked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams that blocks ask about, and the sums of their counts; folded bit by bit, so what is held is what is distinct."""
+    k, c = np.zeros(0, U), np.zeros(0, np.int64)
+    keys, counts, size = [], [], 0
+    for a, n in zip(t["asked"], t["counts"], strict=True):
+        keys.append(unpack(a.as_py(), U, True))
+        counts.append(unpack(n.as_py(), np.uint32).astype(np.int64))
+        size += len(keys[-1])
+        if size > max(SLICE, len(k)):
+            k, c = _summed([k, *keys], [c, *counts])
+            keys, counts, size = [], [], 0
+    return _summed([k, *keys], [c, *counts])
 
 
 def gram_counts(blocks: DataFrame) -> DataFrame:
     """code, shard, c: every distinct n-gram of the corpus and how often the training texts have it."""
 
     def run(t: pa.Table) -> pa.Table:
-        k, c = _summed(_arrays(t["asked"], U), _arrays(t["counts"], np.int64))
+        k, c = _asked(t)
         return pa.table({"code": k.view(np.int64), "shard": np.full(len(k), t["shard"][0].as_py(), np.int32), "c": c})
 
     return blocks.where(F.col("kind") == GRAMS).select("shard", "asked", "counts").groupBy("shard").applyInArrow(run, "code long, shard int, c long")
@@ -157,7 +187,7 @@ def gram_answers(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
         code, x = known["code"].to_numpy().view(U), known["number"].to_numpy()
         order = np.argsort(code)
         code, x = code[order], x[order]
-        out = [x[np.searchsorted(code, a)].tobytes() for a in _arrays(asked["asked"], U)]
+        out = [pack(x[np.searchsorted(code, unpack(a.as_py(), U, True))]) for a in asked["asked"]]
         return pa.table({"block": asked["block"], "kind": pa.array([GRAMS] * len(out), pa.int32()), "asked": asked["asked"], "answer": pa.array(out, pa.binary())})
 
     left = blocks.where(F.col("kind") == GRAMS).select("shard", "block", "asked").groupBy("shard")
@@ -168,10 +198,9 @@ def word_answers(blocks: DataFrame) -> DataFrame:
     """As gram_answers, the training count of each of a block's words; and a row without a block for each shard: its distinct words and count."""
 
     def run(t: pa.Table) -> pa.Table:
-        asked = _arrays(t["asked"], U)
-        k, c = _summed(asked, _arrays(t["counts"], np.int64))
-        out = [c[np.searchsorted(k, a)].astype(float).tobytes() for a in asked]
-        total = np.array([(c > 0).sum(), c.sum()], float).tobytes()
+        k, c = _asked(t)
+        out = [pack(c[np.searchsorted(k, unpack(a.as_py(), U, True))].astype(float)) for a in t["asked"]]
+        total = pack(np.array([(c > 0).sum(), c.sum()], float))
         return pa.table({"block": pa.array([*t["block"].to_pylist(), None], pa.int64()), "kind": pa.array([WORDS] * (len(out) + 1), pa.int32()), "asked": pa.array([*t["asked"].to_pylist(), total], pa.binary()), "answer": pa.array([*out, b""], pa.binary())})
 
     return blocks.where(F.col("kind") == WORDS).select("shard", "block", "asked", "counts").groupBy("shard").applyInArrow(run, "block long, kind int, asked binary, answer binary")
@@ -182,8 +211,7 @@ class Answers:
 
     def __init__(self, t: pa.Table, kind: int):
         rows = t.filter(pc.equal(t["kind"], kind))
-        none = [np.zeros(0, U)]
-        self.keys = pa.array(np.concatenate(_arrays(rows["asked"], U) or none))
+        self.keys = pa.array(np.concatenate(_arrays(rows["asked"], U, True) or [np.zeros(0, U)]))
         self.values = np.concatenate(_arrays(rows["answer"], float) or [np.zeros(0)])
 
     def __getitem__(self, asked: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ join and one window over groups of at most 257 rows. Adaptive: each text starts
 
 Null and empty texts are the end symbol alone; repeated rows are scored each; a null key counts as the
 empty text for the choice of held-out rows; with nothing to learn from, all symbols are equally likely;
-further columns are not read. Words are compared by 64-bit hashes.
+further columns are not read; a long text is scored whole, in slices. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
-from .ngrams import END, SYMBOLS, Answers, gram_answers, gram_counts, levels, make_blocks, score_blocks, with_shorter, word_answers, word_hashes
+from .ngrams import END, SYMBOLS, Answers, gram_answers, gram_counts, levels, make_blocks, score_blocks, unpack, with_shorter, word_answers, word_hashes
 from .textvec import ragged_sum
 
 ORDER = 5
@@ -99,7 +99,9 @@ def log_probabilities(counts: DataFrame, order: int, scratch: Scratch) -> DataFr
             escaped = F.when(F.col("e") > 0, F.log(F.try_divide("e", "m"))).otherwise(0.0) + F.col("rest1")
             rows = rows.withColumn("rest", F.when(F.col("c1") > 0, F.log(F.try_divide(2 * F.col("c1") - 1, F.col("m")))).otherwise(escaped))
         if k < order:
-            below = scratch.table(rows.select("ctx", "sym", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("d").alias("d1"), F.col("rest").alias("rest1")), f"level{k}")
+            done, below = below, scratch.table(rows.select("ctx", "sym", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("d").alias("d1"), F.col("rest").alias("rest1")), f"level{k}")
+            if done is not None:
+                scratch.drop(done)
         else:
             unseen = F.when(F.col("d") > 0, F.log(F.try_divide(F.col("d"), 2 * F.col("n")))).otherwise(0.0) + F.col("rest")
             return rows.select("code", "shard", F.when(F.col("c") > 0, F.log(F.try_divide(2 * F.col("c") - 1, 2 * F.col("n")))).otherwise(unseen).alias("number"))
@@ -114,11 +116,13 @@ def score_texts(docs: DataFrame, train: str, order: int = ORDER, key: str = "doc
     with Scratch(docs.sparkSession) as s:
         blocks = s.table(make_blocks(docs, order, key, text, train, lower=True, with_words=True), "blocks")
         counts = s.table(gram_counts(blocks), "counts")
-        grams = gram_answers(blocks, s.table(log_probabilities(counts, order, s), "model"))
+        model = s.table(log_probabilities(counts, order, s), "model")
+        s.drop(counts)
+        grams = gram_answers(blocks, model)
         tokens = s.table(word_answers(blocks), "words")
         distinct = total = 0
         for r in tokens.where("block is null").select("asked").toLocalIterator():  # two numbers for each shard
-            v, n = np.frombuffer(r["asked"], float)
+            v, n = unpack(r["asked"], float)
             distinct, total = distinct + int(v), total + int(n)
         ends = docs.where(F.col(train)).count()
         distinct, total = distinct + bool(ends), total + ends
