@@ -1,18 +1,22 @@
-"""Near copies by word shingles and Jaccard similarity, with a prefix filter to find the candidates.
-
-The distinct shingles of each text are put in one order that all texts share. Two texts of similarity t share one of the
-first n - ceil(t n) + 1 shingles of each, whatever was changed, cut or added; so these prefixes are what is shuffled. The order
-puts shingles last that are common in a sample of the texts: that makes groups small and changes no result. Texts that meet at
-a shingle are put in order by a min-hash, which brings similar ones together, and each is paired with the one before it; what
-this links is a component, and then all texts that meet and are still in different components are paired. So a large group of
-copies costs its rows and not their square, and no pair that could join two components is left out. Pairs
-are verified: first by an upper bound of the similarity from a bitmap of parities, which loses none, then by the
-exact similarity of their sets of shingles.
+"""Near copies by word shingles and Jaccard similarity: SimHash balls first, then a prefix filter for what they leave.
+
+Ball hashing of SimHash fingerprints (of the same shingles) finds the closest texts cheaply, but two bits are no bound on a
+similarity of 0.8. So a prefix filter makes the result whole. The distinct shingles of each text are put in one order that all texts
+share; two texts of similarity t share one of the first n - ceil(t n) + 1 shingles of each, whatever was changed, cut or
+added; so these prefixes are what is shuffled. The order puts shingles last that are common in a sample of the texts: that makes
+groups small and changes no result. Texts that meet at a shingle are in order of a min-hash, which brings similar ones
+together, and each is compared with the one before it: as "before" is the same for all shingles, a crowd becomes one
+tree. While a lot of texts still meet others of another component, each is compared with a neighbour of another one
+(every such round costs their rows); then all pairs that meet and aren't connected yet are compared. So a large group of copies
+costs its rows and not their square, and no pair that could join two components is left out. Pairs are verified: first by
+an upper bound of the similarity from a bitmap of parities, which loses none, then by the exact similarity of their sets of
+shingles. Texts are told apart by 64 bits, of which 16 are from the min-hash, and shingles by 64.
 
 Copies that differ in case of A-Z or in white space only are one text. A text of fewer words than a
 shingle has is one shingle; texts without words are copies of each other; null counts as empty; rows with
 a null key take part, but are nobody's representative unless all of its copies have null keys; an empty
-table gives no rows.
+table gives no rows; a long text is read whole, and its prefix is as long as its share asks; further columns, of whatever names,
+are not read but for the order's sample.
 """
 
 from __future__ import annotations
@@ -24,13 +28,18 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, rechunk
 from .components import components
+from .simhash import ball_links, fingerprints_of
 from .textvec import LOWER, SPACES, U, mix, spaced, texts, words, xxh64
 
 SHINGLE, LEAST = 5, 0.8
 #: Texts that are looked at for common shingles, and most of those that are put last: these set the order only.
 SAMPLE, COMMON = 5_000, 200_000
-#: Longs of the bitmap of parities; min-hashes that texts at a shingle are ordered by.
-BITMAP, ORDERS = 8, 2
+#: Longs of the bitmap of parities; differing bits of fingerprints that are compared first.
+BITMAP, RADIUS = 8, 2
+#: Bits of a text's identity that are from its words; those above are its min-hash's, so identities bring similar texts together.
+OWN = 48
+#: All pairs are compared once they are at most so many times the rows that meet.
+PAIRS = 4
 _ODD = [U((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(16)]
 
 
@@ -75,8 +84,17 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return counts.select("g").toArrow()["g"].to_numpy()[::-1].view(U)
 
 
+def _identities(whole: np.ndarray, g: np.ndarray, soff: np.ndarray) -> np.ndarray:
+    """A long for each text: the highest bits are those of a min-hash of its shingles, the others its words'."""
+    low = np.zeros(len(whole), U)
+    full = np.flatnonzero(np.diff(soff))
+    if len(full):
+        low[full] = np.minimum.reduceat(mix(g ^ _ODD[0]), soff[full])
+    return ((low >> U(OWN)) << U(OWN) | whole & U((1 << OWN) - 1)).view(np.int64)
+
+
 def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
-    """key, same (a hash of the text's words), n (distinct shingles), mins, bits (parities) and prefix of each row; one pass."""
+    """key, same (the text's identity), n (distinct shingles), fp (fingerprint), bits (parities) and prefix of each row; one pass."""
     common = common_shingles(docs.select(key, text), text, shingle)
     by = np.argsort(common)
     known, rank = common[by], by + 1
@@ -86,6 +104,7 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
     def run(batches):
         for b in rechunk(batches):
             _, _, whole, g, soff = _hashed(b.column(1), shingle)
+            same, fp = _identities(whole, g, soff), fingerprints_of(g, soff)
             m = b.num_rows
             own, late = np.repeat(np.arange(m), np.diff(soff)), np.zeros(len(g), np.int64)
             if len(known):
@@ -100,10 +119,8 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
             off = np.zeros(m + 1, np.int64)
             np.cumsum(n, out=off[1:])
             full = np.flatnonzero(n)
-            mins, bits = np.zeros((m, ORDERS), U), np.zeros((m, BITMAP), U)
+            bits = np.zeros((m, BITMAP), U)
             if len(full):
-                for k in range(ORDERS):
-                    mins[full, k] = np.minimum.reduceat(mix(g ^ _ODD[k]), off[full])
                 h = mix(g ^ _ODD[15])
                 bit, place = U(1) << (h & U(63)), (h >> U(6)) % U(BITMAP)
                 for k in range(BITMAP):
@@ -113,20 +130,20 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
             ends = np.zeros(m + 1, np.int32)
             np.cumsum(first, out=ends[1:])
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))
-            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (mins, bits)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), *arrays, prefix], names=[key, "same", "n", "mins", "bits", "prefix"])
+            parities = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), BITMAP).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), parities, prefix], names=[key, "same", "n", "fp", "bits", "prefix"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, same long, n long, mins array<long>, bits array<long>, prefix array<long>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, same long, n long, fp long, bits array<long>, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """same (a hash of the text's words) and shingles (distinct hashes) of each row."""
+    """same (the text's identity) and shingles (distinct hashes) of each row."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in rechunk(batches):
             _, _, whole, g, soff = _hashed(b.column(0), shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([np.unique(g[soff[i] : soff[i + 1]]).view(np.int64) for i in range(b.num_rows)], pa.list_(pa.int64()))], names=["same", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(_identities(whole, g, soff)), pa.array([np.unique(g[soff[i] : soff[i + 1]]).view(np.int64) for i in range(b.num_rows)], pa.list_(pa.int64()))], names=["same", "shingles"])
 
     return docs.select(text).mapInArrow(run, "same long, shingles array<long>")
 
@@ -146,37 +163,58 @@ def _side(rows: DataFrame, c: str, *more: str) -> DataFrame:
 
 
 def meetings(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """shingle, same, mins of the prefixes' shingles that several texts have there."""
-    rows = distinct.select("same", "mins", F.explode("prefix").alias("shingle"))
-    return scratch.table(rows.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).where("texts > 1").drop("texts"), "meetings")
+    """shingle, same, before (the text before it there, if any) of the prefixes' shingles that several texts have there."""
+    rows = distinct.select("same", F.explode("prefix").alias("shingle"))
+    w = Window.partitionBy("shingle").orderBy("same")
+    texts = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return scratch.table(rows.select("*", texts.alias("texts"), F.lag("same").over(w).alias("before")).where("texts > 1").drop("texts"), "meetings")
 
 
-def neighbours(met: DataFrame, distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """a, b: pairs that are neighbours at a shingle in one of the orders, and may be similar."""
-    before = [F.lag("same").over(Window.partitionBy("shingle").orderBy(F.col("mins")[k], "same")) for k in range(ORDERS)]
-    pairs = met.select(F.col("same").alias("a"), F.array(*before).alias("before")).select("a", F.explode("before").alias("b")).where("b is not null")
-    pairs = scratch.table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+def closest(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """a, b: of each a's pairs that may be similar, that with the fewest differing parities. All b are before a, so these links have no ring."""
     both = pairs.join(_side(distinct, "a", "n", "bits"), "a").join(_side(distinct, "b", "n", "bits"), "b").where(_near(least))
-    # one link of each text to a smaller one connects most; what it leaves apart is paired in full by others()
-    return scratch.table(both.groupBy("a").agg(F.min_by("b", F.struct(_apart(), "b")).alias("b")), "candidates")
+    return both.groupBy("a").agg(F.min_by("b", F.struct(_apart(), "b")).alias("b"))
 
 
-def others(met: DataFrame, distinct: DataFrame, roots: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """a, b: all pairs that meet at a shingle, may be similar and are in different components."""
+def in_balls(distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """a, b: texts whose fingerprints are the same or in one ball, each with the first of its fingerprint, and these with one another."""
+    first = scratch.table(distinct.groupBy("fp").agg(F.min("same").alias("first")), "fingerprints")
+    copies = distinct.join(first, "fp").where("same <> first").select(F.col("same").alias("a"), F.col("first").alias("b"))
+    links = ball_links(first.select("fp"), RADIUS).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    links = links.join(first.select(F.col("fp").alias("x"), F.col("first").alias("p")), "x").join(first.select(F.col("fp").alias("y"), F.col("first").alias("q")), "y")
+    pairs = scratch.table(copies.unionByName(links.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))), "balls")
+    return closest(pairs, distinct, least)
+
+
+def apart(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """shingle, same, root of the texts that meet at a shingle where there are several components."""
     w = Window.partitionBy("shingle")
-    root = met.select("shingle", "same").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    mixed = root.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low < high").select("shingle", "same", "root")
+    rows = met.select("shingle", "same").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    mixed = rows.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low < high")
+    return scratch.table(mixed.select("shingle", "same", "root"), "mixed")
+
+
+def across(mixed: DataFrame, distinct: DataFrame, least: float, nth: int) -> DataFrame:
+    """a, b: each text with a neighbour of another component, in an order that is another one for each nth."""
+    w = Window.partitionBy("shingle").orderBy(F.xxhash64("root", F.lit(nth)), F.xxhash64("same", F.lit(nth)))
+    rows = mixed.select(F.col("same").alias("x"), F.lag("same").over(w).alias("y"), "root", F.lag("root").over(w).alias("other")).where("root <> other")
+    return closest(rows.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), distinct, least)
+
+
+def others(mixed: DataFrame, distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """a, b: all pairs that meet at a shingle, may be similar and are in different components."""
     mixed = scratch.table(mixed.join(distinct.select("same", "n", "bits"), "same"), "mixed")
     more = ("shingle", "root", "n", "bits")
     pairs = _side(mixed, "a", *more).join(_side(mixed, "b", *more), F.col("shingle_a") == F.col("shingle_b"))
-    apart = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    different = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
     sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6
-    return scratch.table(pairs.where(apart & sizes & _near(least)).select("a", "b").distinct(), "others")
+    return pairs.where(different & sizes & _near(least)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, least: float, key: str, text: str, s: Scratch) -> DataFrame:
     """The pairs whose sets of shingles are similar."""
     # the sets of texts that have a candidate, from the rows of one key (which may be null, or have other texts too)
+    pairs = s.table(pairs, "candidates")
     some = pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct().join(distinct.select("same", "rep"), "same")
     ids = s.table(some.select("rep", "same"), "some")
     keys = ids.select("rep").distinct().hint("shuffle_hash")
@@ -192,14 +230,32 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, k
     with Scratch(docs.sparkSession) as s:
         full = s.table(sketches(docs, key, text, shingle, least), "sketches")
         made = s.table(full.select(key, "same"), "rows")
-        distinct = s.table(full.groupBy("same").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in ("n", "mins", "bits", "prefix")]), "prefixes")
+        wide = s.table(full.groupBy("same").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix")]), "prefixes")
         s.drop(full)
-        met, wide = meetings(distinct, s), distinct
-        distinct = s.table(wide.select("same", "rep", "n", "bits"), "distinct")
+        met = meetings(wide, s)
+        distinct = s.table(wide.select("same", "rep", "n", "fp", "bits"), "distinct")
         s.drop(wide)
-        links = verified(neighbours(met, distinct, least, s), docs, distinct, shingle, least, key, text, s)
-        rest = verified(others(met, distinct, components(links, s), least, s), docs, distinct, shingle, least, key, text, s)
-        roots = components(links.unionByName(rest), s)
+
+        def check(pairs: DataFrame) -> DataFrame:
+            return verified(pairs, docs, distinct, shingle, least, key, text, s)
+
+        before = met.where("before is not null").select(F.col("same").alias("a"), F.col("before").alias("b")).distinct()
+        links = check(in_balls(distinct, least, s).unionByName(closest(before, distinct, least)).distinct())
+        rows, nth = met.count(), 0
+        while True:
+            roots, nth = components(links, s), nth + 1
+            mixed = apart(met, roots, s)
+            pairs = mixed.groupBy("shingle").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+            if not pairs:
+                break
+            if pairs > PAIRS * rows:
+                new = check(across(mixed, distinct, least, nth))
+                if not new.isEmpty():
+                    links = links.unionByName(new)
+                    continue
+            links = links.unionByName(check(others(mixed, distinct, least, s)))
+            roots = components(links, s)
+            break
         lowest = roots.join(distinct.select("same", "rep"), roots["node"] == distinct["same"]).groupBy("root").agg(F.min("rep").alias("component_id"))
         linked = s.table(roots.join(lowest, "root").select(F.col("node").alias("same"), "component_id"), "linked")
         by_text = s.table(distinct.select("same", "rep").join(linked, "same", "left").select("same", F.coalesce("component_id", "rep").alias("component_id")), "by_text")
