@@ -8,7 +8,11 @@ fetching the seek table and one frame.
 Records whose payloads are equal (SHA-1 and length) are written once in full, by the row with the largest
 id; the others are revisit records that name it. Ids that are null are revisited by nobody. A null
 payload is an empty one; repeated rows become records each (of rows with the largest id and equal
-payloads, all are full); an empty table gives no archive; further columns are not read.
+payloads, all are full); an empty table gives no archive; a payload longer than a frame is a frame of its own; further columns are not
+read.
+
+Reading goes by the index: its entries are put together by frame, frames are dealt over the tasks in short runs, and a task fetches an
+archive's seek table and those frames only. Each record is parsed at its offset.
 
 A task writes its archives under names of its own and only then reports them, so what a lost attempt
 wrote is never read.
@@ -33,6 +37,8 @@ from .common import Scratch, bound_batches
 #: Bytes of records in a frame, and compressed bytes of an archive, from which the next one begins.
 FRAME, ARCHIVE = 1 << 20, 256 << 20
 LEVEL = 6
+#: Neighbouring frames that one task reads; such runs in a task.
+RUN, RUNS = 16, 4
 DATE = "1970-01-01T00:00:00Z"
 # fixed values of the public seekable format
 SKIPPABLE, SEEKABLE, ENTRY, FOOTER = 0x184D2A5E, 0x8F92EAB1, struct.Struct("<II"), struct.Struct("<IBI")
@@ -137,8 +143,14 @@ class Archive:
         return next(parse(self.frame(frame), offset))[1:]
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path in it; Spark's names of S3 are the library's s3."""
+    scheme, colon, rest = uri.partition(":")
+    return pafs.FileSystem.from_uri("s3:" + rest if colon and scheme in ("s3a", "s3n") else uri)
+
+
 def open_archive(path: str) -> Archive:
-    fs, at = pafs.FileSystem.from_uri(path)
+    fs, at = file_system(path)
     return Archive(fs.open_input_file(at))
 
 
@@ -158,7 +170,7 @@ def write_archives(rows: DataFrame, folder: str, frame: int = FRAME, archive: in
     bound_batches(rows.sparkSession)
 
     def run(batches):
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         bundle = name = None
         index: list[tuple] = []
@@ -191,8 +203,30 @@ def write_archives(rows: DataFrame, folder: str, frame: int = FRAME, archive: in
     return rows.select("key", "url", "payload", "refers_to").mapInArrow(run, "key long, archive string, frame int, offset long, length long")
 
 
+RECORDS = "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, archive string, frame int, offset long"
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
+
+
+def _records(path: str, frame: int, found: Iterator[tuple[int, dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    """The rows of the response and revisit records among those found in a frame."""
+    out = []
+    for at, f, block in found:
+        if f["WARC-Type"] not in ("response", "revisit"):
+            continue
+        digest, refers = f["WARC-Payload-Digest"].removeprefix("sha1:"), f.get("X-Refers-To-Key")
+        payload = None
+        if f["WARC-Type"] == "response":
+            payload = block[block.index(b"\r\n\r\n") + 4 :]
+            if payload_digest(payload) != digest:
+                raise ValueError(f"{path}, frame {frame}, offset {at}: the payload doesn't match its digest")
+        n = len(payload) if payload is not None else int(f["X-Payload-Length"])
+        out.append((int(f["X-Key"]) if "X-Key" in f else None, f.get("WARC-Target-URI"), n, digest, f["WARC-Type"], int(refers) if refers else None, payload, path, frame, at))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
-    """A row for each response and revisit record of the archives named in the column ``archive``.
+    """A row for each response and revisit record of the archives named in the column ``archive``, whose index needn't be known.
 
     Payloads of responses are checked against their digests.
     """
@@ -202,31 +236,34 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for path in b.column(0).to_pylist():
                 a = open_archive(path)
                 for i in range(len(a.sizes)):
-                    out = []
-                    for at, f, block in parse(a.frame(i)):
-                        if f["WARC-Type"] not in ("response", "revisit"):
-                            continue
-                        digest, refers = f["WARC-Payload-Digest"].removeprefix("sha1:"), f.get("X-Refers-To-Key")
-                        payload = None
-                        if f["WARC-Type"] == "response":
-                            payload = block[block.index(b"\r\n\r\n") + 4 :]
-                            if payload_digest(payload) != digest:
-                                raise ValueError(f"{path}, frame {i}, offset {at}: the payload doesn't match its digest")
-                        n = len(payload) if payload is not None else int(f["X-Payload-Length"])
-                        out.append((int(f["X-Key"]) if "X-Key" in f else None, f.get("WARC-Target-URI"), n, digest, f["WARC-Type"], int(refers) if refers else None, payload, path, i, at))
-                    if out:
-                        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "archive", "frame", "offset"])
-
-    return archives.select("archive").mapInArrow(run, "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, archive string, frame int, offset long")
+                    yield from _records(path, i, parse(a.frame(i)))
+
+    return archives.select("archive").mapInArrow(run, RECORDS)
+
+
+def read_index(index: DataFrame) -> DataFrame:
+    """The same for the records of an index (archive, frame, offset), which may be any part of one; only their frames are fetched."""
+    spark = index.sparkSession
+    # a frame has as many records as fit in FRAME bytes, or one
+    frames = index.groupBy("archive", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    runs = index.agg(F.count_distinct("archive", F.floor(F.col("frame") / RUN))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs // RUNS)
+
+    def run(batches):
+        a, name = None, None
+        for b in batches:
+            for path, frame, offsets in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if path != name:
+                    a, name = open_archive(path), path
+                data = a.frame(frame)
+                yield from _records(path, frame, (next(parse(data, at)) for at in offsets))
+
+    dealt = frames.repartition(n, "archive", F.floor(F.col("frame") / RUN)).sortWithinPartitions("archive", "frame")
+    return dealt.select("archive", "frame", "offsets").mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """Writes all rows as archives in scratch, reads them back, and gives key, payload_bytes, payload_digest, record_type, refers_to, frame, offset."""
-    spark = pages.sparkSession
-    with Scratch(spark) as s:
+    """Writes all rows as archives in scratch, reads them back by the index, and gives key, payload_bytes, payload_digest, record_type, refers_to, frame, offset."""
+    with Scratch(pages.sparkSession) as s:
         index = s.table(write_archives(with_references(pages, s, key, url, payload, least), s.path("archives")), "index")
-        archives = index.select("archive").distinct()
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = read_archives(archives.repartition(n, "archive"))
-        return s.keep(found.select(F.col("key").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "offset"))
+        return s.keep(read_index(index).select(F.col("key").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "offset"))

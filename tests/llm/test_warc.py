@@ -4,10 +4,11 @@ import io
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import warc
 from keyloom.llm.common import Scratch
-from keyloom.llm.warc import Archive, Bundle, open_archive, parse, read_archives, round_trip, with_references, write_archives
+from keyloom.llm.warc import Archive, Bundle, file_system, open_archive, parse, read_archives, read_index, round_trip, with_references, write_archives
 
 ROWS = [(1, "http://a/ b\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 3_000_000), (6, "u", "WARC/1.1\r\n\r\nno record"), (7, "v", "<p>é</p>"), (None, "w", "only null"), (None, "w", "<p>é</p>"), (8, "z", "twice"), (8, "z", "twice")]
 
@@ -73,3 +74,20 @@ def test_damage_is_noticed_and_empty_table(spark):
     with pytest.raises(ValueError):
         Archive(pa.BufferReader(b"\0" * 100))
     assert round_trip(pages(spark, [])).collect() == []
+
+
+def test_a_part_of_an_index_is_read_by_several_tasks_and_by_its_frames_alone(spark, monkeypatch):
+    with Scratch(spark) as s:
+        many = [(i, "u", f"{i} " * 200) for i in range(400)]
+        index = s.table(write_archives(with_references(pages(spark, many).coalesce(1), s, "page_id", "url", "html"), s.path("a"), frame=2000), "index")
+        assert index.select("archive").distinct().count() == 1
+        found = read_index(index)
+        assert sorted(r.key for r in found.collect()) == list(range(400))
+        used = found.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert used > 1
+        some = read_index(index.where("key % 50 = 7"))
+        assert {r.key: r.payload.decode() for r in some.collect()} == {i: f"{i} " * 200 for i in range(7, 400, 50)}
+
+
+def test_names_of_stores(tmp_path):
+    assert file_system(f"file://{tmp_path}")[1] == str(tmp_path)
