@@ -11,7 +11,7 @@ Line ends in roles are written as backslash n. The loss mask covers the texts of
 
 Null texts and roles are empty; turns are ordered by turn (null first), at ties by role and text; repeated
 rows are turns each; rows with a null conversation are one conversation; an empty table gives no rows;
-further columns are not read.
+further columns are not read, but a record's further fields make its layout another one. A long text is one row.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, partitions_for
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
+#: Sets of paths whose fingerprints a task remembers.
+MARKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -38,15 +40,17 @@ class Layout:
 
     name: str
     fields: tuple[str, ...]  # the field paths that the layout has; optional ones are marked by a question mark
-    turns: str = ""
+    turns: str = ""  # a list field; or, where a record is one turn, empty, with at instead
     role: str = ""
     text: str = ""
     fixed: tuple[tuple[str, str], ...] = ()  # (field, role), in order; empty optional fields are left out
     roles: tuple[tuple[str, str], ...] = ()  # names of roles in the layout and the canonical ones
+    conversation: str = ""  # the field that says which conversation a record belongs to, if it does
+    at: str = ""  # and that with its place there
 
 
 LAYOUTS = (
-    Layout("rows", ("conv_id", "role", "text", "turn"), role="role", text="text"),
+    Layout("rows", ("conv_id", "role", "text", "turn"), role="role", text="text", conversation="conv_id", at="turn"),
     Layout("messages", ("messages[].content", "messages[].role", "id?"), turns="messages", role="role", text="content"),
     Layout("conversations", ("conversations[].from", "conversations[].value", "id?"), turns="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
     Layout("instruction", ("instruction", "output", "input?", "system?", "id?"), fixed=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant"))),
@@ -103,6 +107,9 @@ def _text(value) -> str:
 def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
     """Role and text of each turn of a record."""
     known, out = dict(layout.roles), []
+    if layout.at:
+        role = _text(record.get(layout.role))
+        return [(known.get(role, role), _text(record.get(layout.text)))]
     for x in (_get(record, layout.turns) or []) if layout.turns else []:
         role = _text(x.get(layout.role))
         out.append((known.get(role, role), _text(x.get(layout.text))))
@@ -116,28 +123,43 @@ def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
 def records_to_turns(records: DataFrame, key: str, column: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """conv_id, turn, role, text, layout, fingerprint of JSON records of mixed layouts.
 
-    A record of unknown layout, or that isn't a JSON object, gives one row with its fingerprint (null if it
-    isn't one) and nulls.
+    Each record's own fingerprint selects its mapping. A record is a conversation, whose key is its id, or a turn of one that
+    its layout finds in it. A record of unknown layout, or that isn't a JSON object, gives one row with its fingerprint (null if
+    it isn't one) and nulls; so does a turn whose conversation or place isn't a whole number.
     """
     bound_batches(records.sparkSession)
     table, kind = layout_table(layouts), records.schema[key].dataType.simpleString()
+    whole = lambda x: x is None or isinstance(x, int) and not isinstance(x, bool)
 
     def run(batches):
+        marks: dict[frozenset, str] = {}
         for b in batches:
-            rows, keys = [], []
-            for i, raw in enumerate(b.column(1).to_pylist()):
+            rows = []
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     record = json.loads(raw) if raw is not None else None
                 except ValueError:
                     record = None
-                mark = fingerprint(field_paths(record)) if isinstance(record, dict) else None
-                layout = table.get(mark)
-                found = [(t, *x, layout.name, mark) for t, x in enumerate(turns_of(record, layout))] if layout else [(None, None, None, None, mark)]
-                rows += found
-                keys += [i] * len(found)
+                mark = layout = None
+                if isinstance(record, dict):
+                    paths = frozenset(field_paths(record))
+                    if paths not in marks:
+                        if len(marks) == MARKS:  # ever new layouts
+                            marks.clear()
+                        marks[paths] = fingerprint(set(paths))
+                    mark = marks[paths]
+                    layout = table.get(mark)
+                if layout and layout.at:
+                    own, at = record[layout.conversation], record[layout.at]
+                    if whole(own) and whole(at):
+                        own = str(own) if kind == "string" and own is not None else own
+                        rows += [(own, at, *x, layout.name, mark) for x in turns_of(record, layout)]
+                        continue
+                    layout = None
+                rows += [(k, t, *x, layout.name, mark) for t, x in enumerate(turns_of(record, layout))] if layout else [(k, None, None, None, None, mark)]
             if rows:
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys)), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["conv_id", "turn", "role", "text", "layout", "fingerprint"])
+                kinds = [b.column(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "turn", "role", "text", "layout", "fingerprint"])
 
     return records.select(key, column).mapInArrow(run, f"conv_id {kind}, turn long, role string, text string, layout string, fingerprint string")
 
@@ -205,7 +227,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
     A conversation is read by one task, as its digest runs over all turns, but row by row.
     """
     bound_batches(pieces.sparkSession)
-    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(pieces.sparkSession, pieces)
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text"]
 
     def run(batches):
@@ -244,5 +266,14 @@ def assembled(pieces: DataFrame) -> DataFrame:
 
 def format_and_read(rows: DataFrame) -> DataFrame:
     """Formats a table of turns, writes the pieces, and reads them back."""
-    with Scratch(rows.sparkSession) as s:
-        return s.keep(read_back(s.table(formatted_turns(table_to_turns(rows)), "pieces")))
+    return _formatted_and_read(table_to_turns(rows))
+
+
+def format_records(records: DataFrame, key: str, column: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """The same for JSON records of mixed layouts; those of unknown layout, which records_to_turns reports, are left out."""
+    return _formatted_and_read(records_to_turns(records, key, column, layouts).where("layout is not null"))
+
+
+def _formatted_and_read(turns: DataFrame) -> DataFrame:
+    with Scratch(turns.sparkSession) as s:
+        return s.keep(read_back(s.table(formatted_turns(turns), "pieces")))

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.llm import chat
-from keyloom.llm.chat import LAYOUTS, assembled, fingerprint, format_and_read, formatted_turns, layout_table, read_role, records_to_turns, schema_paths, table_to_turns, unescape
+from keyloom.llm.chat import LAYOUTS, assembled, fingerprint, format_and_read, format_records, formatted_turns, layout_table, read_role, records_to_turns, schema_paths, table_to_turns, unescape
+
+from keyloom.llm.queries import conversation_records, op3_chat_formatting
 
 HARD = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|", "<|", "<", "|", "\\", "", None, "a\nb", "<|im_end|>\n", "é🙂<", "\\n", "<\\n|", "$1"]
 
@@ -86,3 +88,24 @@ def test_tables(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert format_and_read(empty).collect() == []
     assert table_to_turns(empty.withColumn("more", F.lit(1))).columns == ["conv_id", "turn", "role", "text"]
+
+
+def test_the_query_goes_through_fingerprints(spark, tmp_path):
+    """Rows and a nested record of another layout; without a layout, what it maps is missing."""
+    data = [r for r in rows() if r[0] != 60]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    text = "<|im_end|><|im_start|>assistant ok"
+    more = [(-1, 0, "user", text), (-1, 1, "assistant", text)]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op3_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got == brute(data + more)
+    records = conversation_records(spark, str(tmp_path))
+    for gone in ("rows", "messages"):
+        left = format_records(records, "conv_id", "record", tuple(x for x in LAYOUTS if x.name != gone)).collect()
+        assert {r.conv_id for r in left} == ({-1} if gone == "rows" else {r[0] for r in data})
+
+
+def test_records_that_are_turns(spark):
+    records = [{"conv_id": 5, "turn": 1, "role": "user", "text": None}, {"conv_id": None, "turn": None, "role": None, "text": "t"}, {"conv_id": "x", "turn": 1, "role": "user", "text": "t"}, {"conv_id": 5, "turn": 1, "role": "user", "text": "t", "more": 1}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)], "id long, raw string")
+    got = sorted(((r.conv_id, r.turn, r.role, r.text, r.layout) for r in records_to_turns(df, "id", "raw").collect()), key=str)
+    assert got == sorted([(5, 1, "user", "", "rows"), (None, None, "", "t", "rows"), (2, None, None, None, None), (3, None, None, None, None)], key=str)
