@@ -6,7 +6,9 @@ and reads it again.
 
 But for language ID, rows are told apart by doc_id: rows with a null doc_id or one that repeats are decided
 together with the rows of the same doc_id (a document is kept if one of its rows is). Null and empty texts are dropped by
-the first stage.
+the first stage. Repeated rows are copies of each other, of which the third stage keeps those with the smallest doc_id. Long texts
+are read whole by all stages. Further columns, also ones named as an operator names its own, are carried through all stages but
+the last. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +41,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are near a centroid of some language."""
-    return identify(docs, docs, keep=tuple(docs.columns)).where("not rejected").select(docs.columns)
+    # the operator adds columns, and documents may have ones of the same names
+    inner = docs.toDF(*[f"doc_{c}" for c in docs.columns])
+    found = identify(inner, inner, "doc_doc_id", "doc_text", "doc_lang", keep=tuple(inner.columns)).where("not rejected")
+    return found.select(inner.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
