@@ -4,13 +4,12 @@ Ball hashing of SimHash fingerprints (of the same shingles) finds the closest te
 similarity of 0.8. So a prefix filter makes the result whole. The distinct shingles of each text are put in one order that all texts
 share; two texts of similarity t share one of the first n - ceil(t n) + 1 shingles of each, whatever was changed, cut or
 added; so these prefixes are what is shuffled. The order puts shingles last that are common in a sample of the texts: that makes
-groups small and changes no result. Texts that meet at a shingle are in order of a min-hash, which brings similar ones
-together, and each is compared with the one before it: as "before" is the same for all shingles, a crowd becomes one
-tree. While a lot of texts still meet others of another component, each is compared with a neighbour of another one
-(every such round costs their rows); then all pairs that meet and aren't connected yet are compared. So a large group of copies
-costs its rows and not their square, and no pair that could join two components is left out. Pairs are verified: first by
+groups small and changes no result. While the texts that meet at shingles make many pairs of different components, each text is
+compared with one neighbour at each of its shingles, in an order of their own, and the most similar one is verified; that costs their
+rows and makes a crowd one component, or nearly. Then all pairs that meet and aren't connected yet are compared. So a large group of
+copies costs its rows and not their square, and no pair that could join two components is left out. Pairs are verified: first by
 an upper bound of the similarity from a bitmap of parities, which loses none, then by the exact similarity of their sets of
-shingles. Texts are told apart by 64 bits, of which 16 are from the min-hash, and shingles by 64.
+shingles. Texts and shingles are told apart by 64 bits.
 
 Copies that differ in case of A-Z or in white space only are one text. A text of fewer words than a
 shingle has is one shingle; texts without words are copies of each other; null counts as empty; rows with
@@ -36,10 +35,8 @@ SHINGLE, LEAST = 5, 0.8
 SAMPLE, COMMON = 5_000, 200_000
 #: Longs of the bitmap of parities; differing bits of fingerprints that are compared first.
 BITMAP, RADIUS = 8, 2
-#: Bits of a text's identity that are from its words; those above are its min-hash's, so identities bring similar texts together.
-OWN = 48
-#: All pairs are compared once they are at most so many times the rows that meet.
-PAIRS = 4
+#: All pairs are compared once they are at most so many times the rows that meet, or a round links less than this share of the texts.
+PAIRS, SHARE = 4, 0.01
 _ODD = [U((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(16)]
 
 
@@ -84,17 +81,8 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return counts.select("g").toArrow()["g"].to_numpy()[::-1].view(U)
 
 
-def _identities(whole: np.ndarray, g: np.ndarray, soff: np.ndarray) -> np.ndarray:
-    """A long for each text: the highest bits are those of a min-hash of its shingles, the others its words'."""
-    low = np.zeros(len(whole), U)
-    full = np.flatnonzero(np.diff(soff))
-    if len(full):
-        low[full] = np.minimum.reduceat(mix(g ^ _ODD[0]), soff[full])
-    return ((low >> U(OWN)) << U(OWN) | whole & U((1 << OWN) - 1)).view(np.int64)
-
-
 def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
-    """key, same (the text's identity), n (distinct shingles), fp (fingerprint), bits (parities) and prefix of each row; one pass."""
+    """key, same (a hash of the text's words), n (distinct shingles), fp (fingerprint), bits (parities) and prefix of each row; one pass."""
     common = common_shingles(docs.select(key, text), text, shingle)
     by = np.argsort(common)
     known, rank = common[by], by + 1
@@ -104,8 +92,7 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
     def run(batches):
         for b in rechunk(batches):
             _, _, whole, g, soff = _hashed(b.column(1), shingle)
-            same, fp = _identities(whole, g, soff), fingerprints_of(g, soff)
-            m = b.num_rows
+            m, fp = b.num_rows, fingerprints_of(g, soff)
             own, late = np.repeat(np.arange(m), np.diff(soff)), np.zeros(len(g), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, g), len(known) - 1)
@@ -131,19 +118,19 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
             np.cumsum(first, out=ends[1:])
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))
             parities = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), BITMAP).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), parities, prefix], names=[key, "same", "n", "fp", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), parities, prefix], names=[key, "same", "n", "fp", "bits", "prefix"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, same long, n long, fp long, bits array<long>, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """same (the text's identity) and shingles (distinct hashes) of each row."""
+    """same (a hash of the text's words) and shingles (distinct hashes) of each row."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in rechunk(batches):
             _, _, whole, g, soff = _hashed(b.column(0), shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(_identities(whole, g, soff)), pa.array([np.unique(g[soff[i] : soff[i + 1]]).view(np.int64) for i in range(b.num_rows)], pa.list_(pa.int64()))], names=["same", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([np.unique(g[soff[i] : soff[i + 1]]).view(np.int64) for i in range(b.num_rows)], pa.list_(pa.int64()))], names=["same", "shingles"])
 
     return docs.select(text).mapInArrow(run, "same long, shingles array<long>")
 
@@ -163,15 +150,13 @@ def _side(rows: DataFrame, c: str, *more: str) -> DataFrame:
 
 
 def meetings(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """shingle, same, before (the text before it there, if any) of the prefixes' shingles that several texts have there."""
+    """shingle, same of the prefixes' shingles that several texts have there."""
     rows = distinct.select("same", F.explode("prefix").alias("shingle"))
-    w = Window.partitionBy("shingle").orderBy("same")
-    texts = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return scratch.table(rows.select("*", texts.alias("texts"), F.lag("same").over(w).alias("before")).where("texts > 1").drop("texts"), "meetings")
+    return scratch.table(rows.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).where("texts > 1").drop("texts"), "meetings")
 
 
 def closest(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
-    """a, b: of each a's pairs that may be similar, that with the fewest differing parities. All b are before a, so these links have no ring."""
+    """a, b: of each a's pairs that may be similar, that with the fewest differing parities. All b are smaller than a, so these links have no ring."""
     both = pairs.join(_side(distinct, "a", "n", "bits"), "a").join(_side(distinct, "b", "n", "bits"), "b").where(_near(least))
     return both.groupBy("a").agg(F.min_by("b", F.struct(_apart(), "b")).alias("b"))
 
@@ -186,8 +171,10 @@ def in_balls(distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     return closest(pairs, distinct, least)
 
 
-def apart(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """shingle, same, root of the texts that meet at a shingle where there are several components."""
+def apart(met: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """shingle, same, root of the texts that meet at a shingle where there are several components; without roots, each is its own."""
+    if roots is None:
+        return met.withColumn("root", F.col("same"))
     w = Window.partitionBy("shingle")
     rows = met.select("shingle", "same").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     mixed = rows.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low < high")
@@ -195,8 +182,11 @@ def apart(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def across(mixed: DataFrame, distinct: DataFrame, least: float, nth: int) -> DataFrame:
-    """a, b: each text with a neighbour of another component, in an order that is another one for each nth."""
-    w = Window.partitionBy("shingle").orderBy(F.xxhash64("root", F.lit(nth)), F.xxhash64("same", F.lit(nth)))
+    """a, b: each text with its most similar smaller one of those that are its neighbours at a shingle and in another component.
+
+    The order is another one at each shingle and for each nth, so a text has as many neighbours as shingles.
+    """
+    w = Window.partitionBy("shingle").orderBy(F.xxhash64("same", "shingle", F.lit(nth)))
     rows = mixed.select(F.col("same").alias("x"), F.lag("same").over(w).alias("y"), "root", F.lag("root").over(w).alias("other")).where("root <> other")
     return closest(rows.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), distinct, least)
 
@@ -222,7 +212,10 @@ def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: in
     sets = s.table(shingle_sets(rows, "text", shingle).join(ids.select("same"), "same", "left_semi").dropDuplicates(["same"]), "sets")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     alike = pairs.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
-    return s.table(alike.where(common >= least * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b"), "links")
+    links = s.table(alike.where(common >= least * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b"), "links")
+    for t in (pairs, ids, sets):
+        s.drop(t)
+    return links
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,23 +232,19 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, k
         def check(pairs: DataFrame) -> DataFrame:
             return verified(pairs, docs, distinct, shingle, least, key, text, s)
 
-        before = met.where("before is not null").select(F.col("same").alias("a"), F.col("before").alias("b")).distinct()
-        links = check(in_balls(distinct, least, s).unionByName(closest(before, distinct, least)).distinct())
-        rows, nth = met.count(), 0
+        balls = in_balls(distinct, least, s)
+        links, roots, rows, nth, go_on = None, None, met.count(), 0, True
         while True:
-            roots, nth = components(links, s), nth + 1
-            mixed = apart(met, roots, s)
-            pairs = mixed.groupBy("shingle").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
-            if not pairs:
+            mixed, nth = apart(met, roots, s), nth + 1
+            per = mixed.groupBy("shingle", "root").count().groupBy("shingle").agg(F.sum(F.col("count").cast("double")).alias("n"), F.sum(F.pow("count", F.lit(2))).alias("own"))
+            pairs = per.agg(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()[0] or 0
+            linear = pairs > PAIRS * rows and go_on
+            new = across(mixed, distinct, least, nth) if linear else others(mixed, distinct, least, s)
+            new = check(new.unionByName(balls).distinct() if links is None else new)
+            links = new if links is None else links.unionByName(new)
+            roots, go_on = components(links, s), linear and new.count() >= SHARE * mixed.select("same").distinct().count()
+            if not linear:
                 break
-            if pairs > PAIRS * rows:
-                new = check(across(mixed, distinct, least, nth))
-                if not new.isEmpty():
-                    links = links.unionByName(new)
-                    continue
-            links = links.unionByName(check(others(mixed, distinct, least, s)))
-            roots = components(links, s)
-            break
         lowest = roots.join(distinct.select("same", "rep"), roots["node"] == distinct["same"]).groupBy("root").agg(F.min("rep").alias("component_id"))
         linked = s.table(roots.join(lowest, "root").select(F.col("node").alias("same"), "component_id"), "linked")
         by_text = s.table(distinct.select("same", "rep").join(linked, "same", "left").select("same", F.coalesce("component_id", "rep").alias("component_id")), "by_text")

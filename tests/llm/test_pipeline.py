@@ -20,7 +20,8 @@ def folder(spark, tmp_path_factory):
     item = text_of(rnd, "en", 25)
     rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(5)]  # exact copies
     rows += [(300 + i, rows[i][1] + " " + text_of(rnd, "en", 1), rows[i][2]) for i in (7,)]  # may or may not be a near copy
-    rows += [(400, rows[21][1] + "\n" + item + ".", "en")]  # a benchmark passage
+    rows += [(400, text_of(random.Random(10), "en", 150) + "\n" + item + ".", "en")]  # a benchmark passage
+    rows += [(401, rows[21][1] + "\n" + item + ".", "en")]  # another one, in what is a near copy of 21 (similarity 0.91)
     rows += [(500 + i, "".join(chr(rnd.randrange(33, 64)) for _ in range(900)), "en") for i in range(5)]  # junk
     rows += [(600, None, "en"), (601, "", None)]
     docs = spark.createDataFrame([(*r, "src", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
@@ -42,6 +43,7 @@ def test_stages_drop_what_they_should_and_keep_the_rest(spark, folder):
     clean = set(range(120))
     assert len(gone["quality classifier"] & clean) <= 3 and not gone["language ID"] & clean
     assert gone["SimHash near-dedup"] >= {*range(200, 205)} - gone["quality classifier"] and not gone["SimHash near-dedup"] & clean
+    assert 401 in gone["SimHash near-dedup"] | gone["quality classifier"]
     assert gone["benchmark decontamination"] | gone["quality classifier"] >= {400} and not gone["benchmark decontamination"] & clean
 
 
@@ -57,3 +59,21 @@ def test_nothing_left(spark, folder):
     for _, stage in p.STAGES[:-1]:
         docs = stage(spark, docs, folder)
     assert p.STAGES[-1][1](spark, docs, folder).collect() == []
+
+
+def test_clashing_columns_and_a_very_long_text(spark, folder):
+    """Columns named as the operators name theirs are carried through; a long text is decided as a whole."""
+    names = ["score", "rejected", "lang_pred", "keep", "train", "held", "trusted", "same", "kept_id", "component_id", "contaminated", "n_hit", "segment", "piece"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rnd = random.Random(4)
+    long = text_of(rnd, "en", 60_000)
+    more = spark.createDataFrame([(700, long, "en", "src", len(long)), (701, long.upper() + "\n", "en", "src", len(long))], docs.schema)
+    docs = docs.unionByName(more).withColumns({n: F.lit(f"x{i}") for i, n in enumerate(names)})
+    columns = docs.columns
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns == columns
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert 700 in kept and 701 not in kept and kept[700].text == long and kept[700].score == "x0" and kept[700].rejected == "x1"
+    pieces = [r for r in p.STAGES[-1][1](spark, docs, folder).where("doc_id = 700").collect()]
+    assert len(pieces) > 20 and sorted(r.piece for r in pieces) == list(range(len(pieces)))
