@@ -85,3 +85,33 @@ def test_prefix_ranges_by_brute_force():
         a, b = under(keys, keys[:20], np.full(20, n))
         for i in range(20):
             assert b[i] - a[i] == sum(bin(int(k) ^ int(keys[i]))[2:].zfill(64)[:n].count("1") == 0 for k in keys)
+
+
+def test_a_recall_of_one_is_exact_also_over_many_split_shards(spark, rows, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "SHARD", 64)
+    monkeypatch.setattr(lsh_forest, "LARGE", 1)
+    found = nearest(table(spark, rows), F.col("vec_id") % 10 == 0, recall=1.0).collect()
+    want = brute(list(dict((str(r), r) for r in rows).values()), lambda i: i % 10 == 0)
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+    assert dict(got) == {i: [j for j, _ in x] for i, x in want.items()}
+
+
+def test_recall_of_clustered_vectors_away_from_the_origin_and_of_lone_queries(spark, monkeypatch):
+    """Shards are small and few entries are asked for at least, so the number is measured and queries ascend over shards."""
+    monkeypatch.setattr(lsh_forest, "SHARD", 128)
+    monkeypatch.setattr(lsh_forest, "LARGE", 2)
+    monkeypatch.setattr(lsh_forest, "LEAST", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 16)) * 2
+    x = 3 + np.concatenate([centres[rng.integers(0, 6, 3000)] + 0.5 * rng.standard_normal((3000, 16)), rng.standard_normal((40, 16)) * 6])
+    x = x.astype(np.float32)
+    got = run(spark, [(i, v.tolist()) for i, v in enumerate(x)], 40)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for i in range(0, len(x), 40):
+        s = u @ u[i]
+        s[i] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & {j for j, _ in got[i]})
+    assert all(len(v) == 5 for v in got.values()) and hit >= 0.9 * 5 * len(range(0, len(x), 40))
