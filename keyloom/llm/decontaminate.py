@@ -5,11 +5,13 @@ hashes of words) and, for every term, the list of its positions; all postings of
 A phrase starts from the list of its rarest term in the segment, shifted by that term's offset in the
 phrase, and is intersected with the shifted lists of the others from rare to frequent. Proximity allows
 each other term to stray from its place by a number of words. Phrases never cross from one text to the
-next. Queries are sent to all segments in blocks of a bounded number of phrases.
+next. Queries are sent to all segments in blocks of a bounded size, as the hashes of their words; a task makes their phrases, some
+at a time. A benchmark of one block, which is the rule, is one pass over the index; what a block found is written before the next one
+is sent, and the block is taken back.
 
 Null and empty texts have no words and no hits; repeated rows are answered each, with whatever keys they
-have; items without words make no phrase; a null item_id hits words but isn't counted as an item;
-further columns are not read.
+have; items without words make no phrase; a null item_id hits words but isn't counted as an item; a text longer than a segment is a
+segment; an empty table of texts gives no rows, one of items no hits; further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, bound_batches, rechunk
 from .textvec import LOWER, U, span_hashes, texts, words
 
-#: Query items of a block; their phrases are what is broadcast at once.
-BLOCK_ITEMS = 2_000
-#: Bytes of item texts of a block; a longer item is a block of its own.
-BLOCK_BYTES = 4 << 20
+#: Query items of a block, and bytes of their texts (a longer item is a block of its own): the hashes of their words are what is broadcast at once.
+BLOCK_ITEMS, BLOCK_BYTES = 100_000, 16 << 20
+#: Phrases that a task makes at once.
+PHRASES = 1 << 17
 #: Candidates intersected at once.
 CANDIDATES = 1 << 19
 
@@ -122,17 +124,25 @@ class Segment:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def windows_of(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By length, the windows of all items as rows of hashes, and the items they are of; a shorter item is one window."""
-    h, woff = hashed_words(column)
-    n = np.diff(woff)
+def windows_of(h: np.ndarray, woff: np.ndarray, size: int, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows of all items (hashes of their words, and offsets) as rows of hashes of one length, some at a time, and the items they are of.
+
+    A shorter item is one window. Windows with a word that isn't among the sorted terms are left out.
+    """
+    if not len(terms) or not len(h):
+        return
+    n, absent = np.diff(woff), np.zeros(len(h) + 1, np.int64)
+    np.cumsum(terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] != h, out=absent[1:])
     for length in np.unique(np.minimum(n, size)):
         items = np.flatnonzero(np.minimum(n, size) == length)
         if not length:
             continue
         each = n[items] - length + 1
         first = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(woff[items], each)
-        yield h[first[:, None] + np.arange(length)], np.repeat(items, each)
+        full = absent[first + length] == absent[first]
+        first, of = first[full], np.repeat(items, each)[full]
+        for i in range(0, len(first), PHRASES):
+            yield h[first[i : i + PHRASES, None] + np.arange(length)], of[i : i + PHRASES]
 
 
 def _blocks(items: DataFrame, scratch: Scratch, key: str, text: str) -> Iterator[pa.Table]:
@@ -154,15 +164,15 @@ def find_phrases(index: DataFrame, items: DataFrame, scratch: Scratch, window: i
     """Matches of the items' windows: segment, row (of the text in its segment), items (those with a match), ranges (disjoint, of the words hit)."""
     spark, out = index.sparkSession, None
     for block in _blocks(items, scratch, item_key, text):
-        names = block["item"].to_pylist()
-        shipped = spark.sparkContext.broadcast([(w, i) for w, i in windows_of(block["text"], window)])
+        shipped = spark.sparkContext.broadcast((*hashed_words(block["text"].combine_chunks()), block["item"].to_pylist()))
 
-        def run(batches, shipped=shipped, names=names):
+        def run(batches, shipped=shipped):
+            h, woff, names = shipped.value
             for b in batches:
                 for r in b.to_pylist():
                     seg = Segment(np.array(r["n_words"], np.int64), r["terms"], r["starts"], r["postings"])
                     hits = []
-                    for w, item in shipped.value:
+                    for w, item in windows_of(h, woff, window, seg.terms):
                         p, t, at = seg.search(w, slop)
                         hits.append(np.stack([t, at, np.minimum(at + w.shape[1], seg.woff[t + 1] - seg.woff[t]), item[p]], 1))
                     hits = np.concatenate(hits) if hits else np.zeros((0, 4), np.int64)
@@ -179,6 +189,8 @@ def find_phrases(index: DataFrame, items: DataFrame, scratch: Scratch, window: i
                         yield pa.RecordBatch.from_arrays([pa.array([r["segment"]] * len(row)), pa.array(row, pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], names=["segment", "row", "items", "ranges"])
 
         got = index.select("segment", "n_words", "terms", "starts", "postings").mapInArrow(run, "segment long, row int, items array<string>, ranges array<struct<s: long, e: long>>")
+        got = scratch.table(got, "found")
+        shipped.unpersist()
         out = got if out is None else out.unionByName(got)
     if out is None:
         return spark.createDataFrame([], "segment long, row int, items array<string>, ranges array<struct<s: long, e: long>>")
@@ -189,7 +201,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, key: str
     """key, n_words, n_hit, n_items, items (ids as sorted strings), contaminated of each row of docs."""
     with Scratch(docs.sparkSession) as s:
         index = s.table(build_index(docs, key, text), "index")
-        found = s.table(find_phrases(index, items, s, window, 0, item_key, item_text), "found")
+        found = find_phrases(index, items, s, window, 0, item_key, item_text)
         # a text has at most one row for each block of queries
         per = found.groupBy("segment", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"))
         union = F.aggregate(
