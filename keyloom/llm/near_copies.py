@@ -2,8 +2,8 @@
 
 Ball hashing of SimHash fingerprints (of the same shingles) finds the closest texts cheaply, but two bits are no bound on a
 similarity of 0.8. So a prefix filter makes the result whole. The distinct shingles of each text are put in one order that all texts
-share; two texts of similarity t share one of the first n - ceil(t n) + 1 shingles of each, whatever was changed, cut or
-added; so these prefixes are what is shuffled. The order puts shingles last that are common in a sample of the texts: that makes
+share; two texts of similarity t share k of the first n - ceil(t n) + k shingles of each, whatever was changed, cut or
+added; so these prefixes are what is shuffled, and pairs that share fewer are let go (k is 1 to DEEP, more for longer texts). The order puts shingles last that are common in a sample of the texts: that makes
 groups small and changes no result. While the texts that meet at shingles make many pairs of different components, each text is
 compared with one neighbour at each of its shingles, in an order of their own, and the most similar one is verified; that costs their
 rows and makes a crowd one component, or nearly. Then all pairs that meet and aren't connected yet are compared. So a large group of
@@ -37,6 +37,8 @@ SAMPLE, COMMON = 5_000, 200_000
 BITMAP, RADIUS = 8, 2
 #: All pairs are compared once they are at most so many times the rows that meet, or a round links less than this share of the texts.
 PAIRS, SHARE = 4, 0.01
+#: Shingles that long texts share in their prefixes if they are similar; a text of n has one more for every STEP of n.
+DEEP, STEP = 8, 32
 _ODD = [U((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(16)]
 
 
@@ -112,7 +114,7 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
                 bit, place = U(1) << (h & U(63)), (h >> U(6)) % U(BITMAP)
                 for k in range(BITMAP):
                     bits[full, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, U(0)), off[full])
-            first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+            first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + np.minimum(DEEP, n // STEP + 1), 0)
             inside = np.arange(len(g)) - np.repeat(off[:-1], n) < np.repeat(first, n)
             ends = np.zeros(m + 1, np.int32)
             np.cumsum(first, out=ends[1:])
@@ -192,13 +194,15 @@ def across(mixed: DataFrame, distinct: DataFrame, least: float, nth: int) -> Dat
 
 
 def others(mixed: DataFrame, distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """a, b: all pairs that meet at a shingle, may be similar and are in different components."""
+    """a, b: all pairs that meet at enough shingles, may be similar and are in different components."""
     mixed = scratch.table(mixed.join(distinct.select("same", "n", "bits"), "same"), "mixed")
     more = ("shingle", "root", "n", "bits")
     pairs = _side(mixed, "a", *more).join(_side(mixed, "b", *more), F.col("shingle_a") == F.col("shingle_b"))
     different = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
     sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6
-    return pairs.where(different & sizes & _near(least)).select("a", "b").distinct()
+    # a pair has a row for each shingle that both prefixes have
+    shared = pairs.where(different & sizes & _near(least)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("n_a"), F.first("n_b")).alias("n"))
+    return shared.where(F.col("shared") >= F.least(F.lit(DEEP), F.floor(F.col("n") / STEP) + 1)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, least: float, key: str, text: str, s: Scratch) -> DataFrame:
