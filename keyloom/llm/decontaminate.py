@@ -132,7 +132,7 @@ def windows_of(h: np.ndarray, woff: np.ndarray, size: int, terms: np.ndarray) ->
     if not len(terms) or not len(h):
         return
     n, absent = np.diff(woff), np.zeros(len(h) + 1, np.int64)
-    np.cumsum(terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] != h, out=absent[1:])
+    np.cumsum((terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] != h).astype(np.int64), out=absent[1:])
     for length in np.unique(np.minimum(n, size)):
         items = np.flatnonzero(np.minimum(n, size) == length)
         if not length:

@@ -116,8 +116,7 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
                     bits[full, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, U(0)), off[full])
             first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + np.minimum(DEEP, n // STEP + 1), 0)
             inside = np.arange(len(g)) - np.repeat(off[:-1], n) < np.repeat(first, n)
-            ends = np.zeros(m + 1, np.int32)
-            np.cumsum(first, out=ends[1:])
+            ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))
             parities = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), BITMAP).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), parities, prefix], names=[key, "same", "n", "fp", "bits", "prefix"])
