@@ -179,12 +179,12 @@ def find_phrases(index: DataFrame, items: DataFrame, scratch: Scratch, window: i
                     hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
                     row, found, ranges = [], [], []
                     for t in np.unique(hits[:, 0]):
-                        h = hits[hits[:, 0] == t]
-                        ends = np.maximum.accumulate(h[:, 2])
-                        new = np.concatenate([[True], h[1:, 1] > ends[:-1]])
+                        own = hits[hits[:, 0] == t]
+                        ends = np.maximum.accumulate(own[:, 2])
+                        new = np.concatenate([[True], own[1:, 1] > ends[:-1]])
                         row.append(int(t))
-                        ranges.append([{"s": int(a), "e": int(z)} for a, z in zip(h[new, 1], np.append(ends[:-1][new[1:]], ends[-1]), strict=True)])
-                        found.append(sorted({names[i] for i in h[:, 3]} - {None}))
+                        ranges.append([{"s": int(a), "e": int(z)} for a, z in zip(own[new, 1], np.append(ends[:-1][new[1:]], ends[-1]), strict=True)])
+                        found.append(sorted({names[i] for i in own[:, 3]} - {None}))
                     if row:
                         yield pa.RecordBatch.from_arrays([pa.array([r["segment"]] * len(row)), pa.array(row, pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], names=["segment", "row", "items", "ranges"])
 

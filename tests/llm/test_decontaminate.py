@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from keyloom.llm import common
 from keyloom.llm import decontaminate as d
 from keyloom.llm.decontaminate import Segment, build_index, decontaminate, hashed_words
 
@@ -85,3 +86,14 @@ def test_proximity():
     assert len(s.search(q)[0]) == 0
     assert set(s.search(q, slop=1)[1]) == {0}
     assert set(s.search(q, slop=4)[1]) == {0, 2}
+
+
+def test_many_segments_in_a_task_give_the_same(as_docs, spark, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_ROWS", 3)
+    monkeypatch.setattr(d, "rechunk", lambda batches: (b for b in batches if b.num_rows))
+    texts, items = cases()
+    bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
+    docs = as_docs(texts).coalesce(1)
+    assert build_index(docs).count() > 10
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in decontaminate(docs, bench).collect()}
+    assert got == brute(texts, items)
