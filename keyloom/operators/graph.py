@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and read from the shared folder from here on."""
-    _checkpointed(df.sparkSession)
-    return df.checkpoint()
-
-
-def _checkpointed(spark: SparkSession) -> None:
-    """A checkpoint folder: the session's setting, or one of our own where it is unset (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/keyloom-graph-{spark.sparkContext.applicationId}")
+from .tables import Cut
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that is reachable) for each node of the edges (two columns).
 
     Each node takes the smallest root among its own and its neighbours', then its root's root, until
-    nothing changes; the lineage is cut each round by a checkpoint in the shared folder.
+    nothing changes; each round is a table in the shared folder, and the one before it goes.
     """
-    _checkpointed(edges.sparkSession)
+    cut = Cut(edges.sparkSession)
     a, b = edges.columns
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct().checkpoint()
-    roots = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("root")).checkpoint()
+    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
+    last = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("root")))
     while True:
+        roots = last.select("node", "root")
         near = both.join(roots.select(F.col("node").alias("y"), F.col("root").alias("near")), "y").groupBy(F.col("x").alias("node")).agg(F.min("near").alias("near"))
         low = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         up = roots.select(F.col("node").alias("low"), F.col("root").alias("up"))
-        new = low.join(up, "low", "left").select("node", F.col("root").alias("was"), F.least("low", F.coalesce("up", "low")).alias("root")).checkpoint()
-        if not new.where("was <> root").limit(1).count():
+        new = cut(low.join(up, "low", "left").select("node", F.col("root").alias("was"), F.least("low", F.coalesce("up", "low")).alias("root")))
+        cut.drop(last)
+        if new.where("was <> root").isEmpty():
+            cut.drop(both)
             return new.select("node", "root")
-        roots = new.select("node", "root")
+        last = new

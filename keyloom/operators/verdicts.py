@@ -33,15 +33,18 @@ def union_verdicts(*streams: DataFrame) -> DataFrame:
 def merge_verdicts(verdicts: DataFrame) -> DataFrame:
     """One row a key: the verdict of highest priority, then of the highest source, then the first; all distinct reasons in order of arrival.
 
-    verdicts: COLUMNS and ord. Rows without a key are left out.
+    verdicts: COLUMNS and ord. Rows without a key are left out. The rows are read once: first they are aggregated by key and reason, in
+    each task before the shuffle, so that what is gathered of a key is its distinct reasons.
     """
     rows = verdicts.where("key is not null and key <> ''")
-    best = Window.partitionBy("key").orderBy(F.desc(priority("verdict", VERDICT_PRIORITY)), F.desc(priority("source", SOURCE_PRIORITY)), "ord")
-    top = rows.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "ord")
-    reasons = rows.where("reason <> ''").groupBy("key", "reason").agg(F.min("ord").alias("ord"))
-    joined = reasons.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "reason"))).alias("all"))
-    joined = joined.select("key", F.array_join(F.transform("all", lambda x: x["reason"]), "; ").alias("reasons"))
-    return top.join(joined, "key", "left").select("key", "en_current", "zh_current", "verdict", "suggestion", F.coalesce("reasons", "reason").alias("reason"), "source")
+    rank = F.struct((-priority("verdict", VERDICT_PRIORITY)).alias("verdict"), (-priority("source", SOURCE_PRIORITY)).alias("source"), "ord")
+    one = F.struct(*[c for c in COLUMNS if c != "key"])
+    by_reason = rows.groupBy("key", "reason").agg(F.min("ord").alias("ord"), F.min(F.struct(rank.alias("rank"), one.alias("row"))).alias("best"))
+    said = F.array_sort(F.collect_list(F.when(F.col("reason") != "", F.struct("ord", "reason"))))
+    per = by_reason.groupBy("key").agg(F.min("best").alias("best"), said.alias("said"))
+    row = F.col("best.row")
+    reasons = F.when(F.size("said") > 0, F.array_join(F.transform("said", lambda x: x["reason"]), "; ")).otherwise(row["reason"])
+    return per.select("key", *[row[c].alias(c) for c in ("en_current", "zh_current", "verdict", "suggestion")], reasons.alias("reason"), row["source"].alias("source"))
 
 
 def keep_all(verdicts: DataFrame) -> DataFrame:
@@ -97,6 +100,53 @@ def source_distribution(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("source").agg(F.count("*").alias("n"))
 
 
+def namespace_pages(verdicts: DataFrame, report: DataFrame) -> DataFrame:
+    """namespace, nth, line of a page for each namespace but the default one: counts, then a table of issues, FAIL first and then by key.
+
+    verdicts: with namespace. report: what namespace_report gives.
+    """
+    issues = verdicts.where((F.col("verdict") != PASS) & (F.col("namespace") != DEFAULT))
+    order = Window.partitionBy("namespace").orderBy(F.when(F.col("verdict") == FAIL, 0).otherwise(1), "key", "reason")
+    row = F.concat(F.lit("| "), "verdict", F.lit(" | `"), "key", F.lit("` | "), "reason", F.lit(" |"))
+    table = issues.select("namespace", (F.row_number().over(order) + 12).cast("int").alias("nth"), row.alias("line"))
+    count = lambda label, c, unit="": F.concat(F.lit(f"- {label}："), F.col(c).cast("string"), F.lit(unit))
+    head = [
+        F.concat(F.lit("# "), "namespace", F.lit(" — 翻译审校报告")), F.lit(""), count("条目总数", "total"), count("问题", "issues", " 处"), count(FAIL, "fail"), count(SUGGEST, "suggest"), count(REVIEW, "review"),
+        F.lit(""), F.lit("## 问题清单"), F.lit(""), F.lit("| 判定 | 键名 | 问题 |"), F.lit("|------|------|------|"),
+    ]
+    heads = report.where((F.col("issues") > 0) & (F.col("namespace") != DEFAULT)).select("namespace", F.posexplode(F.array(*head)).alias("nth", "line"))
+    return heads.select("namespace", (F.col("nth") + 1).alias("nth"), "line").unionByName(table)
+
+
+def summary_page(entries: DataFrame, verdicts: DataFrame, report: DataFrame, deletions: DataFrame | None = None) -> DataFrame:
+    """nth, line of the summary page: counts, a row for each namespace, deleted keys (namespace, deletions), links to the namespaces' pages.
+
+    The page has a row for each namespace, so one task puts the rows in order.
+    """
+    n = entries.agg(F.count("*").alias("total"))
+    v = verdicts.agg(F.count("*").alias("all"), *[F.count_if(F.col("verdict") == x).alias(a) for x, a in ((FAIL, "fail"), (SUGGEST, "suggest"), (REVIEW, "review"))])
+    said = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p).cast("string") for i, p in enumerate(parts)])
+    head = F.array(
+        F.lit("# 翻译审校报告"), F.lit(""), said("共审校 **", "total", "** 条翻译，发现 **", "all", "** 处问题："), said(f"- {FAIL}：", "fail", " 处（必须修复）"), said(f"- {SUGGEST}：", "suggest", " 处（建议改进）"), said(f"- {REVIEW}：", "review", " 处（需人工判断）"),
+        F.lit(""), F.lit("## 按模组统计"), F.lit(""), F.lit("| 模组 | 总计 | 问题 | ❌ FAIL | ⚠️ SUGGEST | 🔶 REVIEW |"), F.lit("|------|------|------|---------|-----------|----------|"),
+    )
+    # one row each
+    top = n.join(v, F.lit(True)).select(F.lit(0).alias("part"), F.posexplode(head).alias("at", "line")).select("part", F.lit("").alias("name"), "at", "line")
+    row = said("| ", "namespace", " | ", "total", " | ", "issues", " | ", "fail", " | ", "suggest", " | ", "review", " |")
+    parts = [top, report.select(F.lit(1).alias("part"), F.col("namespace").alias("name"), F.lit(0).alias("at"), row.alias("line"))]
+    spark = entries.sparkSession
+    fixed = [(3, "", 0, ""), (3, "", 1, "## 各模组详细报告"), (3, "", 2, ""), (5, "", 0, ""), (5, "", 1, ""), (5, "", 2, "> 完整数据见 report.json，可筛选查询所有 verdict 详情。")]
+    if deletions is not None and not (gone := deletions.where("deletions > 0")).isEmpty():
+        fixed += [(2, "", 0, ""), (2, "", 1, "## ⚠️ 兼容性警告"), (2, "", 2, ""), (2, "", 3, "以下模组本次 PR 删除了旧 key，使用旧版模组翻译的玩家可能遇到 key 缺失："), (2, "", 4, "")]
+        parts.append(gone.select(F.lit(2).alias("part"), F.col("namespace").alias("name"), F.lit(5).alias("at"), said("- **", "namespace", "**：删除 ", "deletions", " 个 key").alias("line")))
+    parts.append(spark.createDataFrame(fixed, "part int, name string, at int, line string"))
+    link = said("- [", "namespace", "](", "namespace", "_report.md)")
+    parts.append(report.where(F.col("namespace") != DEFAULT).select(F.lit(4).alias("part"), F.col("namespace").alias("name"), F.lit(0).alias("at"), link.alias("line")))
+    rows = reduce(DataFrame.unionByName, parts)
+    # the fixed lines of a part come before its namespaces, whatever these are called
+    return rows.select(F.row_number().over(Window.orderBy("part", F.when(F.col("part") == 2, F.col("at")).otherwise(0), "name", "at")).alias("nth"), "line")
+
+
 def report_lines(verdicts: DataFrame) -> DataFrame:
     """namespace, line: each issue as a line of a Markdown report, for a sink partitioned by namespace."""
     line = F.format_string("- %s `%s`: %s → %s — %s", "verdict", "key", F.substring("en_current", 1, 120), F.substring("zh_current", 1, 120), "reason")
