@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The whole table; one whose files give fewer tasks than there are cores (few row groups) is dealt over them, any other is read as it lies."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 KEY = """concat(CASE page_id % 8 WHEN 0 THEN 'item.' WHEN 1 THEN 'subtitles.' WHEN 2 THEN 'book.' WHEN 3 THEN 'music_disc.' WHEN 4 THEN 'death.' WHEN 5 THEN 'block.' WHEN 6 THEN 'sound.' ELSE 'gui.' END, CAST(page_id AS STRING), CASE WHEN page_id % 8 = 3 THEN '.desc' ELSE '' END)"""

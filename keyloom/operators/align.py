@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import SUGGEST
 from ..functions.text import code_like
 
 
@@ -92,6 +93,23 @@ def change_stats(changes: DataFrame) -> DataFrame:
     )
 
 
+def _quoted(text: Column) -> Column:
+    """The text in quotation marks, line ends and backslashes escaped; double marks only where it has single ones alone."""
+    plain = text
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    double = text.contains("'") & ~text.contains('"')
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def change_warnings(changes: DataFrame) -> DataFrame:
+    """A SUGGEST verdict for each changed entry with a warning; its texts are filled in from the entries later."""
+    cut = lambda c: _quoted(F.substring(F.coalesce(c, F.lit("")), 1, 60))
+    reason = F.concat(F.lit("原文变更但翻译未变更。旧EN: "), cut(F.col("old_en")), F.lit(" → 新EN: "), cut(F.col("en")))
+    blank = F.lit("")
+    return changes.where("warning is not null").select("key", blank.alias("en_current"), blank.alias("zh_current"), F.lit(SUGGEST).alias("verdict"), blank.alias("suggestion"), reason.alias("reason"), F.lit("pr_warning").alias("source"))
+
+
 def warned_entries(changes: DataFrame) -> DataFrame:
     """Entries of namespaces with a warning."""
     return changes.join(changes.where("warning is not null").select("namespace").distinct(), "namespace", "left_semi")

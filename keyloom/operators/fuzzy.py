@@ -9,6 +9,10 @@ from ..config import DEFAULTS, Settings
 from ..functions import text as t
 
 WORD = r"(?U)[\w&&[^_]]+"
+# Fixed value: what stands for a translation that isn't there.
+NO_TRANSLATION = "(无翻译)"
+#: The usual constants of BM25, the least weight of a word that half of the lines have, and places that scores are compared to.
+K1, B, LEAST_IDF, PLACES = 1.2, 0.75, 1e-6, 6
 
 
 def query_tokens(query) -> Column:
@@ -18,36 +22,52 @@ def query_tokens(query) -> Column:
 
 
 def index_tokens(memory: DataFrame) -> DataFrame:
-    """key, token: the distinct words of key, en and zh of each line, in lower case."""
-    words = t.all_matches(F.lower(F.concat_ws(" ", "key", "en", "zh")), WORD)
-    return memory.select("key", F.explode(F.array_distinct(words)).alias("token"))
+    """key, token, tf, words: the distinct words of key, en and zh of each line, in lower case, how often it has each, and how many it has.
+
+    The index of a memory that is searched again and again is best cut once and passed to fuzzy_search.
+    """
+    words = memory.select("key", t.all_matches(F.lower(F.concat_ws(" ", "key", "en", "zh")), WORD).alias("all"))
+    rows = words.select("key", F.size("all").alias("words"), F.explode("all").alias("token"))
+    return rows.groupBy("key", "token").agg(F.count("*").alias("tf"), F.first("words").alias("words"))
 
 
-def recall(queries: DataFrame, memory: DataFrame) -> DataFrame:
-    """q_key, query, key, hits: lines of which a word begins with a word of the query, and how many of its words do.
+def recall(queries: DataFrame, memory: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """q_key, query, key, hits, score: lines of which a word begins with a word of the query, how many of its words do, and their relevance.
 
-    Beginnings are joined by their first two characters, so this is an equality join and no cross product.
+    Relevance is BM25, each word of the query being a beginning of words. Beginnings are joined by their first two characters, so
+    this is an equality join and no cross product; a beginning meets each distinct word, and is weighed in each line, once,
+    however many queries have it.
     """
-    q = queries.select("q_key", "query", F.explode(query_tokens(F.col("query"))).alias("prefix")).withColumn("two", F.substring("prefix", 1, 2))
-    # a query meets each distinct word once, however many lines have it
-    lines = index_tokens(memory).withColumn("two", F.substring("token", 1, 2))
-    vocabulary = lines.select("two", "token").distinct()
-    known = q.join(vocabulary, "two").where(F.startswith("token", "prefix")).select("q_key", "query", "prefix", "token")
-    return known.join(lines.select("token", "key"), "token").groupBy("q_key", "query", "key").agg(F.count_distinct("prefix").alias("hits"))
+    q = queries.select("q_key", "query", F.explode(query_tokens(F.col("query"))).alias("prefix"))
+    lines = index if index is not None else index_tokens(memory)
+    size = lines.groupBy("key").agg(F.first("words").alias("words")).agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
+    prefixes = q.select("prefix").distinct().withColumn("two", F.substring("prefix", 1, 2))
+    vocabulary = lines.select("token").distinct().withColumn("two", F.substring("token", 1, 2))
+    known = prefixes.join(vocabulary, "two").where(F.startswith("token", "prefix")).select("prefix", "token")
+    in_line = known.join(lines, "token").groupBy("prefix", "key").agg(F.sum("tf").alias("tf"), F.first("words").alias("words"))
+    n = in_line.groupBy("prefix").agg(F.count("*").alias("n"))
+    idf = F.greatest(F.log((F.lit(size["n"]) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(size["mean"] or 1.0)))
+    weighed = in_line.join(n, "prefix").select("prefix", "key", weight.alias("weight"))
+    found = q.join(weighed, "prefix").groupBy("q_key", "query", "key").agg(F.count("*").alias("hits"), F.round(F.sum("weight"), PLACES).alias("score"))
+    return found
 
 
-def fuzzy_search(queries: DataFrame, memory: DataFrame, settings: Settings = DEFAULTS, limit_recall: bool = True) -> DataFrame:
+def fuzzy_search(queries: DataFrame, memory: DataFrame, settings: Settings = DEFAULTS, limit_recall: bool = True, index: DataFrame | None = None, translations: DataFrame | None = None) -> DataFrame:
     """q_key, nth, similarity, key, en, zh: each query's most similar lines at or over the threshold.
 
-    queries: q_key, query. memory: key, en, zh (unique keys; a null zh is empty). Of the candidates, those with
-    the most words in common are compared (limit_recall), as many as the settings say. The top is taken
-    before a query's own line is left out, which is the caller's to do.
+    queries: q_key, query. memory: key, en, zh (unique keys; a null zh is empty). translations: key, zh, where a line has none of its
+    own; one that has none there either says so. Of the candidates, the most relevant ones are compared (limit_recall),
+    as many as the settings say. The top is taken before a query's own line is left out, which is the caller's to do.
     """
-    found = recall(queries.where(t.strip(F.coalesce("query", F.lit(""))) != ""), memory)
+    found = recall(queries.where(t.strip(F.coalesce("query", F.lit(""))) != ""), memory, index)
     if limit_recall:
         most = max(settings.recall_factor * settings.fuzzy_top, settings.recall_min)
-        w = Window.partitionBy("q_key").orderBy(F.desc("hits"), "key")
+        w = Window.partitionBy("q_key").orderBy(F.desc("score"), "key")
         found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    if translations is not None:
+        other = translations.groupBy("key").agg(F.max("zh").alias("other"))
+        memory = memory.join(other, "key", "left").withColumn("zh", F.coalesce(F.nullif("zh", F.lit("")), "other", F.lit(NO_TRANSLATION)))
     rows = found.join(memory.select("key", F.coalesce("en", F.lit("")).alias("en"), F.coalesce("zh", F.lit("")).alias("zh")), "key")
     # the distance is at least the difference of lengths
     longer, shorter = F.greatest(F.length("query"), F.length("en")), F.least(F.length("query"), F.length("en"))

@@ -55,11 +55,22 @@ def build_glossary(buckets: DataFrame, entries: DataFrame, settings: Settings =
     return rows.join(enough.select("norm", shortest.alias("en")), "norm").select("norm", "en", "zh")
 
 
+def _containing(terms: DataFrame, *keep: str) -> DataFrame:
+    """Pairs of terms (en, of one zh) of which long_en contains en: short and long with the columns of keep.
+
+    A long term offers each two characters of it (and each single one, for terms that have no more), so that terms of one
+    translation that have nothing in common don't meet.
+    """
+    low = F.lower("long_en")
+    spots = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("long_en")), lambda i: F.array(F.substring(low, i, F.lit(2)), F.substring(low, i, F.lit(1))))))
+    long = terms.select("zh", *[F.col(c).alias(f"long_{c}") for c in ("en", *keep)]).where("long_en <> ''").withColumn("two", F.explode(spots))
+    short = terms.select("zh", "en", *keep).withColumn("two", F.substring(F.lower("en"), 1, 2))
+    return short.join(long, ["zh", "two"]).where((F.length("long_en") >= F.length("en")) & F.contains(F.lower("long_en"), F.lower("en"))).drop("two")
+
+
 def conflicts(glossary: DataFrame) -> DataFrame:
     """short_en, long_en, zh: terms of one translation of which one contains the other. glossary: en, zh."""
-    a = glossary.select("zh", F.col("en").alias("long_en"))
-    b = glossary.select("zh", F.col("en").alias("short_en"))
-    return a.join(b, "zh").where((F.col("short_en") != F.col("long_en")) & (F.length("long_en") >= F.length("short_en")) & F.contains(F.lower("long_en"), F.lower("short_en"))).select("short_en", "long_en", "zh")
+    return _containing(glossary.select("en", "zh")).where(F.col("en") != F.col("long_en")).select(F.col("en").alias("short_en"), "long_en", "zh")
 
 
 def resolve_conflicts(glossary: DataFrame, buckets: DataFrame, entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -67,8 +78,7 @@ def resolve_conflicts(glossary: DataFrame, buckets: DataFrame, entries: DataFram
 
     A short term is kept with another translation if its keys that the long term doesn't have agree on one.
     """
-    a = glossary.select("zh", F.col("norm").alias("long"), F.col("en").alias("long_en"))
-    pairs = glossary.join(a, "zh").where((F.col("norm") != F.col("long")) & (F.length("long_en") >= F.length("en")) & F.contains(F.lower("long_en"), F.lower("en")))
+    pairs = _containing(glossary, "norm").where(F.col("norm") != F.col("long_norm")).withColumnRenamed("long_norm", "long")
     keys = buckets.select("norm", VARIANTS, "keys")
     rest = pairs.join(keys, "norm").join(keys.select(F.col("norm").alias("long"), F.col("keys").alias("long_keys")), "long", "left")
     left = rest.groupBy("norm", VARIANTS, "zh").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("long_keys", F.array().cast("array<string>"))))).alias("taken"), F.first("keys").alias("keys"))
@@ -82,12 +92,13 @@ def term_hits(entries: DataFrame, glossary: DataFrame) -> DataFrame:
     """Entries (key, en, zh) with the glossary terms (term, variants, std_zh) whose variants they have as whole words.
 
     Found by equality of a text's words with each variant's first word, then checked by a pattern: the
-    glossary isn't broadcast and no pair is made without a word in common.
+    glossary isn't broadcast and no pair is made without a word in common. Words travel with their keys alone (which are unique).
     """
     word = r"(?U)[\w]+"
     first = glossary.select("term", "std_zh", VARIANTS, F.explode(VARIANTS).alias("v")).select("term", "std_zh", VARIANTS, F.regexp_extract(F.lower("v"), word, 0).alias("w")).where("w <> ''").distinct()
-    words = entries.select("key", "en", "zh", F.explode(F.array_distinct(t.all_matches(F.lower("en"), word))).alias("w"))
-    return words.join(first, "w").where(F.regexp_like("en", t.word_pattern(F.col(VARIANTS)))).select("key", "en", "zh", "term", "std_zh").distinct()
+    words = entries.select("key", F.explode(F.array_distinct(t.all_matches(F.lower("en"), word))).alias("w"))
+    met = words.join(first, "w").select("key", "term", "std_zh", VARIANTS).distinct().join(entries.select("key", "en", "zh"), "key")
+    return met.where(F.regexp_like("en", t.word_pattern(F.col(VARIANTS)))).select("key", "en", "zh", "term", "std_zh").distinct()
 
 
 def check_consistency(entries: DataFrame, glossary: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import re
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,22 +83,25 @@ def retrying(call: Call, retries: int = DEFAULTS.review_retries, wait: Callable[
 def review(prompts: DataFrame, call: Call, source: str = "llm_review", settings: Settings = DEFAULTS, parallel: int | None = None) -> DataFrame:
     """The verdicts that the callable gives for each prompt; a REVIEW row for a prompt that fails.
 
-    Filter before this step: nothing is pushed through it. parallel bounds how many calls run at once.
+    Filter before this step: nothing is pushed through it. parallel bounds how many tasks ask at once, and settings.max_workers
+    how many calls each of them has under way; answers are taken in the prompts' order.
     """
-    retries = settings.review_retries
+    retries, workers = settings.review_retries, settings.max_workers
 
     def run(parts):
         ask = retrying(call, retries)
-        for part in parts:
-            rows = []
-            for prompt in part["prompt"]:
-                try:
-                    found = parse_answer(ask(prompt))
-                except Exception as e:  # noqa: BLE001  a failing batch becomes a row
-                    rows.append({"key": ERROR_KEY, "verdict": REVIEW, "reason": f"LLM调用失败: {e}", "source": "llm_error"})
-                    continue
-                rows += [{c: as_text(x.get(c)) for c in COLUMNS} | {"source": source} for x in found]
-            yield pd.DataFrame(rows, columns=COLUMNS).fillna("").astype(str)
+
+        def asked(prompt: str) -> list[dict]:
+            try:
+                found = parse_answer(ask(prompt))
+            except Exception as e:  # noqa: BLE001  a failing batch becomes a row
+                return [{"key": ERROR_KEY, "verdict": REVIEW, "reason": f"LLM调用失败: {e}", "source": "llm_error"}]
+            return [{c: as_text(x.get(c)) for c in COLUMNS} | {"source": source} for x in found]
+
+        with ThreadPoolExecutor(workers) as pool:
+            for part in parts:
+                rows = [r for found in pool.map(asked, part["prompt"]) for r in found]
+                yield pd.DataFrame(rows, columns=COLUMNS).fillna("").astype(str)
 
     rows = prompts.select("prompt")
     return (rows.repartition(parallel) if parallel else rows).mapInPandas(run, SCHEMA)
@@ -108,6 +112,11 @@ def unanswered(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     return prompts.select(F.explode("keys").alias("key")).join(answers.select("key"), "key", "left_anti")
 
 
+def with_unanswered(answers: DataFrame, queued: DataFrame) -> DataFrame:
+    """The answers, and for each entry of the untranslated queue that they leave out the row that it has where nobody is asked."""
+    return answers.unionByName(without_review(queued.join(answers.select("key").distinct(), "key", "left_anti")).select(answers.columns))
+
+
 def without_review(queued: DataFrame) -> DataFrame:
     """A REVIEW row for each entry of the untranslated queue, where there is nobody to ask."""
     blank = F.lit("")

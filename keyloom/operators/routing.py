@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, GUIDE_PREFIX, Settings
 from ..functions import text as t
+from .lexicon import lookup
 
 # Fixed value: what may stand between the terms that cover a text.
 GAP = r"""[ ,.!?;:'"()\[\]{}<>\-_/%\t\n\r]"""
@@ -15,16 +16,19 @@ GAP = r"""[ ,.!?;:'"()\[\]{}<>\-_/%\t\n\r]"""
 def covered(entries: DataFrame, glossary: DataFrame) -> DataFrame:
     """The entries (key, en, zh) whose source text is nothing but glossary terms (en, zh) and separators and whose target is their translations.
 
-    Terms are found by a join on their first character and position; the leftmost, then longest, are
-    taken in one pass over an entry's hits.
+    Terms are found by a join on the characters at a place (two, or the one of a term that has no more), and each place carries no more
+    text than the longest term; the leftmost, then longest, are taken in one pass over an entry's hits. Keys are unique.
     """
     low, terms = F.lower("en"), glossary.select(F.lower("en").alias("term"), F.col("zh").alias("std")).where("term <> ''").distinct()
+    longest = terms.agg(F.max(F.length("term"))).first()[0]
+    if longest is None:
+        return entries.where(F.lit(False)).select("key", "en", "zh")
     at = F.sequence(F.lit(1), F.length("en"))
-    spots = entries.where("en <> ''").select("key", "en", "zh", F.explode(at).alias("s")).withColumn("c", F.substring(low, F.col("s"), F.lit(1)))
-    starts = terms.withColumn("c", F.substring("term", 1, 1))
-    hits = spots.join(starts, "c").where(F.substring(F.lower("en"), F.col("s"), F.length("term")) == F.col("term"))
+    spots = entries.where("en <> ''").select("key", F.explode(at).alias("s"), low.alias("low")).select("key", "s", F.substring("low", F.col("s"), F.lit(longest)).alias("there"))
+    spots = spots.select("key", "s", "there", F.explode(F.array_distinct(F.array(F.substring("there", 1, 1), F.substring("there", 1, 2)))).alias("c"))
+    hits = spots.join(terms.withColumn("c", F.substring("term", 1, 2)), "c").where(F.startswith("there", "term"))
     hit = F.struct(F.col("s").alias("s"), (-F.length("term")).alias("n"), F.col("std").alias("std"))
-    per = hits.groupBy("key", "en", "zh").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    per = hits.groupBy("key").agg(F.array_sort(F.collect_list(hit)).alias("hits")).join(entries.select("key", "en", "zh"), "key")
     nothing = lambda a, b: F.regexp_replace(F.substring("en", a, b - a), GAP, "") == ""
     walked = F.aggregate(
         "hits", F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.lit("").alias("out")),
@@ -38,13 +42,13 @@ def covered(entries: DataFrame, glossary: DataFrame) -> DataFrame:
 def route(entries: DataFrame, flagged: DataFrame, glossary: DataFrame | None, settings: Settings = DEFAULTS) -> DataFrame:
     """The entries (key, en, zh) with a route: flagged, required, uncovered or pass; all but the last go to review.
 
-    flagged: key. Without a glossary no entry is uncovered. Only the entries that the cheaper tests leave are
+    flagged: key. Without a glossary, or with one that has no terms, no entry is uncovered. Only the entries that the cheaper tests leave are
     compared with the glossary.
     """
     rows = entries.join(flagged.select("key").distinct().withColumn("f", F.lit(True)), "key", "left")
     first = F.when(F.col("f").isNotNull(), "flagged").when(t.needs_review(F.col("key"), F.coalesce("en", F.lit("")), settings), "required")
     rows = rows.withColumn("route", first).drop("f")
-    if glossary is None:
+    if glossary is None or glossary.isEmpty():
         return rows.withColumn("route", F.coalesce("route", F.lit("pass")))
     ok = covered(rows.where("route is null"), glossary).select("key").withColumn("c", F.lit(True))
     return rows.join(ok, "key", "left").withColumn("route", F.coalesce("route", F.when(F.col("c").isNotNull(), "pass").otherwise("uncovered"))).drop("c")
@@ -82,15 +86,33 @@ def glossary_hints(entries: DataFrame, glossary: DataFrame, most: int = 5) -> Da
     Candidates share the term's first two characters with some place of the text.
     """
     pairs = F.array_distinct(F.regexp_extract_all(F.lower("en"), F.lit("(?s)(?=(..))"), F.lit(1)))
-    spots = entries.where(F.length("en") >= 2).select("key", "en", F.explode(pairs).alias("two"))
+    spots = entries.where(F.length("en") >= 2).select("key", F.explode(pairs).alias("two"))
     terms = glossary.select(F.col("en").alias("term"), F.col("zh").alias("std")).withColumn("two", F.substring(F.lower("term"), 1, 2))
-    hits = spots.join(terms, "two").where(F.contains(F.lower("en"), F.lower("term"))).select("key", "term", "std").distinct()
+    # a text meets its candidates once, not at each of its places
+    hits = spots.join(terms, "two").select("key", "term", "std").distinct().join(entries.select("key", "en"), "key")
+    hits = hits.where(F.contains(F.lower("en"), F.lower("term"))).select("key", "term", "std").distinct()
     few = hits.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("term"))).where(F.col("nth") <= most)
     one = F.concat(F.lit('"'), "term", F.lit('" → "'), "std", F.lit('"'))
     return few.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", one.alias("hint")))), lambda x: x["hint"]), ", ").alias("hints"))
 
 
-def entry_blocks(entries: DataFrame, verdicts: DataFrame | None = None, similar: DataFrame | None = None, hints: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+def dictionary_lines(entries: DataFrame, dictionary: DataFrame, lemmas: DataFrame | None = None, settings: Settings = DEFAULTS, most: int = 3) -> DataFrame:
+    """key, known: a line with what a dictionary has of the words of a text, those that most modules have first, then in the text's order.
+
+    Words travel with their keys alone, and a word is looked up once, however many texts have it.
+    """
+    stop = F.array(*[F.lit(w) for w in settings.stop_words])
+    words = entries.select("key", F.posexplode(t.all_matches(F.col("en"), r"[A-Za-z]+")).alias("at", "shown")).withColumn("word", F.lower("shown")).where(~F.array_contains(stop, F.col("word")))
+    words = words.groupBy("key", "shown", "word").agg(F.min("at").alias("at"))
+    found = lookup(words.select("word").distinct(), dictionary, lemmas, top=2**31 - 1).select("word", "zh", "n_mods", "mods")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n_mods"), "at", "zh"))
+    few = words.join(found, "word").withColumn("nth", first).where(F.col("nth") <= most)
+    one = F.concat(F.lit('"'), "shown", F.lit('" -> "'), "zh", F.lit('" 来源Mod: ['), "mods", F.lit("]"))
+    lines = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", one.alias("l")))).alias("all"))
+    return lines.select("key", F.concat(F.lit("  外部词典: "), F.array_join(F.transform("all", lambda x: x["l"]), " | ")).alias("known"))
+
+
+def entry_blocks(entries: DataFrame, verdicts: DataFrame | None = None, similar: DataFrame | None = None, hints: DataFrame | None = None, parts: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """key, block: what a reviewer is shown of an entry. Texts are cut to bound a prompt's size; guide pages aren't."""
     rows = entries
     rows = rows.join(parts, "key", "left") if parts is not None else rows.withColumns({"full_en": F.lit(None).cast("string"), "full_zh": F.lit(None).cast("string")})
@@ -110,14 +132,29 @@ def entry_blocks(entries: DataFrame, verdicts: DataFrame | None = None, similar:
     for c in ("old_en", "old_zh"):
         if c in entries.columns:
             lines.append(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'{c}: "'), F.substring(c, 1, 300), F.lit('"'))))
-    lines += [F.col(c) for c, d in (("auto", verdicts), ("memory", similar), ("terms", hints)) if d is not None]
+    rows = rows.join(known, "key", "left") if known is not None else rows
+    lines += [F.col(c) for c, d in (("auto", verdicts), ("memory", similar), ("terms", hints), ("known", known)) if d is not None]
     return rows.select("key", F.concat_ws("\n", *lines).alias("block"))
 
 
-def prompts(blocks: DataFrame, header: Column, settings: Settings = DEFAULTS, size: int | None = None) -> DataFrame:
-    """prefix, batch, n, keys, prompt: blocks (key, block) by key prefix in batches, under a header (a column of prefix, label and n)."""
+def prompts(blocks: DataFrame, header: Column, settings: Settings = DEFAULTS, size: int | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """prefix, batch, n, keys, prompt: blocks (key, block) by key prefix in batches, under a header.
+
+    header: a column of prefix, label, focus (what to look at in entries of this prefix), n and guidance (what to mind about
+    keyboard and mouse if the batch's texts name them; empty without entries, which are key, en, zh).
+    """
     rows = blocks.withColumn("prefix", t.key_prefix(F.col("key"), settings))
     rows = batch_numbers(rows, "prefix", [F.col("key")], size or settings.review_batch)
-    per = rows.groupBy("prefix", "batch").agg(F.array_sort(F.collect_list(F.struct("key", "block"))).alias("all"))
-    per = per.withColumns({"n": F.size("all"), "label": t.prefix_label(F.col("prefix"), settings)})
+    if entries is not None:
+        seen = entries.select("key", F.coalesce("en", F.lit("")).alias("en"), F.coalesce("zh", F.lit("")).alias("zh"))
+        seen = seen.select("key", F.col("en").rlike(t.KEYBOARD).alias("keyboard"), F.concat("en", "zh").rlike(t.MOUSE).alias("mouse"))
+        rows = rows.join(seen, "key", "left")
+    else:
+        rows = rows.withColumns({"keyboard": F.lit(False), "mouse": F.lit(False)})
+    per = rows.groupBy("prefix", "batch").agg(F.array_sort(F.collect_list(F.struct("key", "block"))).alias("all"), F.bool_or("keyboard").alias("keyboard"), F.bool_or("mouse").alias("mouse"))
+    focus = F.lit(settings.default_review_focus)
+    for p, text in settings.focus.items():
+        focus = F.when(F.col("prefix") == p, text).otherwise(focus)
+    guidance = F.concat_ws("\n", F.when(F.col("keyboard"), settings.keyboard_guidance), F.when(F.col("mouse"), settings.mouse_guidance))
+    per = per.withColumns({"n": F.size("all"), "label": t.prefix_label(F.col("prefix"), settings), "focus": focus, "guidance": guidance})
     return per.select("prefix", "batch", "n", F.transform("all", lambda x: x["key"]).alias("keys"), F.concat(header, F.lit("\n\n"), F.array_join(F.transform("all", lambda x: x["block"]), "\n\n")).alias("prompt"))
