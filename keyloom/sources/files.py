@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
+import time
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS, Settings
+from ..functions.text import strip, valid_term
 from ..operators.align import GUIDE_PATH
 
 PAIRS = "array<struct<key: string, value: string, warning: string>>"
@@ -134,15 +139,75 @@ def read_changed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("filename string, status string").json(path, multiLine=True)
 
 
-def read_lemma_cache(spark: SparkSession, path: str) -> DataFrame:
-    """canonical, variants, freq of a saved lemma cache (one JSON object of canonical terms)."""
+def list_changed_files(spark: SparkSession, page: Callable[[int], list[dict]], size: int = 100) -> DataFrame:
+    """The same from a service: page(n) gives the n-th page, from 1; one with fewer than ``size`` files is the last. A change's files are few."""
+    rows: list[tuple] = []
+    for n in itertools.count(1):
+        found = page(n)
+        rows += [(x.get("filename"), x.get("status")) for x in found]
+        if len(found) < size:
+            return spark.createDataFrame(rows, "filename string, status string")
+
+
+#: Columns of a table of known keys, each row being a text that stood through some versions; and of the plain one, a row for each version.
+KEY_INTERVALS = "key string, category string, en_us string, zh_cn string, version_start string, version_end string, changes int"
+KEY_VERSIONS = "key string, category string, en_us string, zh_cn string, version string"
+
+
+def read_keys(spark: SparkSession, path: str, schema: str = KEY_INTERVALS, translated: bool = False) -> DataFrame:
+    """A Parquet table of known keys; the columns that aren't used and, if only translated keys are asked for, the others' rows stay unread."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.where("zh_cn IS NOT NULL AND zh_cn <> ''") if translated else rows
+
+
+def read_lemma_cache(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """canonical, variants, freq of a saved lemma cache (one JSON object of canonical terms), without terms that aren't valid.
+
+    Without a list of variants the canonical term is its own. A variant of several canonical terms stays with the first of them.
+    """
     rows = spark.read.text(path, wholetext=True)
     kind = "map<string, struct<variants: array<string>, freq: bigint>>"
-    return rows.select(F.explode(F.from_json("value", kind)).alias("canonical", "x")).select("canonical", "x.variants", "x.freq")
+    rows = rows.select(F.posexplode(F.from_json("value", kind)).alias("pos", "canonical", "x")).where(valid_term(F.col("canonical"), settings))
+    v = rows.select("pos", "canonical", F.coalesce("x.freq", F.lit(0)).alias("freq"), F.explode(F.coalesce("x.variants", F.array("canonical"))).alias("v")).select("*", strip(F.lower("v")).alias("variant"))
+    v = v.where(valid_term(F.col("v"), settings)).groupBy("variant").agg(F.min(F.struct("pos", "canonical", "freq")).alias("first")).select("variant", "first.*")
+    return v.groupBy("canonical").agg(F.array_sort(F.collect_set("variant")).alias("variants"), F.max("freq").alias("freq"))
+
+
+def with_fallback(get: Callable[[str, str], str], token: str) -> Callable[[str], str]:
+    """get(url, token), and where the token is refused (401, or 403 that isn't a rate limit) without it."""
+
+    def one(url: str) -> str:
+        if not token:
+            return get(url, "")
+        try:
+            return get(url, token)
+        except Exception as e:
+            said = str(e)
+            if "401" in said or ("403" in said and "rate limit" not in said.lower()):
+                return get(url, "")
+            raise
+
+    return one
+
+
+def with_retries(get: Callable[[str], str], tries: int = 3, wait: Callable[[int], float] = lambda k: 2.0 * k, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """get(url), repeated with growing pauses where the connection fails or takes too long; what a server answers isn't asked again."""
+
+    def one(url: str) -> str:
+        for k in range(1, tries + 1):
+            try:
+                return get(url)
+            except (TimeoutError, ConnectionError, OSError):
+                if k == tries:
+                    raise
+                sleep(wait(k))
+        raise AssertionError
+
+    return one
 
 
 def fetched(requests: DataFrame, fetch, column: str = "url") -> DataFrame:
-    """The requests with the text that a callable gives for each, null where it fails; what it does (HTTP, retries) is the caller's."""
+    """The requests with the text that a callable gives for each, null where it fails; see with_fallback and with_retries."""
 
     @F.pandas_udf("string")
     def get(urls: pd.Series) -> pd.Series:
