@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as a
-from .config import DEFAULTS, KEY_PREFIXES, STOP_WORDS
+from .config import DEFAULTS, FOCUS, KEY_PREFIXES, KEYBOARD_GUIDANCE, MOUSE_GUIDANCE, OTHER_FOCUS, STOP_WORDS
 from .functions import rules
 from .functions import text as t
-from .operators import align, fuzzy, glossary, history, lexicon, review, routing, terms, verdicts
+from .operators import align, fuzzy, glossary, history, lemma, lexicon, review, routing, terms, verdicts
+from .operators.tables import cut
 from .plans.review_plan import run_filter, run_review
 from .sources import files, sinks
 
@@ -716,6 +717,137 @@ def unanswered(spark, d):
     return review.unanswered(made, parts.where("pos % 2 = 1").select("key"))
 
 
+# ---- answers about terms
+def merge_stub(prompt: str) -> str:
+    """A reviewer that merges each cluster into its first term."""
+    import json
+
+    groups = [[x[4:] for x in g.split("\n") if x.startswith("  - ")] for g in prompt.split("## 候选组 ")[1:]]
+    return json.dumps([{"canonical": g[0], "members": g} for g in groups])
+
+
+def verify_stub(prompt: str) -> str:
+    """A reviewer that corrects the terms that it is shown five texts of."""
+    import json
+    import re
+
+    found = re.findall(r'Term: "([^"]*)" -> "([^"]*)"\n((?:  \[\d\] .*\n)+)', prompt + "\n")
+    return "Sure:\n```json\n" + json.dumps([{"en": en, "old_zh": zh, "new_zh": f"{zh}改"} for en, zh, lines in found if lines.count("  [") == 5], ensure_ascii=False) + "\n```"
+
+
+@query(f"WITH {_BUCKETS} SELECT norm, first_value(norm) OVER (PARTITION BY left(norm, 1) ORDER BY freq DESC, norm) AS target FROM buckets")
+def lemma_merge_answers(spark, d):
+    buckets = _buckets(spark, d).select("norm", "freq")
+    return lemma.ask_merges(buckets.select("norm", F.left("norm", F.lit(1)).alias("cluster")), buckets, merge_stub)
+
+
+@query(f"""WITH {_BUCKETS}, m AS (SELECT norm, first_value(norm) OVER (PARTITION BY left(norm, 1) ORDER BY freq DESC, norm) AS target FROM buckets),
+ old AS (SELECT norm AS variant, right(norm, 1) AS canonical FROM buckets), ok AS (SELECT norm AS variant, target AS t FROM m WHERE length(norm) > 2 AND norm NOT IN {_STOPS} AND length(target) > 2 AND target NOT IN {_STOPS}),
+ learned AS (SELECT * FROM ok UNION SELECT t, t FROM ok), now AS (SELECT variant, coalesce(t, canonical) AS canonical FROM old FULL JOIN learned USING (variant)), gained AS (SELECT t AS canonical, count(*) AS n FROM learned GROUP BY 1),
+ lost AS (SELECT canonical, count(*) AS n FROM old JOIN learned USING (variant) WHERE variant <> t GROUP BY 1)
+ SELECT canonical, list_sort(list(variant)) AS variants, CAST(any_value(CASE WHEN canonical IN (SELECT canonical FROM old) THEN greatest(0, 3 - coalesce(lost.n, 0)) ELSE 0 END + coalesce(gained.n, 0)) AS BIGINT) AS freq FROM now LEFT JOIN lost USING (canonical) LEFT JOIN gained USING (canonical) GROUP BY canonical""")
+def lemma_cache_record(spark, d):
+    """Merges that a reviewer made, learned by a cache in which terms with one last letter belonged together."""
+    buckets = _buckets(spark, d).select("norm", "freq")
+    merges = lemma.ask_merges(buckets.select("norm", F.left("norm", F.lit(1)).alias("cluster")), buckets, merge_stub)
+    cache = buckets.groupBy(F.right("norm", F.lit(1)).alias("canonical")).agg(F.collect_list("norm").alias("variants"), F.lit(3).cast("long").alias("freq"))
+    return lemma.record_merges(cache, merges)
+
+
+@query(f"WITH {a.PARTS_SQL}, g AS (SELECT w, count(DISTINCT en) AS n FROM (SELECT unnest(string_split(en, ' ')) AS w, en FROM parts) GROUP BY 1) SELECT w AS en, concat(w, '料', CASE WHEN n >= 4 THEN '改' ELSE '' END) AS zh FROM g")
+def glossary_verify(spark, d):
+    parts = a.parts(spark, d)
+    words = parts.select(F.explode(F.split("en", " ")).alias("en")).distinct().select("en", F.concat("en", F.lit("料")).alias("zh"))
+    return lemma.verify_glossary(words, parts.select("key", "en", "zh", "pos"), verify_stub)
+
+
+@query("WITH c AS (SELECT split_part(p_type, ' ', 1) AS canonical, split_part(p_name, ' ', 1) AS v, count(*) AS n FROM part GROUP BY 1, 2) SELECT canonical, list_transform(list_sort(list(DISTINCT {'n': length(v), 'v': v})), lambda x: x.v) AS variants, CAST(sum(n) AS BIGINT) AS freq FROM c GROUP BY 1")
+def lemma_cache_rows(spark, d):
+    cache = a.table(spark, d, "part").groupBy(F.expr("split_part(p_type, ' ', 1)").alias("canonical"), F.expr("split_part(p_name, ' ', 1)").alias("v")).agg(F.count("*").alias("freq"))
+    return sinks.lemma_cache_rows(cache.select("canonical", F.array("v").alias("variants"), "freq"))
+
+
+# ---- changes and reports
+_plain = lambda c: rf"replace(replace(replace(replace({c}, '\', '\\'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"
+_repr = lambda c: f"""CASE WHEN contains({c}, '''') AND NOT contains({c}, '"') THEN concat('"', {_plain(c)}, '"') ELSE concat('''', replace({_plain(c)}, '''', '\\'''), '''') END"""
+
+
+@query(_DIFF + f", w AS (SELECT key, substring(coalesce(old_en, ''), 1, 60) AS a, substring(en, 1, 60) AS b FROM changes WHERE warning IS NOT NULL) SELECT key, '' AS en_current, '' AS zh_current, '⚠️ SUGGEST' AS verdict, '' AS suggestion, concat('原文变更但翻译未变更。旧EN: ', {_repr('a')}, ' → 新EN: ', {_repr('b')}) AS reason, 'pr_warning' AS source FROM w")
+def change_warning_verdicts(spark, d):
+    return align.change_warnings(_changes(spark, d))
+
+
+@query(_DIFF + f"SELECT {_count(f'NOT {_GONE}', 'total_changed_keys')}, {_count(_GONE, 'deleted_keys')}, {_count(f'NOT {_GONE} AND old_en IS NOT NULL', 'en_changed')}, {_count(f'NOT {_GONE} AND old_zh IS NOT NULL', 'zh_changed')}, {_count('warning IS NOT NULL', 'zh_unchanged_warnings')}, {_count(f'NOT {_GONE} AND starts_with(key, {chr(39)}ae2guide:{chr(39)})', 'guide_entries')}, CAST(count(DISTINCT CASE WHEN NOT {_GONE} THEN right(key, 1) END) AS BIGINT) AS namespaces FROM changes")
+def change_summary(spark, d):
+    return sinks.change_summary(_changes(spark, d).withColumn("namespace", F.right("key", F.lit(1))))
+
+
+_REPORT = ", e AS (SELECT key, CASE WHEN namespace = '' THEN '__default__' ELSE namespace END AS namespace FROM entries), v AS (SELECT merged.*, namespace FROM merged JOIN e USING (key)), report AS (SELECT namespace, greatest(n, v) AS total, issues, fail, suggest, review FROM (SELECT namespace, count(*) AS v, " + ", ".join(f"count(*) FILTER (WHERE verdict {op} '{x}') AS {name}" for op, x, name in (("<>", "PASS", "issues"), ("=", "❌ FAIL", "fail"), ("=", "⚠️ SUGGEST", "suggest"), ("=", "🔶 REVIEW", "review"))) + " FROM v GROUP BY 1) JOIN (SELECT namespace, count(*) AS n FROM e GROUP BY 1) USING (namespace))"
+_HEAD = "concat('# ', namespace, ' — 翻译审校报告'), '', concat('- 条目总数：', total), concat('- 问题：', issues, ' 处'), concat('- ❌ FAIL：', fail), concat('- ⚠️ SUGGEST：', suggest), concat('- 🔶 REVIEW：', review), '', '## 问题清单', '', '| 判定 | 键名 | 问题 |', '|------|------|------|'"
+
+
+@query(_MERGED + _REPORT + f", lines AS (SELECT namespace, CAST(unnest(range(1, 13)) AS INTEGER) AS nth, unnest([{_HEAD}]) AS line FROM report WHERE issues > 0 AND namespace <> '__default__' UNION ALL SELECT namespace, CAST(12 + row_number() OVER (PARTITION BY namespace ORDER BY CASE verdict WHEN '❌ FAIL' THEN 0 ELSE 1 END, key, reason) AS INTEGER), concat('| ', verdict, ' | `', key, '` | ', reason, ' |') FROM v WHERE verdict <> 'PASS' AND namespace <> '__default__') SELECT namespace, nth, md5(line) AS digest FROM lines")
+def namespace_pages(spark, d):
+    e = a.entries(spark, d)
+    merged = cut(_merged(spark, d))
+    pages = verdicts.namespace_pages(verdicts.normalized(merged, e), verdicts.namespace_report(merged, e))
+    return pages.select("namespace", "nth", F.md5("line").alias("digest"))
+
+
+@query(_MERGED + _REPORT + """, p AS (SELECT 0 AS part, '' AS name, unnest(range(0, 11)) AS seat, unnest(['# 翻译审校报告', '', concat('共审校 **', (SELECT count(*) FROM entries), '** 条翻译，发现 **', count(*), '** 处问题：'), concat('- ❌ FAIL：', count(*) FILTER (WHERE verdict = '❌ FAIL'), ' 处（必须修复）'), concat('- ⚠️ SUGGEST：', count(*) FILTER (WHERE verdict = '⚠️ SUGGEST'), ' 处（建议改进）'), concat('- 🔶 REVIEW：', count(*) FILTER (WHERE verdict = '🔶 REVIEW'), ' 处（需人工判断）'), '', '## 按模组统计', '', '| 模组 | 总计 | 问题 | ❌ FAIL | ⚠️ SUGGEST | 🔶 REVIEW |', '|------|------|------|---------|-----------|----------|']) AS line FROM merged
+ UNION ALL SELECT 1, namespace, 0, concat('| ', namespace, ' | ', total, ' | ', issues, ' | ', fail, ' | ', suggest, ' | ', review, ' |') FROM report
+ UNION ALL SELECT 2, '', unnest(range(0, 5)), unnest(['', '## ⚠️ 兼容性警告', '', '以下模组本次 PR 删除了旧 key，使用旧版模组翻译的玩家可能遇到 key 缺失：', '']) UNION ALL SELECT 2, namespace, 5, concat('- **', namespace, '**：删除 ', total, ' 个 key') FROM report
+ UNION ALL SELECT 3, '', unnest(range(0, 3)), unnest(['', '## 各模组详细报告', '']) UNION ALL SELECT 4, namespace, 0, concat('- [', namespace, '](', namespace, '_report.md)') FROM report WHERE namespace <> '__default__' UNION ALL SELECT 5, '', unnest(range(0, 3)), unnest(['', '', '> 完整数据见 report.json，可筛选查询所有 verdict 详情。']))
+ SELECT CAST(row_number() OVER (ORDER BY part, CASE part WHEN 2 THEN seat ELSE 0 END, name, seat) AS INTEGER) AS nth, line FROM p""")
+def summary_page(spark, d):
+    """The page of a change in which each namespace lost as many keys as it has entries."""
+    e = a.entries(spark, d)
+    merged = cut(_merged(spark, d))
+    report = cut(verdicts.namespace_report(merged, e))
+    return verdicts.summary_page(e, merged, report, report.select("namespace", F.col("total").alias("deletions")))
+
+
+# ---- what prompts hold
+@query(f"""WITH {_DICT}, {a.PARTS_SQL}, w AS (SELECT key, word, min(seat) AS seat FROM (SELECT key, unnest(regexp_extract_all(en, '[A-Za-z]+')) AS word, unnest(range(0, len(regexp_extract_all(en, '[A-Za-z]+')))) AS seat FROM parts) WHERE lower(word) NOT IN {_STOPS} GROUP BY 1, 2),
+ n AS (SELECT lower(origin_name) AS word, trans_name AS zh, count(DISTINCT modid) AS n, list_sort(list(DISTINCT modid)) AS ids FROM dict GROUP BY 1, 2), r AS (SELECT key, w.word, zh, ids, n, row_number() OVER (PARTITION BY key ORDER BY n DESC, seat, zh) AS nth FROM w JOIN n ON lower(w.word) = n.word)
+ SELECT key, concat('  外部词典: ', string_agg(concat('"', word, '" -> "', zh, '" 来源Mod: [', array_to_string(ids[1:5], ', '), CASE WHEN n > 5 THEN concat(' +', n - 5) ELSE '' END, ']'), ' | ' ORDER BY nth)) AS known FROM r WHERE nth <= 3 GROUP BY key""")
+def dictionary_lines(spark, d):
+    dictionary = a.table(spark, d, "part").selectExpr("split_part(p_name, ' ', 1) AS origin_name", "p_type AS trans_name", "p_brand AS modid")
+    return routing.dictionary_lines(a.parts(spark, d).select("key", "en"), dictionary)
+
+
+_FOCUS = "CASE prefix " + " ".join("WHEN '{}' THEN '{}'".format(p, x.replace("'", "''")) for p, x in FOCUS.items()) + f" ELSE '{OTHER_FOCUS}' END"
+_KEYS, _MICE = r"'(?i)\b(Shift|Ctrl|Alt|Tab)\b'", r"'(?i)\b(?:left\s*click|right\s*click|left[- ]?mouse|right[- ]?mouse|mouse\s*button|scroll\s*wheel|drag|double[-\s]?click|middle\s*click|mouse\s*over|hover)\b|(?:左键|右键|鼠标|单击|双击|点击|拖拽|滚轮)'"
+
+
+@query(f"""WITH {a.ENTRIES_SQL}, b AS (SELECT *, (row_number() OVER (PARTITION BY prefix ORDER BY key) - 1) // CASE prefix WHEN 'ae2guide:' THEN 1 ELSE 3 END AS batch FROM (SELECT key, en, zh, {_PREFIX} AS prefix FROM entries)), m AS (SELECT prefix, batch, count(*) AS n, bool_or(regexp_matches(en, {_KEYS})) AS keyboard, bool_or(regexp_matches(concat(en, zh), {_MICE})) AS mouse, string_agg(key, concat(chr(10), chr(10)) ORDER BY key) AS body FROM b GROUP BY 1, 2)
+ SELECT prefix, CAST(batch AS BIGINT) AS batch, CAST(n AS INTEGER) AS n, concat({_LABEL}, '|', {_FOCUS}, '|', concat_ws(chr(10), CASE WHEN keyboard THEN '{KEYBOARD_GUIDANCE}' END, CASE WHEN mouse THEN '{MOUSE_GUIDANCE}' END), chr(10), chr(10), body) AS prompt FROM m""")
+def prompt_headers(spark, d):
+    e = a.entries(spark, d)
+    made = routing.prompts(e.select("key", F.col("key").alias("block")), F.concat("label", F.lit("|"), "focus", F.lit("|"), "guidance"), size=3, entries=e)
+    return made.select("prefix", "batch", "n", "prompt")
+
+
+@query(f"WITH {a.ENTRIES_SQL}, found AS ({_rule_sql(_RULE_SQL)}) SELECT key, CASE WHEN key IN (SELECT key FROM found) THEN 'flagged' WHEN {_REQUIRED} THEN 'required' ELSE 'pass' END AS route FROM entries")
+def route_without_terms(spark, d):
+    """A glossary that has no terms leaves no entry uncovered."""
+    e = a.entries(spark, d)
+    return routing.route(e.select("key", "en", "zh"), rules.check_entries(e), spark.createDataFrame([], "en string, zh string")).select("key", "route")
+
+
+_RANKED = """words AS (SELECT key, lower(unnest(regexp_extract_all(concat(key, ' ', en, ' ', zh), '[A-Za-z0-9]+'))) AS token FROM mem), tf AS (SELECT key, token, count(*) AS tf FROM words GROUP BY 1, 2), size AS (SELECT key, count(*) AS d FROM words GROUP BY 1), every AS (SELECT count(*) AS n, avg(d) AS mean FROM size),
+ pre AS (SELECT DISTINCT q_key, query, unnest(string_split(lower(query), ' ')) AS prefix FROM q), il AS (SELECT prefix, key, sum(tf) AS tf FROM (SELECT DISTINCT prefix FROM pre WHERE length(prefix) >= 2) JOIN tf ON starts_with(token, prefix) GROUP BY 1, 2), df AS (SELECT prefix, count(*) AS df FROM il GROUP BY 1),
+ sc AS (SELECT q_key, query, key, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / mean))), 6) AS score FROM pre JOIN il USING (prefix) JOIN df USING (prefix) JOIN size USING (key), every GROUP BY 1, 2, 3),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY score DESC, key) AS r FROM sc) WHERE r <= 50)"""
+
+
+@query(f"WITH {_MEMORY}, {_RANKED}, s AS (SELECT q_key, key, en, zh, round_even(100.0::DOUBLE * (1.0::DOUBLE - levenshtein(query, en)::DOUBLE / greatest(length(query), length(en))), 2) AS similarity FROM best JOIN mem USING (key)) SELECT q_key, CAST(nth AS INTEGER) AS nth, similarity, key, en, zh FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY similarity DESC, key) AS nth FROM s WHERE similarity >= 20) WHERE nth <= 5")
+def fuzzy_ranked(spark, d):
+    """As fuzzy_topk, among the 50 most relevant lines of each query."""
+    mem, q = _memory(spark, d)
+    return fuzzy.fuzzy_search(q, mem, replace(DEFAULTS, fuzzy_threshold=20.0))
+
+
 # ---- sources
 @query("SELECT CAST(p_partkey AS STRING) AS key, concat(p_name, '=', p_type) AS value, CAST(1 AS BIGINT) AS pos FROM part WHERE p_name IS NOT NULL")
 def lang_parse(spark, d):
