@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Edges that one task makes into stars; more of them are dealt over several, whose stars are then joined.
+EDGES = 1 << 20
+
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and the smallest node of their component, by these edges alone; roots are left out."""
@@ -44,15 +47,23 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "v long, r long")
 
 
+def _with_roots(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("v").alias("node"), F.col("r").alias("root"))
+    return roots.unionByName(stars.select(F.col("r").alias("node"), F.col("r").alias("root")).distinct())
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the smallest node of its component) for every node with an edge; edges: two long columns without nulls.
 
-    Each round: a node keeps its smallest root, and its roots are chained to one another; then each node
+    Tasks of up to EDGES edges make them into stars; those of a single task are the result. Else, in each round a node keeps its smallest root, and its roots are chained to one another; then each node
     takes its root's root. Every table is written to the shared folder; nothing but two counts a round
     reaches the driver. Rounds grow with the logarithm of the longest chain of stars.
     """
     a, b = edges.columns
-    stars = scratch.table(_contracted(edges.select(F.col(a).alias("v"), F.col(b).alias("r")).where("v <> r")), "stars")
+    tasks = edges.count() // EDGES + 1
+    stars = scratch.table(_contracted(edges.select(F.col(a).alias("v"), F.col(b).alias("r")).where("v <> r").coalesce(tasks)), "stars")
+    if tasks == 1:
+        return _with_roots(stars)
     while True:
         # the roots of a node are few: at most one for each partition of the last contraction
         w = Window.partitionBy("v").orderBy("r")
@@ -65,6 +76,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         jumped = scratch.table(jumped, "jumped")
         moved, rows, nodes = jumped.agg(F.count_if("moved"), F.count("*"), F.count_distinct("v")).first()
         if not moved and rows == nodes:
-            roots = jumped.select(F.col("v").alias("node"), F.col("r").alias("root"))
-            return roots.unionByName(jumped.select(F.col("r").alias("node"), F.col("r").alias("root")).distinct())
+            return _with_roots(jumped)
         stars = jumped.select("v", "r")

@@ -3,13 +3,15 @@
 Ball hashing of SimHash fingerprints (of the same shingles) finds the closest texts cheaply, but two bits are no bound on a
 similarity of 0.8. So a prefix filter makes the result whole. The distinct shingles of each text are put in one order that all texts
 share; two texts of similarity t share k of the first n - ceil(t n) + k shingles of each, whatever was changed, cut or
-added; so these prefixes are what is shuffled, and pairs that share fewer are let go (k is 1 to DEEP, more for longer texts). The order puts shingles last that are common in a sample of the texts: that makes
-groups small and changes no result. While the texts that meet at shingles make many pairs of different components, each text is
-compared with one neighbour at each of its shingles, in an order of their own, and the most similar one is verified; that costs their
-rows and makes a crowd one component, or nearly. Then all pairs that meet and aren't connected yet are compared. So a large group of
+added; so these prefixes are what is shuffled, and pairs that share fewer are let go (k is 1 to DEEP, more for longer texts). The order
+puts shingles last that are common in a sample of the texts: that makes groups small and changes no result.
+
+First each text is compared with those in its balls and one neighbour at each of its shingles, in an order of the shingle's own; the
+most similar one before it and the most similar one after it are verified. That costs the rows of the prefixes, and makes a crowd one
+component, or nearly. Then all pairs that meet and aren't connected yet are compared. So a large group of
 copies costs its rows and not their square, and no pair that could join two components is left out. Pairs are verified: first by
-an upper bound of the similarity from a bitmap of parities, which loses none, then by the exact similarity of their sets of
-shingles. Texts and shingles are told apart by 64 bits.
+an upper bound of the similarity from a bitmap of parities, which loses none, then by the similarity of their sets of
+shingles. Texts and shingles that meet are told apart by 64 bits, the shingles of two texts that are compared by 32.
 
 Copies that differ in case of A-Z or in white space only are one text. A text of fewer words than a
 shingle has is one shingle; texts without words are copies of each other; null counts as empty; rows with
@@ -33,10 +35,10 @@ from .textvec import LOWER, SPACES, U, mix, spaced, texts, words, xxh64
 SHINGLE, LEAST = 5, 0.8
 #: Texts that are looked at for common shingles, and most of those that are put last: these set the order only.
 SAMPLE, COMMON = 5_000, 200_000
-#: Longs of the bitmap of parities; differing bits of fingerprints that are compared first.
-BITMAP, RADIUS = 8, 2
-#: All pairs are compared once they are at most so many times the rows that meet, or a round links less than this share of the texts.
-PAIRS, SHARE = 4, 0.01
+#: Longs of the bitmap of parities (a power of two); texts of more shingles than LONG have another one, that has half a bit for each shingle at least.
+BITMAP, LONG = 8, 1024
+#: Differing bits of fingerprints that are compared first.
+RADIUS = 2
 #: Shingles that long texts share in their prefixes if they are similar; a text of n has one more for every STEP of n.
 DEEP, STEP = 8, 32
 _ODD = [U((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(16)]
@@ -83,8 +85,16 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return counts.select("g").toArrow()["g"].to_numpy()[::-1].view(U)
 
 
+def _parities(h: np.ndarray) -> np.ndarray:
+    """The parities of a long text's hashes; folded in halves, they are those of a shorter bitmap."""
+    size = 1 << int(np.ceil(np.log2(len(h) / 128)))
+    out = np.zeros(size, U)
+    np.bitwise_xor.at(out, ((h >> U(6)) % U(size)).astype(np.int64), U(1) << (h & U(63)))
+    return out.view(np.int64)
+
+
 def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
-    """key, same (a hash of the text's words), n (distinct shingles), fp (fingerprint), bits (parities) and prefix of each row; one pass."""
+    """key, same (a hash of the text's words), n (distinct shingles), fp (fingerprint), bits (parities), more (those of a long text) and prefix of each row; one pass."""
     common = common_shingles(docs.select(key, text), text, shingle)
     by = np.argsort(common)
     known, rank = common[by], by + 1
@@ -109,31 +119,32 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
             np.cumsum(n, out=off[1:])
             full = np.flatnonzero(n)
             bits = np.zeros((m, BITMAP), U)
+            h = mix(g ^ _ODD[15])
             if len(full):
-                h = mix(g ^ _ODD[15])
                 bit, place = U(1) << (h & U(63)), (h >> U(6)) % U(BITMAP)
                 for k in range(BITMAP):
                     bits[full, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, U(0)), off[full])
+            more = [_parities(h[off[i] : off[i + 1]]) if n[i] > LONG else None for i in range(m)]
             first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + np.minimum(DEEP, n // STEP + 1), 0)
             inside = np.arange(len(g)) - np.repeat(off[:-1], n) < np.repeat(first, n)
             ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))
             parities = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), BITMAP).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), parities, prefix], names=[key, "same", "n", "fp", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), parities, pa.array(more, pa.list_(pa.int64())), prefix], names=[key, "same", "n", "fp", "bits", "more", "prefix"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, same long, n long, fp long, bits array<long>, prefix array<long>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, same long, n long, fp long, bits array<long>, more array<long>, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """same (a hash of the text's words) and shingles (distinct hashes) of each row."""
+    """same (a hash of the text's words) and shingles (distinct, by half of their hashes) of each row."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in rechunk(batches):
             _, _, whole, g, soff = _hashed(b.column(0), shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([np.unique(g[soff[i] : soff[i + 1]]).view(np.int64) for i in range(b.num_rows)], pa.list_(pa.int64()))], names=["same", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([np.unique((g[soff[i] : soff[i + 1]] >> U(32)).astype(np.uint32)).view(np.int32) for i in range(b.num_rows)], pa.list_(pa.int32()))], names=["same", "shingles"])
 
-    return docs.select(text).mapInArrow(run, "same long, shingles array<long>")
+    return docs.select(text).mapInArrow(run, "same long, shingles array<int>")
 
 
 def _apart() -> Column:
@@ -142,8 +153,19 @@ def _apart() -> Column:
 
 
 def _near(least: float) -> Column:
-    """Whether the parities of a and b allow the similarity."""
-    return _apart() <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6
+    """Whether the sizes and the parities of a and b allow the similarity."""
+    sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6
+    return sizes & (_apart() <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def _far_apart() -> Column:
+    """The same by the bitmaps of two long texts, folded to the shorter one."""
+    m = F.least(F.size("more_a"), F.size("more_b"))
+
+    def at(c: str, i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(c) - 1, m), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.col(c)[j]))
+
+    return F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0), lambda n, i: n + F.bit_count(at("more_a", i).bitwiseXOR(at("more_b", i))))
 
 
 def _side(rows: DataFrame, c: str, *more: str) -> DataFrame:
@@ -156,67 +178,66 @@ def meetings(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(rows.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).where("texts > 1").drop("texts"), "meetings")
 
 
-def closest(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
-    """a, b: of each a's pairs that may be similar, that with the fewest differing parities. All b are smaller than a, so these links have no ring."""
-    both = pairs.join(_side(distinct, "a", "n", "bits"), "a").join(_side(distinct, "b", "n", "bits"), "b").where(_near(least))
-    return both.groupBy("a").agg(F.min_by("b", F.struct(_apart(), "b")).alias("b"))
+def plausible(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """a, b, rep_a, rep_b, apart (differing parities) of the pairs that may be similar."""
+    both = pairs.join(_side(distinct, "a", "n", "bits", "more", "rep"), "a").join(_side(distinct, "b", "n", "bits", "more", "rep"), "b").where(_near(least))
+    long = F.col("more_a").isNotNull() & F.col("more_b").isNotNull()
+    rows = both.select("a", "b", "rep_a", "rep_b", (F.col("n_a") + F.col("n_b")).alias("n"), F.when(long, _far_apart()).otherwise(_apart()).alias("apart"))
+    return rows.where(F.col("apart") <= F.col("n") * ((1 - least) / (1 + least)) + 1e-6).drop("n")
 
 
-def in_balls(distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+def closest(pairs: DataFrame) -> DataFrame:
+    """a, b, rep_a, rep_b: of each text's pairs, the one with the fewest differing parities in which it is a, and that in which it is b."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(True).alias("first")), F.struct(F.col("b").alias("x"), F.lit(False).alias("first"))))
+    best = pairs.select(ends.alias("e"), F.struct("apart", "a", "b", "rep_a", "rep_b").alias("p")).groupBy("e").agg(F.min("p").alias("p"))
+    return best.select("p.a", "p.b", "p.rep_a", "p.rep_b").distinct()
+
+
+def in_balls(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: texts whose fingerprints are the same or in one ball, each with the first of its fingerprint, and these with one another."""
     first = scratch.table(distinct.groupBy("fp").agg(F.min("same").alias("first")), "fingerprints")
     copies = distinct.join(first, "fp").where("same <> first").select(F.col("same").alias("a"), F.col("first").alias("b"))
-    links = ball_links(first.select("fp"), RADIUS).select(F.col("a").alias("x"), F.col("b").alias("y"))
-    links = links.join(first.select(F.col("fp").alias("x"), F.col("first").alias("p")), "x").join(first.select(F.col("fp").alias("y"), F.col("first").alias("q")), "y")
-    pairs = scratch.table(copies.unionByName(links.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))), "balls")
-    return closest(pairs, distinct, least)
+    links = ball_links(first, RADIUS, "first").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return copies.unionByName(links)
 
 
-def apart(met: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """shingle, same, root of the texts that meet at a shingle where there are several components; without roots, each is its own."""
-    if roots is None:
-        return met.withColumn("root", F.col("same"))
-    w = Window.partitionBy("shingle")
-    rows = met.select("shingle", "same").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    mixed = rows.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low < high")
-    return scratch.table(mixed.select("shingle", "same", "root"), "mixed")
-
+def neighbours(met: DataFrame) -> DataFrame:
+    """a, b: texts that are next to each other at a shingle. The order is another one at each, so a text has as many neighbours as shingles."""
+    w = Window.partitionBy("shingle").orderBy(F.xxhash64("same", "shingle"))
+    rows = met.select(F.col("same").alias("x"), F.lag("same").over(w).alias("y")).where("y is not null")
+    return rows.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
-def across(mixed: DataFrame, distinct: DataFrame, least: float, nth: int) -> DataFrame:
-    """a, b: each text with its most similar smaller one of those that are its neighbours at a shingle and in another component.
 
-    The order is another one at each shingle and for each nth, so a text has as many neighbours as shingles.
-    """
-    w = Window.partitionBy("shingle").orderBy(F.xxhash64("same", "shingle", F.lit(nth)))
-    rows = mixed.select(F.col("same").alias("x"), F.lag("same").over(w).alias("y"), "root", F.lag("root").over(w).alias("other")).where("root <> other")
-    return closest(rows.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), distinct, least)
+def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """shingle, same, root of the texts that meet at a shingle where there are several components."""
+    w = Window.partitionBy("shingle")
+    rows = met.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    return rows.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low < high").select("shingle", "same", "root")
 
 
 def others(mixed: DataFrame, distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """a, b: all pairs that meet at enough shingles, may be similar and are in different components."""
-    mixed = scratch.table(mixed.join(distinct.select("same", "n", "bits"), "same"), "mixed")
-    more = ("shingle", "root", "n", "bits")
+    """a, b, rep_a, rep_b: all pairs that meet at enough shingles, may be similar and are in different components."""
+    mixed = scratch.table(mixed.join(distinct.select("same", "n", "bits", "rep"), "same"), "mixed")
+    more = ("shingle", "root", "n", "bits", "rep")
     pairs = _side(mixed, "a", *more).join(_side(mixed, "b", *more), F.col("shingle_a") == F.col("shingle_b"))
     different = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6
     # a pair has a row for each shingle that both prefixes have
-    shared = pairs.where(different & sizes & _near(least)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("n_a"), F.first("n_b")).alias("n"))
-    return shared.where(F.col("shared") >= F.least(F.lit(DEEP), F.floor(F.col("n") / STEP) + 1)).select("a", "b")
+    shared = pairs.where(different & _near(least)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.struct("n_a", "n_b", "rep_a", "rep_b")).alias("of"))
+    enough = F.col("shared") >= F.least(F.lit(DEEP), F.floor(F.least("of.n_a", "of.n_b") / STEP) + 1)
+    return shared.where(enough).select("a", "b", "of.rep_a", "of.rep_b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, least: float, key: str, text: str, s: Scratch) -> DataFrame:
-    """The pairs whose sets of shingles are similar."""
-    # the sets of texts that have a candidate, from the rows of one key (which may be null, or have other texts too)
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, key: str, text: str, s: Scratch) -> DataFrame:
+    """a, b: the pairs (a, b, rep_a, rep_b) whose sets of shingles are similar."""
     pairs = s.table(pairs, "candidates")
-    some = pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct().join(distinct.select("same", "rep"), "same")
-    ids = s.table(some.select("rep", "same"), "some")
-    keys = ids.select("rep").distinct().hint("shuffle_hash")
+    # the sets of the texts in them, from the rows of one key (which may be null, or have other texts too)
+    keys = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep"))).distinct().hint("shuffle_hash")
     rows = docs.join(keys, docs[key].eqNullSafe(keys["rep"]), "left_semi").select(F.col(text).alias("text"))
-    sets = s.table(shingle_sets(rows, "text", shingle).join(ids.select("same"), "same", "left_semi").dropDuplicates(["same"]), "sets")
+    sets = s.table(shingle_sets(rows, "text", shingle).dropDuplicates(["same"]), "sets")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    alike = pairs.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
+    alike = pairs.select("a", "b").join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
     links = s.table(alike.where(common >= least * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b"), "links")
-    for t in (pairs, ids, sets):
+    for t in (pairs, sets):
         s.drop(t)
     return links
 
@@ -226,28 +247,15 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, k
     with Scratch(docs.sparkSession) as s:
         full = s.table(sketches(docs, key, text, shingle, least), "sketches")
         made = s.table(full.select(key, "same"), "rows")
-        wide = s.table(full.groupBy("same").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix")]), "prefixes")
+        wide = s.table(full.groupBy("same").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "more", "prefix")]), "prefixes")
         s.drop(full)
         met = meetings(wide, s)
-        distinct = s.table(wide.select("same", "rep", "n", "fp", "bits"), "distinct")
+        distinct = s.table(wide.select("same", "rep", "n", "fp", "bits", "more"), "distinct")
         s.drop(wide)
-
-        def check(pairs: DataFrame) -> DataFrame:
-            return verified(pairs, docs, distinct, shingle, least, key, text, s)
-
-        balls = in_balls(distinct, least, s)
-        links, roots, rows, nth, go_on = None, None, met.count(), 0, True
-        while True:
-            mixed, nth = apart(met, roots, s), nth + 1
-            per = mixed.groupBy("shingle", "root").count().groupBy("shingle").agg(F.sum(F.col("count").cast("double")).alias("n"), F.sum(F.pow("count", F.lit(2))).alias("own"))
-            pairs = per.agg(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()[0] or 0
-            linear = pairs > PAIRS * rows and go_on
-            new = across(mixed, distinct, least, nth) if linear else others(mixed, distinct, least, s)
-            new = check(new.unionByName(balls).distinct() if links is None else new)
-            links = new if links is None else links.unionByName(new)
-            roots, go_on = components(links, s), linear and new.count() >= SHARE * mixed.select("same").distinct().count()
-            if not linear:
-                break
+        some = plausible(in_balls(distinct, s).unionByName(neighbours(met)).distinct(), distinct, least)
+        links = verified(closest(some), docs, shingle, least, key, text, s)
+        rest = others(apart(met, components(links, s)), distinct, least, s)
+        roots = components(links.unionByName(verified(rest, docs, shingle, least, key, text, s)), s)
         lowest = roots.join(distinct.select("same", "rep"), roots["node"] == distinct["same"]).groupBy("root").agg(F.min("rep").alias("component_id"))
         linked = s.table(roots.join(lowest, "root").select(F.col("node").alias("same"), "component_id"), "linked")
         by_text = s.table(distinct.select("same", "rep").join(linked, "same", "left").select("same", F.coalesce("component_id", "rep").alias("component_id")), "by_text")

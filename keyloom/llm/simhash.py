@@ -77,23 +77,24 @@ def _masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
+def ball_links(prints: DataFrame, radius: int = 2, name: str = "fp") -> DataFrame:
     """Verified links (a, b) between distinct fingerprints that connect the same ones as all pairs within the radius do.
 
-    prints: one column of distinct fingerprints. Rows grow as the fingerprints times the ball of half the
+    prints: distinct fingerprints (fp); name: another column of theirs that links are given by instead. Rows grow as the fingerprints times the ball of half the
     radius (65 for radius 2), never as pairs.
     """
     from pyspark.sql import Window
 
     lower, upper = radius // 2, radius - radius // 2
-    ball = lambda r, side: prints.select(F.col("fp"), F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in _masks(r)])).alias("variant"), F.lit(side).alias("side"))
+    ball = lambda r: prints.select("fp", F.col(name).alias("name"), F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in _masks(r)])).alias("variant"))
+    x = F.col("fp").alias("x"), F.col("name").alias("a")
     if lower == upper:
         w = Window.partitionBy("variant").orderBy("fp")
-        pairs = ball(lower, 0).select(F.col("fp").alias("a"), F.lag("fp").over(w).alias("b")).where("b is not null")
+        pairs = ball(lower).select(*x, F.lag("fp").over(w).alias("y"), F.lag("name").over(w).alias("b")).where("y is not null")
     else:
-        x, y = ball(lower, 0), ball(upper, 1)
-        pairs = x.select(F.col("fp").alias("a"), "variant").join(y.select(F.col("fp").alias("b"), "variant"), "variant").where("a > b").select("a", "b")
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+        other = ball(upper).select(F.col("fp").alias("y"), F.col("name").alias("b"), "variant")
+        pairs = ball(lower).select(*x, "variant").join(other, "variant").where("x > y")
+    return pairs.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -88,3 +88,20 @@ def test_empty_table_and_null_key(as_docs):
 def test_long_text(as_docs):
     text = "word " * 200_000 + "end"
     assert int(fingerprints(as_docs([text])).first().fp) & (2**64 - 1) == brute_print(text)
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    """More edges than a task takes: several rounds of hooking and jumping."""
+    from keyloom.llm import components as c
+
+    monkeypatch.setattr(c, "EDGES", 20)
+    rnd = random.Random(11)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(60)] + [(rnd.randrange(2000, 2100), rnd.randrange(2000, 2100)) for _ in range(60)] + [(7, 7), (1000, 1001)]
+    with Scratch(spark) as s:
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "x long, y long").repartition(9), s).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    alone = {7} if 7 not in got else set()
+    assert got == {x: r for x, r in root.items() if x not in alone and any(x in e and e[0] != e[1] for e in edges)}
