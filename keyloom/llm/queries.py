@@ -23,7 +23,8 @@ from .warc import round_trip
 
 
 def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    found = round_trip(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Base 32 of a SHA-1 in hexadecimal digits: four groups of 40 bits, eight letters each.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(concat('0x', substr(sha1, CAST(1 + 10 * (i // 8) AS INTEGER), 10)) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS INTEGER), 1)), '')"
+_WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
+
+#: The others end in models, hashes or tokenizers that SQL hasn't got; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_bundles": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), t AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS full_id, sha1(payload) AS sha1 FROM p)
+ SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = full_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> full_id THEN full_id END AS refers_to FROM t""",
+    "op2_benchmark_decontamination": f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents), b AS (SELECT CAST(item_id AS STRING) AS item, coalesce({_WORDS.format("text")}, []) AS w FROM benchmark),
+ bw AS (SELECT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+ dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+ hit AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, gram)), pos AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hit) GROUP BY 1), its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op3_chat_formatting": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok')
+ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(12 + length(role) + 1 + length({_ESCAPED.format("text")}) + 11) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+}
