@@ -10,7 +10,8 @@ trigrams of a short text give a small cosine with any centroid, so less is asked
 Null texts and texts without letters are ``und`` with score 0 and rejected; so is everything if no row
 can be learned from. A row with a null lang is predicted but not learned; a null key counts as the empty
 text for the choice of held-out rows; repeated rows are answered each; ties take the first language in
-alphabetical order; further columns are not read.
+alphabetical order; a long text is read whole; an empty table gives no rows; further columns are not read, but those that are to be
+kept must not be named as what is added.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ emitted by one copy of the fingerprint and that of the smaller half by another,
 
 Texts with no word have fingerprint 0 (linked like any other); fewer words than a shingle has make one
 shingle of all; null counts as empty; repeated rows and copies share a fingerprint; rows whose key is
-null get a fingerprint and, where nothing smaller is linked, a null component.
+null get a fingerprint and, where nothing smaller is linked, a null component; an empty table gives no rows; a long text is
+read whole; further columns, of whatever names, are not read.
 """
 
 from __future__ import annotations
