@@ -24,6 +24,7 @@ NEWLINE = r"\\n|\n"
 UNIT = r"(?<![A-Za-z0-9_])(FE|RF|MB|EU|AE|kJ|kW|kRF)(?![A-Za-z0-9_])"
 HAN = "[\u4e00-\u9fff\u3400-\u4dbf]"
 TELLRAW = r'^(?U:\s)*\{[^}]*"text"(?U:\s)*:'
+# Seven forms of codes, numbers and lone placeholders in one pattern, which is one pass over a text.
 CODE_LIKE = r"(?U)^\s*(?:§[0-9a-fA-F]|(?:[A-Z_]+|[0-9]+|[A-Za-z0-9_.-]+|%[a-zA-Z0-9_.$]*|\{[^{}]*\}|%[A-Za-z_]\w*%)\s*$)"
 KEYBOARD = r"(?iU)\b(Shift|Ctrl|Alt|Tab)\b"
 MOUSE = (
@@ -45,12 +46,12 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at both ends. A run inside the text is entered once, not at each of its places."""
+    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s++$", "")
 
 
 def right_strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.regexp_replace(text, r"(?U)(?<!\s)\s++$", "")
 
 
 def has_han(text: Column) -> Column:
@@ -81,7 +82,7 @@ def more_often(a: Column, b: Column) -> Column:
 
 def same_items(a: Column, b: Column) -> Column:
     """Whether both hold the same items equally often."""
-    return F.array_sort(a) == F.array_sort(b)
+    return F.sort_array(a) == F.sort_array(b)
 
 
 def tokens(text: Column) -> Column:
