@@ -209,20 +209,27 @@ def neighbours(met: DataFrame) -> DataFrame:
 
 
 def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """shingle, same, root of the texts that meet at a shingle where there are several components."""
+    """shingle, same, root, weight of the texts that meet at a shingle where there are several components.
+
+    Of shingles that the same texts have (those of a passage that they share, say) one stands for all; weight is how many they are.
+    """
     w = Window.partitionBy("shingle")
     rows = met.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    return rows.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low < high").select("shingle", "same", "root")
+    # who is there: how many, the smallest, the largest, and all their hashes together
+    who = {"n": F.count("*"), "least": F.min("same"), "most": F.max("same"), "all": F.bit_xor(F.xxhash64("same"))}
+    rows = rows.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high"), *[x.over(w).alias(c) for c, x in who.items()]).where("low < high")
+    one = rows.where("same = least").groupBy(*who).agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight"))
+    return rows.select("shingle", "same", "root").join(one.select("shingle", "weight"), "shingle")
 
 
 def others(mixed: DataFrame, distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """a, b, rep_a, rep_b: all pairs that meet at enough shingles, may be similar and are in different components."""
     mixed = scratch.table(mixed.join(distinct.select("same", "n", "bits", "rep"), "same"), "mixed")
-    more = ("shingle", "root", "n", "bits", "rep")
+    more = ("shingle", "weight", "root", "n", "bits", "rep")
     pairs = _side(mixed, "a", *more).join(_side(mixed, "b", *more), F.col("shingle_a") == F.col("shingle_b"))
     different = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    # a pair has a row for each shingle that both prefixes have
-    shared = pairs.where(different & _near(least)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.struct("n_a", "n_b", "rep_a", "rep_b")).alias("of"))
+    # a pair has a row for each group of shingles that both prefixes have
+    shared = pairs.where(different & _near(least)).groupBy("a", "b").agg(F.sum("weight_a").alias("shared"), F.first(F.struct("n_a", "n_b", "rep_a", "rep_b")).alias("of"))
     enough = F.col("shared") >= F.least(F.lit(DEEP), F.floor(F.least("of.n_a", "of.n_b") / STEP) + 1)
     return shared.where(enough).select("a", "b", "of.rep_a", "of.rep_b")
 
