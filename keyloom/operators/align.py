@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,3 +155,20 @@ def pair_guides(files: DataFrame) -> DataFrame:
     slot = lambda lang, has, name: F.max(F.when((F.col("lang") == lang) & has, F.col("filename"))).alias(name)
     old, new = ~status.isin("added", "renamed", "copied"), status != "removed"
     return rows.groupBy("version", "project", "slug", "rel_path").agg(slot("en_us", old, "en_base"), slot("en_us", new, "en_head"), slot("zh_cn", old, "zh_base"), slot("zh_cn", new, "zh_head")).withColumn("key", F.concat(F.lit("ae2guide:"), "rel_path"))
+
+
+@dataclass(frozen=True)
+class Aligner:
+    """A kind of changed files: which paths are its own, and how these are paired (files: filename, status)."""
+
+    name: str
+    pattern: str
+    pair: Callable[[DataFrame], DataFrame]
+
+
+ALIGNERS = (Aligner("lang", LANGUAGE_PATH, pair_slots), Aligner("guide", GUIDE_PATH, pair_guides))
+
+
+def pair_changed(files: DataFrame, aligners: tuple[Aligner, ...] = ALIGNERS) -> dict[str, DataFrame]:
+    """The pairs of each aligner, which sees the files with paths of its own; further kinds are further aligners."""
+    return {x.name: x.pair(files.where(F.col("filename").rlike(x.pattern))) for x in aligners}

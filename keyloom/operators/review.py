@@ -9,7 +9,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, REVIEW, Settings
@@ -80,6 +80,33 @@ def retrying(call: Call, retries: int = DEFAULTS.review_retries, wait: Callable[
     return called
 
 
+class Usage:
+    """What reviewers were asked and said: calls, failures, and the characters of prompts and answers, as tasks report them when they end.
+
+    A task that is repeated is counted again, so this is for observation alone.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.calls, self.failures, self.asked, self.answered = (spark.sparkContext.accumulator(0) for _ in range(4))
+
+    def counting(self, call: Call) -> Call:
+        """The call, counted."""
+        calls, failures, asked, answered = self.calls, self.failures, self.asked, self.answered
+
+        def counted(prompt: str) -> str:
+            calls.add(1)
+            asked.add(len(prompt))
+            try:
+                answer = call(prompt)
+            except Exception:
+                failures.add(1)
+                raise
+            answered.add(len(answer))
+            return answer
+
+        return counted
+
+
 def review(prompts: DataFrame, call: Call, source: str = "llm_review", settings: Settings = DEFAULTS, parallel: int | None = None) -> DataFrame:
     """The verdicts that the callable gives for each prompt; a REVIEW row for a prompt that fails.
 

@@ -121,15 +121,16 @@ def similar_pairs(terms: DataFrame, threshold: float = DEFAULTS.cluster_threshol
     return pairs.where(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ta")).otherwise(F.col("tb")).alias("term_a"), F.when(F.col("a") < F.col("b"), F.col("tb")).otherwise(F.col("ta")).alias("term_b"), t.similarity(F.col("ta"), F.col("tb")).alias("sim"))
 
 
-def cluster_terms(buckets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Clusters of similar terms among the buckets with the most keys: norm, cluster (its first member by rank).
+def top_buckets(buckets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """norm and rank (from 1) of the buckets with the most keys, at ties in the order of mining; how many is a setting of this operator."""
+    order = [F.desc(F.size("keys")), F.col("ord") if "ord" in buckets.columns else F.col("norm")]
+    few = buckets.orderBy(*order).limit(settings.cluster_top)
+    return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("norm", "rank")
 
-    The number of terms that are compared is a setting of this operator.
-    """
-    order = [F.desc(F.size("keys")), F.col("ord")] if "ord" in buckets.columns else [F.desc(F.size("keys")), F.col("norm")]
-    ranked = buckets.orderBy(*order).limit(settings.cluster_top).select("norm", F.monotonically_increasing_id().alias("m"))
-    ranked = ranked.withColumn("id", F.row_number().over(Window.orderBy("m")).cast("long")).select("id", F.col("norm").alias("term"))
-    return clusters_of(ranked, settings.cluster_threshold)
+
+def cluster_terms(buckets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Clusters of similar terms among the top buckets: norm, cluster (its first member by rank)."""
+    return clusters_of(top_buckets(buckets, settings).select(F.col("rank").alias("id"), F.col("norm").alias("term")), settings.cluster_threshold)
 
 
 def clusters_of(terms: DataFrame, threshold: float = DEFAULTS.cluster_threshold) -> DataFrame:

@@ -176,6 +176,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def cache_size(cache: DataFrame) -> DataFrame:
+    """One row: how many decisions a filter cache holds, and how many of them dismiss a verdict."""
+    return cache.agg(F.count("*").alias("decisions"), F.count_if(F.col("action") == PASS).alias("dismissed"))
+
+
 def set_filtered(store: DataFrame, decisions: DataFrame) -> DataFrame:
     """The store with merged rows of decided keys filtered: their verdict, and their reason if one is given. decisions: key, verdict, reason."""
     d = decisions.select("key", F.col("verdict").alias("d_verdict"), F.col("reason").alias("d_reason"))

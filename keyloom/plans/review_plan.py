@@ -82,6 +82,13 @@ def mine_glossary(entries: DataFrame, settings: Settings = DEFAULTS) -> tuple[Da
     return m.buckets, m.glossary
 
 
+def mine_keys(keys: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The glossary (norm, en, zh) of a table of known keys (key, en_us, zh_cn); keys without a translation tell nothing."""
+    rows = keys.where("zh_cn IS NOT NULL AND zh_cn <> ''").select("key", F.col("en_us").alias("en"), F.col("zh_cn").alias("zh"))
+    # a key may have stood through several versions: its texts are one each
+    return mine(rows.distinct().withColumn("pos", F.xxhash64("key", "en", "zh")), settings=settings).glossary
+
+
 def run_review(
     entries: DataFrame, call: Call | None = None, settings: Settings = DEFAULTS, cache: DataFrame | None = None, dictionary: DataFrame | None = None, lemmas: DataFrame | None = None,
     full: DataFrame | None = None, warnings: DataFrame | None = None, merge_call: Call | None = None, change_context: str = "",

@@ -848,6 +848,30 @@ def fuzzy_ranked(spark, d):
     return fuzzy.fuzzy_search(q, mem, replace(DEFAULTS, fuzzy_threshold=20.0))
 
 
+@query(f"WITH {_BUCKETS} SELECT norm, nth AS rank FROM (SELECT norm, row_number() OVER (ORDER BY len(keys) DESC, norm) AS nth FROM buckets) WHERE nth <= 10")
+def top_buckets(spark, d):
+    return terms.top_buckets(_buckets(spark, d).select("norm", "keys"), replace(DEFAULTS, cluster_top=10))
+
+
+@query(f"WITH {a.ENTRIES_SQL} SELECT key, starts_with(key, 'ae2guide:') AS guide, ({' OR '.join(f'contains(key, {chr(39)}{x}{chr(39)})' for x in DEFAULTS.fuzzy_triggers)}) AS fuzzy, {_REQUIRED} AS required FROM entries")
+def key_flags(spark, d):
+    key = F.col("key")
+    return a.entries(spark, d).select("key", t.is_guide(key).alias("guide"), t.fuzzy_trigger(key).alias("fuzzy"), t.needs_review(key, F.col("en")).alias("required"))
+
+
+@query("SELECT o_orderstatus AS canonical, [o_orderstatus] AS variants, CAST(10 + count(*) AS BIGINT) AS freq FROM orders GROUP BY 1")
+def lemma_cache_fold(spark, d):
+    orders = a.table(spark, d, "orders").select(F.col("o_orderstatus").alias("canonical"))
+    cache = orders.distinct().select("canonical", F.array("canonical").alias("variants"), F.lit(10).cast("long").alias("freq"))
+    return sinks.fold_lemma_cache(cache, orders)
+
+
+@query(_MERGED + "SELECT CAST(count(*) AS BIGINT) AS decisions, CAST(count(*) FILTER (WHERE verdict = '❌ FAIL') AS BIGINT) AS dismissed FROM merged")
+def cache_totals(spark, d):
+    m = _merged(spark, d)
+    return verdicts.cache_size(m.select(F.when(F.col("verdict") == "❌ FAIL", "PASS").otherwise("KEEP").alias("action")))
+
+
 # ---- sources
 @query("SELECT CAST(p_partkey AS STRING) AS key, concat(p_name, '=', p_type) AS value, CAST(1 AS BIGINT) AS pos FROM part WHERE p_name IS NOT NULL")
 def lang_parse(spark, d):
@@ -863,6 +887,19 @@ def json_map_parse(spark, d):
     return files.map_rows(a.table(spark, d, "part").select(text.alias("value")), "json").select("key", "value", "warning")
 
 
+@query("SELECT CAST(p_partkey AS STRING) AS key, p_type AS value FROM part UNION ALL SELECT concat('_comment', CAST(p_partkey AS STRING)), p_name FROM part")
+def json_plain_parse(spark, d):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit('{"_comment'), k, F.lit('": "'), "p_name", F.lit('", "'), k, F.lit('": "'), "p_type", F.lit('"}'))
+    return files.map_rows(a.table(spark, d, "part").select(text.alias("value")), "plain").select("key", "value")
+
+
+@query("SELECT concat('a=', CAST(p_partkey AS STRING), ':b') AS key, concat(p_name, chr(10), 'é=') AS value FROM part")
+def lang_escapes(spark, d):
+    text = F.concat(F.lit("#PARSE_ESCAPE\na\\="), F.col("p_partkey").cast("string"), F.lit("\\:b="), "p_name", F.lit("\\n\\u00e9\\="))
+    return files.map_rows(a.table(spark, d, "part").select(text.alias("value")), "lang").select("key", "value")
+
+
 # ---- plans
 def _keyed_parts(spark, d):
     return a.parts(spark, d).select("key", "en", "zh", F.col("p_brand").alias("namespace"), "pos")
@@ -879,7 +916,7 @@ def review_plan_offline(spark, d):
     return run_review(_keyed_parts(spark, d)).by_namespace
 
 
-@query()
+@query(_MERGED + "SELECT key, CASE WHEN length(key) % 2 = 1 THEN 'PASS' ELSE verdict END AS verdict, CASE WHEN length(key) % 2 = 1 THEN '' ELSE concat('about ', key) END AS reason FROM merged")
 def filter_plan(spark, d):
     cache = spark.createDataFrame([], "cache_key string, action string, reason string")
     return run_filter(_merged(spark, d), cache, stub)[0].select("key", "verdict", "reason")

@@ -8,8 +8,9 @@ import pytest
 
 from keyloom.config import DEFAULTS, load_settings
 from keyloom.operators import align, fuzzy, lemma, review, routing, tables, terms, verdicts
-from keyloom.plans.review_plan import header, mine, run_change_review
+from keyloom.plans.review_plan import header, mine, mine_keys, run_change_review
 from keyloom.sources import files, sinks
+from keyloom.streaming.incremental import changed_entries, start_review
 
 
 @pytest.mark.parametrize(("answer", "want"), [
@@ -236,3 +237,43 @@ def test_buckets_merge_under_a_name_that_has_none(spark):
     b = spark.createDataFrame([("gears", "gears", ["gears"], 2, ["a", "b"], "unigrams", 1), ("cogs", "cogs", ["cogs"], 1, ["b"], "unigrams", 2)], "norm string, normalized string, variants array<string>, freq long, keys array<string>, ngram_type string, ord int")
     redirect = spark.createDataFrame([("gears", "gear"), ("cogs", "gear")], "norm string, target string")
     assert [(r.norm, r.variants, r.freq) for r in terms.merge_buckets(b, redirect).collect()] == [("gear", ["cogs", "gears"], 2)]
+
+
+def test_changed_files_go_to_the_aligner_of_their_kind(spark):
+    df = spark.createDataFrame([("projects/assets/p/1.0/s/lang/en_us.json", "modified"), ("projects/assets/p/1.0/s/ae2guide/_zh_cn/a.md", "added"), ("projects/readme.md", "added"), ("x.toml", None)], "filename string, status string")
+    more = align.Aligner("toml", r"\.toml$", lambda f: f.select("filename"))
+    got = align.pair_changed(df, (*align.ALIGNERS, more))
+    assert got["lang"].first().en_head == "projects/assets/p/1.0/s/lang/en_us.json" and got["guide"].first().key == "ae2guide:a.md"
+    assert [r.filename for r in got["toml"].collect()] == ["x.toml"] and got["lang"].count() == got["guide"].count() == 1
+
+
+def test_usage_is_counted_in_the_tasks(spark):
+    usage = review.Usage(spark)
+
+    def call(prompt):
+        if prompt == "bad":
+            raise RuntimeError("no")
+        return "[]"
+
+    prompts = spark.createDataFrame([("one",), ("three",), ("bad",)], "prompt string")
+    review.review(prompts, usage.counting(call), settings=DEFAULTS.__class__(review_retries=0)).collect()
+    assert (usage.calls.value, usage.failures.value, usage.asked.value, usage.answered.value) == (3, 1, 11, 4)
+
+
+def test_a_glossary_from_a_table_of_keys(spark):
+    rows = [(f"block.{i}", "block", "Iron Door", "铁门", "1.9", "1.10", 0) for i in range(8)] + [(f"item.{i}", "item", "Iron Door", None, "1.9", "1.9", 0) for i in range(9)]
+    got = {r.en.lower(): r.zh for r in mine_keys(spark.createDataFrame(rows, files.KEY_INTERVALS)).collect()}
+    assert got["iron door"] == "铁门"
+
+
+def test_a_stream_of_changes_is_warned_of_and_reviewed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"key": "gui.a", "old_en": "One door", "new_en": "Two doors", "old_zh": "门", "new_zh": "门"}, {"key": "gui.b", "old_en": "", "new_en": "Red", "old_zh": "", "new_zh": "红"}, {"key": "gone", "old_en": "x", "old_zh": "y"}]
+    (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, rows)))
+
+    def call(prompt):
+        return '[{"key": "gui.b", "verdict": "PASS", "reason": "seen"}]' if "gui.b" in prompt else "[]"
+
+    start_review(changed_entries(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp"), call=call).awaitTermination(60)
+    got = {r.key: (r.verdict, r.source) for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert got == {"gui.a": ("⚠️ SUGGEST", "pr_warning"), "gui.b": ("PASS", "llm_review")}
