@@ -3,7 +3,10 @@
 Ball hashing of SimHash fingerprints (of the same shingles) finds the closest texts cheaply, but two bits are no bound on a
 similarity of 0.8. So a prefix filter makes the result whole. The distinct shingles of each text are put in one order that all texts
 share; two texts of similarity t share k of the first n - ceil(t n) + k shingles of each, whatever was changed, cut or
-added; so these prefixes are what is shuffled, and pairs that share fewer are let go (k is 1 to DEEP, more for longer texts). The order
+added; so these prefixes are what is shuffled, and pairs that share fewer are let go. k is 1 to DEEP, more for longer texts. Where a text has MANY
+shingles, k is a quarter of them, and only shingles whose further hash is small are looked at, which leaves a long text about as many rows as
+a short one: of two similar texts 64 shared ones or more are expected there (sizes differ by a quarter at most), so that fewer than
+DEEP are is about as likely as two 64-bit hashes being equal. The order
 puts shingles last that are common in a sample of the texts: that makes groups small and changes no result.
 
 First each text is compared with those in its balls and one neighbour at each of its shingles, in an order of the shingle's own; the
@@ -39,8 +42,9 @@ SAMPLE, COMMON = 5_000, 200_000
 BITMAP, LONG = 8, 1024
 #: Differing bits of fingerprints that are compared first.
 RADIUS = 2
-#: Shingles that long texts share in their prefixes if they are similar; a text of n has one more for every STEP of n.
-DEEP, STEP = 8, 32
+#: Shingles that texts share in their prefixes if they are similar: one more for every STEP of their number, up to DEEP. From MANY shingles on
+#: they share a quarter of that number, and of such prefixes only a share is looked at, of which KEPT of the shared ones are expected.
+DEEP, STEP, MANY, KEPT = 8, 32, 512, 80
 _ODD = [U((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(16)]
 
 
@@ -85,6 +89,12 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return counts.select("g").toArrow()["g"].to_numpy()[::-1].view(U)
 
 
+def depths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles similar texts share in their prefixes, and of how many of these one is looked at."""
+    deep = np.where(n < MANY, np.minimum(DEEP, n // STEP + 1), n // 4)
+    return deep, np.maximum(1, deep // KEPT)
+
+
 def _parities(h: np.ndarray) -> np.ndarray:
     """The parities of a long text's hashes; folded in halves, they are those of a shorter bitmap."""
     size = 1 << int(np.ceil(np.log2(len(h) / 128)))
@@ -125,9 +135,11 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
                 for k in range(BITMAP):
                     bits[full, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, U(0)), off[full])
             more = [_parities(h[off[i] : off[i + 1]]) if n[i] > LONG else None for i in range(m)]
-            first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + np.minimum(DEEP, n // STEP + 1), 0)
+            deep, one_of = depths(n)
+            first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + deep, 0)
             inside = np.arange(len(g)) - np.repeat(off[:-1], n) < np.repeat(first, n)
-            ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
+            inside &= mix(g ^ _ODD[7]) <= np.repeat(U(2**64 - 1) // one_of.astype(U), n)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(own[inside], minlength=m))]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))
             parities = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), BITMAP).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), parities, pa.array(more, pa.list_(pa.int64())), prefix], names=[key, "same", "n", "fp", "bits", "more", "prefix"])

@@ -88,3 +88,22 @@ def test_near_copies_within_a_crowd_of_one_template(as_docs):
     texts = [" ".join(w) for w in texts]
     got = {r.doc_id: r.component_id for r in near_copies(as_docs(texts)).collect()}
     assert got == {i: i if i < 250 else i - 250 for i in range(290)}
+
+
+def test_long_texts_near_the_limit(as_docs):
+    """Prefixes of which a share is looked at; edits that leave similarities on both sides of the limit, and a passage that many share."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8)))
+    passage, texts = [word() for _ in range(80)], []
+    for n in (480, 520, 600, 650, 800, 1100, 1500, 2500, 4000):
+        base = [word() for _ in range(n)]
+        texts.append(" ".join([*base, *passage]))
+        for edits in (45, 47, 49, 52, 60):  # words between edits: similarities of about 0.8
+            w = list(base)
+            for at in range(edits // 2, n, edits):
+                w[at] = word()
+            texts.append(" ".join([*passage, *w]))
+        texts += [" ".join(base[: int(n * 0.82)]), " ".join([*base, *(word() for _ in range(n // 5))]), " ".join([*base, *(word() for _ in range(n // 3))])]
+    got = {r.doc_id: r.component_id for r in near_copies(as_docs(texts)).collect()}
+    want = brute(texts)
+    assert got == want and 9 < len(set(want.values())) < len(texts)
