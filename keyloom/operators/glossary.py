@@ -11,9 +11,12 @@ from ..functions import text as t
 VARIANTS = "variants"
 
 
-def candidate_translations(buckets: DataFrame, entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """norm, zh, pos of the entries (key, en, zh, pos) that can tell a term's translation: keys are exploded and joined by equality."""
-    keys = buckets.select("norm", VARIANTS, F.explode("keys").alias("key"))
+def candidate_translations(buckets: DataFrame, entries: DataFrame, settings: Settings = DEFAULTS, keys: DataFrame | None = None) -> DataFrame:
+    """norm, zh, pos of the entries (key, en, zh, pos) that can tell a term's translation: keys are exploded and joined by equality.
+
+    keys: norm, key, where a term has more keys than a row should hold.
+    """
+    keys = buckets.select("norm", VARIANTS, F.explode("keys").alias("key")) if keys is None else keys.join(buckets.select("norm", VARIANTS), "norm")
     zh = t.strip(F.coalesce("zh", F.lit("")))
     usable = ~t.has_any(F.col("key"), settings.description_parts) & (zh != "") & (zh != F.col("en")) & (F.length(zh) <= settings.max_zh_len) & (F.length("en") <= settings.max_en_len)
     rows = keys.join(entries.select("key", "en", "zh", "pos"), "key").where(usable)
@@ -44,10 +47,14 @@ def common_substring(hist: DataFrame, ratio: float = DEFAULTS.min_consensus) ->
     return best.where("nth = 1").select("norm", "zh")
 
 
-def build_glossary(buckets: DataFrame, entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """norm, en (the shortest variant), zh of terms with enough keys whose translation is agreed on, in whole or in part."""
-    enough = buckets.where((F.size("keys") >= settings.min_freq) & t.valid_term(F.col("norm"), settings))
-    hist = histogram(candidate_translations(enough, entries, settings))
+def build_glossary(buckets: DataFrame, entries: DataFrame, settings: Settings = DEFAULTS, keys: DataFrame | None = None) -> DataFrame:
+    """norm, en (the shortest variant), zh of terms with enough keys whose translation is agreed on, in whole or in part. keys: as in candidate_translations."""
+    if keys is None:
+        enough = buckets.where(F.size("keys") >= settings.min_freq)
+    else:
+        enough = buckets.join(keys.groupBy("norm").count().where(F.col("count") >= settings.min_freq).select("norm"), "norm")
+    enough = enough.where(t.valid_term(F.col("norm"), settings))
+    hist = histogram(candidate_translations(enough, entries, settings, keys))
     mode = mode_translation(hist, settings)
     part = common_substring(hist, settings.min_consensus).withColumnRenamed("zh", "part")
     shortest = F.array_sort(VARIANTS, lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0))[0]

@@ -365,14 +365,21 @@ _CAND = "cand AS (SELECT DISTINCT lower(term) AS norm, key, pos, zh FROM o WHERE
 _HIST = f"WITH {_OCC}, {_CAND}"
 
 
+def _keyed_buckets(spark, d):
+    """Buckets without keys, and all their keys (norm, key) as rows, so that every row of the table counts and no term gathers its own."""
+    o = _part_occurrences(spark, d).withColumn("norm", F.lower("term"))
+    return o.groupBy("norm").agg(F.array_sort(F.collect_set("term")).alias("variants")), o.select("norm", "key").distinct()
+
+
 def _all_buckets(spark, d):
-    """Buckets that keep all their keys, so that every row of the table counts."""
+    """Buckets that hold all their keys, for the rescue, which takes them from each other."""
     o = _part_occurrences(spark, d)
     return o.groupBy(F.lower("term").alias("norm")).agg(F.array_sort(F.collect_set("term")).alias("variants"), F.array_sort(F.collect_set("key")).alias("keys"))
 
 
 def _hist(spark, d):
-    return glossary.histogram(glossary.candidate_translations(_all_buckets(spark, d), a.parts(spark, d)))
+    buckets, keys = _keyed_buckets(spark, d)
+    return glossary.histogram(glossary.candidate_translations(buckets, a.parts(spark, d), keys=keys))
 
 
 @query(f"{_HIST} SELECT norm, zh, cnt, first FROM hist")
@@ -400,7 +407,8 @@ _GLOSSARY = f"{_HIST}, {_MODE.replace('>= 0.6', '>= 0.05')}, {_COMMON.format('0.
 
 @query(f"{_GLOSSARY} SELECT norm, en, zh FROM glossary")
 def glossary_build(spark, d):
-    return glossary.build_glossary(_all_buckets(spark, d), a.parts(spark, d), _LOOSE)
+    buckets, keys = _keyed_buckets(spark, d)
+    return glossary.build_glossary(buckets, a.parts(spark, d), _LOOSE, keys)
 
 
 _NAMES = "g AS (SELECT DISTINCT en, zh FROM (SELECT p_name AS en, p_type AS zh FROM part UNION ALL SELECT split_part(p_name, ' ', 1), p_type FROM part))"
