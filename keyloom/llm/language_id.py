@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, rechunk
-from .textvec import LOWER, U, texts
+from .textvec import LOWER, texts
 
 DIMS = 4096
 #: Rows of each language that its centroids are fitted on, and centroids.

@@ -5,7 +5,7 @@ similarity of 0.8. So a prefix filter makes the result whole. The distinct shing
 share; two texts of similarity t share k of the first n - ceil(t n) + k shingles of each, whatever was changed, cut or
 added; so these prefixes are what is shuffled, and pairs that share fewer are let go. k is 1 to DEEP, more for longer texts. Where a text has MANY
 shingles, k is a quarter of them, and only shingles whose further hash is small are looked at, which leaves a long text about as many rows as
-a short one: of two similar texts 64 shared ones or more are expected there (sizes differ by a quarter at most), so that fewer than
+a short one: of two similar texts KEPT shared ones or more are expected there (however much their sizes may differ), so that fewer than
 DEEP are is about as likely as two 64-bit hashes being equal. The order
 puts shingles last that are common in a sample of the texts: that makes groups small and changes no result.
 
@@ -43,8 +43,8 @@ BITMAP, LONG = 8, 1024
 #: Differing bits of fingerprints that are compared first.
 RADIUS = 2
 #: Shingles that texts share in their prefixes if they are similar: one more for every STEP of their number, up to DEEP. From MANY shingles on
-#: they share a quarter of that number, and of such prefixes only a share is looked at, of which KEPT of the shared ones are expected.
-DEEP, STEP, MANY, KEPT = 8, 32, 512, 80
+#: they share a quarter of that number, and of such prefixes only a share is looked at, in which KEPT shared ones at least are expected.
+DEEP, STEP, MANY, KEPT = 8, 32, 512, 64
 _ODD = [U((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(16)]
 
 
@@ -89,10 +89,13 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return counts.select("g").toArrow()["g"].to_numpy()[::-1].view(U)
 
 
-def depths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many shingles similar texts share in their prefixes, and of how many of these one is looked at."""
+def depths(n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles similar texts share in their prefixes, and of how many of these one is looked at.
+
+    The larger of two similar texts, which has the smaller share, is at most 1 / least times as large.
+    """
     deep = np.where(n < MANY, np.minimum(DEEP, n // STEP + 1), n // 4)
-    return deep, np.maximum(1, deep // KEPT)
+    return deep, np.maximum(1, (deep * least / KEPT + 1e-9).astype(np.int64))
 
 
 def _parities(h: np.ndarray) -> np.ndarray:
@@ -135,7 +138,7 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, least: float) -
                 for k in range(BITMAP):
                     bits[full, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, U(0)), off[full])
             more = [_parities(h[off[i] : off[i + 1]]) if n[i] > LONG else None for i in range(m)]
-            deep, one_of = depths(n)
+            deep, one_of = depths(n, least)
             first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + deep, 0)
             inside = np.arange(len(g)) - np.repeat(off[:-1], n) < np.repeat(first, n)
             inside &= mix(g ^ _ODD[7]) <= np.repeat(U(2**64 - 1) // one_of.astype(U), n)
