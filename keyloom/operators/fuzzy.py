@@ -31,14 +31,19 @@ def index_tokens(memory: DataFrame) -> DataFrame:
     return rows.groupBy("key", "token").agg(F.count("*").alias("tf"), F.first("words").alias("words"))
 
 
-def recall(queries: DataFrame, memory: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """q_key, query, key, hits, score: lines of which a word begins with a word of the query, how many of its words do, and their relevance.
+def _asked(queries: DataFrame) -> DataFrame:
+    """The queries with their words, in order: queries of the same words recall the same lines."""
+    return queries.select("q_key", "query", F.array_sort(query_tokens(F.col("query"))).alias("words"))
+
+
+def relevance(asked: DataFrame, memory: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """words, key, hits, score for each distinct list of words: lines of which a word begins with one of them, how many do, and their relevance.
 
     Relevance is BM25, each word of the query being a beginning of words. Beginnings are joined by their first two characters, so
     this is an equality join and no cross product; a beginning meets each distinct word, and is weighed in each line, once,
     however many queries have it.
     """
-    q = queries.select("q_key", "query", F.explode(query_tokens(F.col("query"))).alias("prefix"))
+    q = asked.select("words").distinct().select("words", F.explode("words").alias("prefix"))
     lines = index if index is not None else index_tokens(memory)
     size = lines.groupBy("key").agg(F.first("words").alias("words")).agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
     prefixes = q.select("prefix").distinct().withColumn("two", F.substring("prefix", 1, 2))
@@ -49,8 +54,13 @@ def recall(queries: DataFrame, memory: DataFrame, index: DataFrame | None = None
     idf = F.greatest(F.log((F.lit(size["n"]) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(size["mean"] or 1.0)))
     weighed = in_line.join(n, "prefix").select("prefix", "key", weight.alias("weight"))
-    found = q.join(weighed, "prefix").groupBy("q_key", "query", "key").agg(F.count("*").alias("hits"), F.round(F.sum("weight"), PLACES).alias("score"))
-    return found
+    return q.join(weighed, "prefix").groupBy("words", "key").agg(F.count("*").alias("hits"), F.round(F.sum("weight"), PLACES).alias("score"))
+
+
+def recall(queries: DataFrame, memory: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """q_key, query, key, hits, score: all lines that each query recalls."""
+    asked = _asked(queries)
+    return asked.join(relevance(asked, memory, index), "words").select("q_key", "query", "key", "hits", "score")
 
 
 def fuzzy_search(queries: DataFrame, memory: DataFrame, settings: Settings = DEFAULTS, limit_recall: bool = True, index: DataFrame | None = None, translations: DataFrame | None = None) -> DataFrame:
@@ -60,11 +70,14 @@ def fuzzy_search(queries: DataFrame, memory: DataFrame, settings: Settings = DEF
     own; one that has none there either says so. Of the candidates, the most relevant ones are compared (limit_recall),
     as many as the settings say. The top is taken before a query's own line is left out, which is the caller's to do.
     """
-    found = recall(queries.where(t.strip(F.coalesce("query", F.lit(""))) != ""), memory, index)
+    asked = _asked(queries.where(t.strip(F.coalesce("query", F.lit(""))) != ""))
+    found = relevance(asked, memory, index)
     if limit_recall:
+        # before the queries of these words take them: what is carried on is bounded for each
         most = max(settings.recall_factor * settings.fuzzy_top, settings.recall_min)
-        w = Window.partitionBy("q_key").orderBy(F.desc("score"), "key")
+        w = Window.partitionBy("words").orderBy(F.desc("score"), "key")
         found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    found = asked.join(found, "words").select("q_key", "query", "key")
     if translations is not None:
         other = translations.groupBy("key").agg(F.max("zh").alias("other"))
         memory = memory.join(other, "key", "left").withColumn("zh", F.coalesce(F.nullif("zh", F.lit("")), "other", F.lit(NO_TRANSLATION)))
