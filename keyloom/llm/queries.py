@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_records
+from .collocations import collocations
 from .common import read_table
 from .decontaminate import decontaminate
 from .kneser_ney import quality
@@ -19,6 +21,8 @@ from .packing import pack
 from .ppm import score_texts
 from .simhash import near_duplicates
 from .token_count import count_tokens
+from .toxicity import toxicity
+from .variants import spelling_groups
 from .warc import round_trip
 
 
@@ -74,6 +78,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, docs.where("not held_out"), keep=("held_out",))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents", "lang", "text"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", is_held_out("doc_id", 3, 1))
+    return toxicity(docs, read_table(spark, sf_dir, "labels"), ~is_held_out("_id", 3, 1), ("doc_id", "held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -85,11 +102,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_hash_prefix_forest": op9_hash_prefix_forest,
     "op10_language_id": op10_language_id,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: Base 32 of a SHA-1 in hexadecimal digits: four groups of 40 bits, eight letters each.
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(concat('0x', substr(sha1, CAST(1 + 10 * (i // 8) AS INTEGER), 10)) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS INTEGER), 1)), '')"
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of a list of bytes, by the table of its remainders.
+_CRC = f"xor(list_reduce(list_prepend(4294967295, {{0}}), lambda s, b: xor(s >> 8, [{', '.join(str(zlib.crc32(bytes([i])) ^ zlib.crc32(bytes(1))) for i in range(256))}][(xor(s, b) & 255) + 1])), 4294967295)"
+_BYTES = "list_transform(range(0, CAST(octet_length(encode({0})) AS BIGINT)), lambda i: CAST(concat('0x', substr(hex(encode({0})), 2 * i + 1, 2)) AS BIGINT))"
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
 
 #: The others end in models, hashes or tokenizers that SQL hasn't got; tests hold them against brute force.
@@ -104,4 +128,17 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok')
  SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(12 + length(role) + 1 + length({_ESCAPED.format("text")}) + 11) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+    "op11_phrase_collocations": rf"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+ total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1), f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
+ words AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1), cuts AS (SELECT *, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS c FROM words)),
+ cut AS (SELECT c.lang, c.k, c.phrase, c.a, c.c, x.a AS l, y.a AS r, CAST((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a) AS BIGINT) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
+ best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1), spans AS (SELECT lang, a, w, i, unnest(range(i + 1, k + 1)) AS j, k FROM (SELECT *, unnest(range(1, k)) AS i FROM words)), held AS (SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS longer FROM spans WHERE j - i + 1 < k GROUP BY 1, 2),
+ kept AS (SELECT b.* FROM best b LEFT JOIN held h USING (lang, phrase) WHERE h.longer IS NULL OR 100 * h.longer::HUGEINT < 80 * b.a::HUGEINT), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op12_spelling_variants": rf"""WITH RECURSIVE o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW.format("text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY 1, 2), h AS (SELECT w, n, {_CRC.format(_BYTES.format("concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', w)"))} AS h FROM o),
+ c AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, n FROM h), v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+ d AS MATERIALIZED (SELECT DISTINCT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)), pairs AS (SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word UNION SELECT d.word, d.n, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, v.n, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+ best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY 1), forms AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+ way AS (SELECT word, word AS at FROM forms UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON way.at = forms.word WHERE forms.form IS NOT NULL), root AS (SELECT way.word, way.at AS root FROM way JOIN forms ON way.at = forms.word WHERE forms.form IS NULL)
+ SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN root USING (word)""",
 }

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.llm.chat import format_and_read
+from keyloom.llm.collocations import collocations
 from keyloom.llm.decontaminate import decontaminate
 from keyloom.llm.kneser_ney import quality
 from keyloom.llm.language_id import identify
@@ -16,9 +17,11 @@ from keyloom.llm.packing import pack
 from keyloom.llm.ppm import score_texts
 from keyloom.llm.simhash import near_duplicates
 from keyloom.llm.token_count import count_tokens
+from keyloom.llm.toxicity import toxicity
+from keyloom.llm.variants import spelling_groups
 from keyloom.llm.warc import round_trip
 
-NAMES = "key payload sha1 n full refers_to archive frame offset segment row items n_hit piece start length task nth before sequence_id flag block kind shard asked counts train held trusted same fp bits more prefix rep component_id variant name x y a b root node score rejected lang_pred id vec ids asks dim tree part hash n_tokens".split()
+NAMES = "key payload sha1 n full refers_to archive frame offset segment row items n_hit piece start length task nth before sequence_id flag block kind shard asked counts train held trusted same fp bits more prefix rep component_id variant name x y a b root node score rejected lang_pred id vec ids asks dim tree part hash n_tokens phrase a l r rank k cut longer word form variant y h at _h _y _text predicted names".split()
 
 
 def text(rnd, n):
@@ -47,6 +50,9 @@ OPERATORS = {
     "kneser_ney": lambda d: quality(d, labels(d)),
     "token_count": lambda d: count_tokens(d, public_tokenizers.path("word_bpe_49k.json")),
     "language_id": lambda d: identify(d, d),
+    "collocations": lambda d: collocations(d, least=2),
+    "variants": lambda d: spelling_groups(d).where("n > 2"),
+    "toxicity": lambda d: toxicity(d, labels(d).withColumn("toxic", (F.col("doc_id") % 2).cast("int")), F.col("_id") % 3 != 1),
     "lsh_forest": lambda d: nearest(d.selectExpr("*", "doc_id AS vec_id", "array(cast(doc_id + 1 as float), 1f, cast(length(text) as float)) AS embedding"), F.col("vec_id") % 10 == 0),
 }
 
