@@ -177,9 +177,7 @@ def plan_packing(hist: np.ndarray) -> Plan:
             if times:
                 left -= need * times
                 plan.append((use, times))
-    plan += longest_first(left, size)
-    plain = longest_first(hist.astype(np.int64), size)
-    return min(plan, plain, key=lambda p: sum(n for _, n in p))
+    return plan + longest_first(left, size)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,10 +5,13 @@ import random
 import unicodedata
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from keyloom.llm import kneser_ney
 from keyloom.llm import queries as q
 from keyloom.llm.ppm import ORDER, Trie
 
@@ -117,6 +120,28 @@ def test_op7_answers_every_row(spark, folder, docs):
     assert sum(not got[i].keep for i in range(150)) <= 5
 
 
+def test_op7_decides_by_the_quantiles_of_held_out_rows(spark, folder):
+    """Limits and decisions from the perplexities (which test_kneser_ney holds against plain counting) by numpy's own quantiles."""
+    rows = q.op7_quality_classifier(spark, folder).toPandas()
+    ids = spark.range(150).select("id", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(1 << 20)).alias("h")).toPandas()
+    held = rows[rows.doc_id.isin(ids[ids.h < 1 << 19]["id"]) & (rows.n_bytes > 0)]
+    assert 50 < len(held) < 100
+    middle = {g: np.quantile(np.log(x.perplexity), 0.5) for g, x in [*held.groupby("lang"), (None, held)]}
+    n = rows.n_bytes
+    smoothed = (np.log(rows.perplexity) * n + rows.lang.map(lambda g: middle.get(g, middle[None])).astype(float) * kneser_ney.PRIOR) / (n + kneser_ney.PRIOR)
+    assert np.allclose(smoothed, np.log(rows.smoothed), atol=2 * kneser_ney.BIN)
+    s = smoothed[held.index]
+    spread = np.quantile(s, kneser_ney.KEPT) - np.quantile(s, 0.5)
+    limit = {None: np.quantile(s, kneser_ney.KEPT)}
+    for g, x in s.groupby(held.lang):
+        m = np.quantile(x, 0.5)
+        limit[g] = m + (len(x) * (np.quantile(x, kneser_ney.KEPT) - m) + kneser_ney.SHRINK * spread) / (len(x) + kneser_ney.SHRINK)
+    want = rows.lang.map(lambda g: limit.get(g, limit[None])).astype(float)
+    assert np.allclose(np.log(rows.threshold), want, atol=4 * kneser_ney.BIN)
+    clear = (smoothed - want).abs() > 6 * kneser_ney.BIN
+    assert clear.mean() > 0.9 and ((smoothed <= want) & (n > 0))[clear].equals(rows.keep[clear])
+
+
 def test_op8_counts_like_the_library(spark, folder, docs):
     from tokenizers import Tokenizer
 
