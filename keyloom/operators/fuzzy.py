@@ -1,83 +1,63 @@
-"""Translation memory: candidates that share a word beginning, ranked by edit distance."""
+"""Translation memory: candidates that share a word beginning, ranked by relevance and then by edit distance."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as t
+from . import recall as r
+from .recall import index_tokens  # noqa: F401  what callers keep
+from .recall_index import RecallIndex
 
-WORD = r"(?U)[\w&&[^_]]+"
 # Fixed value: what stands for a translation that isn't there.
 NO_TRANSLATION = "(无翻译)"
-#: The usual constants of BM25, the least weight of a word that half of the lines have, and places that scores are compared to.
-K1, B, LEAST_IDF, PLACES = 1.2, 0.75, 1e-6, 6
 
 
-def query_tokens(query) -> Column:
-    """Words between white space, without anything but letters and digits, of two characters or more, in lower case."""
-    bare = F.transform(F.split(query, r"(?U)\s+"), lambda w: F.lower(F.regexp_replace(w, r"(?U)[^\p{L}\p{N}]", "")))
-    return F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 2))
-
-
-def index_tokens(memory: DataFrame) -> DataFrame:
-    """key, token, tf, words: the distinct words of key, en and zh of each line, in lower case, how often it has each, and how many it has.
-
-    The index of a memory that is searched again and again is best cut once and passed to fuzzy_search.
-    """
-    words = memory.select("key", t.all_matches(F.lower(F.concat_ws(" ", "key", "en", "zh")), WORD).alias("all"))
-    rows = words.select("key", F.size("all").alias("words"), F.explode("all").alias("token"))
-    return rows.groupBy("key", "token").agg(F.count("*").alias("tf"), F.first("words").alias("words"))
-
-
-def _asked(queries: DataFrame) -> DataFrame:
-    """The queries with their words, in order: queries of the same words recall the same lines."""
-    return queries.select("q_key", "query", F.array_sort(query_tokens(F.col("query"))).alias("words"))
-
-
-def relevance(asked: DataFrame, memory: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """words, key, hits, score for each distinct list of words: lines of which a word begins with one of them, how many do, and their relevance.
-
-    Relevance is BM25, each word of the query being a beginning of words. Beginnings are joined by their first two characters, so
-    this is an equality join and no cross product; a beginning meets each distinct word, and is weighed in each line, once,
-    however many queries have it.
-    """
-    q = asked.select("words").distinct().select("words", F.explode("words").alias("prefix"))
+def _lists(wanted: DataFrame, memory: DataFrame, index: DataFrame | RecallIndex | None) -> tuple[DataFrame, int, float]:
+    """prefix, key, tf, words of the wanted prefixes, and the number of lines and their mean words."""
+    prefixes = wanted.select("prefix").distinct()
+    if isinstance(index, RecallIndex):
+        return r.inverted(index.matching(prefixes), index.postings()), *index.size()
     lines = index if index is not None else index_tokens(memory)
     size = lines.groupBy("key").agg(F.first("words").alias("words")).agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
-    prefixes = q.select("prefix").distinct().withColumn("two", F.substring("prefix", 1, 2))
-    vocabulary = lines.select("token").distinct().withColumn("two", F.substring("token", 1, 2))
-    known = prefixes.join(vocabulary, "two").where(F.startswith("token", "prefix")).select("prefix", "token")
-    in_line = known.join(lines, "token").groupBy("prefix", "key").agg(F.sum("tf").alias("tf"), F.first("words").alias("words"))
-    n = in_line.groupBy("prefix").agg(F.count("*").alias("n"))
-    idf = F.greatest(F.log((F.lit(size["n"]) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(size["mean"] or 1.0)))
-    weighed = in_line.join(n, "prefix").select("prefix", "key", weight.alias("weight"))
-    return q.join(weighed, "prefix").groupBy("words", "key").agg(F.count("*").alias("hits"), F.round(F.sum("weight"), PLACES).alias("score"))
+    return r.inverted(r.matching(prefixes, lines.select("token").distinct()), lines), size["n"], size["mean"]
+
+
+def recall(queries: DataFrame, memory: DataFrame, index: DataFrame | RecallIndex | None = None) -> DataFrame:
+    """q_key, query, key, hits, score: all lines that each query recalls, with their relevance (BM25, each word of the query being a beginning of words)."""
+    asked = r.asked(queries)
+    wanted = r.lists_of(asked)
+    found = r.all_relevant(wanted, r.weighed(*_lists(wanted, memory, index)))
+    return asked.join(found, "words").select("q_key", "query", "key", "hits", (F.col("score") / r.UNIT).alias("score"))
 
 
-def recall(queries: DataFrame, memory: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """q_key, query, key, hits, score: all lines that each query recalls."""
-    asked = _asked(queries)
-    return asked.join(relevance(asked, memory, index), "words").select("q_key", "query", "key", "hits", "score")
+def recall_best(queries: DataFrame, memory: DataFrame, most: int, index: DataFrame | RecallIndex | None = None) -> DataFrame:
+    """q_key, query, key, hits, score, nth: the ``most`` most relevant lines of each query, at ties those of the smallest keys."""
+    asked = r.asked(queries)
+    wanted = r.lists_of(asked)
+    found = r.most_relevant(wanted, r.weighed(*_lists(wanted, memory, index)), most)
+    return asked.join(found, "words").select("q_key", "query", "key", "hits", (F.col("score") / r.UNIT).alias("score"), "nth")
 
 
-def fuzzy_search(queries: DataFrame, memory: DataFrame, settings: Settings = DEFAULTS, limit_recall: bool = True, index: DataFrame | None = None, translations: DataFrame | None = None) -> DataFrame:
+def fuzzy_search(queries: DataFrame, memory: DataFrame, settings: Settings = DEFAULTS, limit_recall: bool = True, index: DataFrame | RecallIndex | None = None, translations: DataFrame | None = None) -> DataFrame:
     """q_key, nth, similarity, key, en, zh: each query's most similar lines at or over the threshold.
 
     queries: q_key, query. memory: key, en, zh (unique keys; a null zh is empty). translations: key, zh, where a line has none of its
     own; one that has none there either says so. Of the candidates, the most relevant ones are compared (limit_recall),
-    as many as the settings say. The top is taken before a query's own line is left out, which is the caller's to do.
+    as many as the settings say; without the limit all that a query recalls. The top is taken before a query's own line is left out,
+    which is the caller's to do. index: a memory's tokens or a kept index, where it is searched again and again.
     """
-    asked = _asked(queries.where(t.strip(F.coalesce("query", F.lit(""))) != ""))
-    found = relevance(asked, memory, index)
+    queries = queries.where(t.strip(F.coalesce("query", F.lit(""))) != "")
     if limit_recall:
-        # before the queries of these words take them: what is carried on is bounded for each
-        most = max(settings.recall_factor * settings.fuzzy_top, settings.recall_min)
-        w = Window.partitionBy("words").orderBy(F.desc("score"), "key")
-        found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
-    found = asked.join(found, "words").select("q_key", "query", "key")
+        found = recall_best(queries, memory, max(settings.recall_factor * settings.fuzzy_top, settings.recall_min), index).select("q_key", "query", "key")
+    else:
+        # nothing is weighed, as all are compared
+        asked = r.asked(queries)
+        wanted = r.lists_of(asked)
+        lists, *_ = _lists(wanted, memory, index)
+        found = asked.join(wanted.join(lists.select("prefix", "key"), "prefix").select("words", "key").distinct(), "words").select("q_key", "query", "key")
     if translations is not None:
         other = translations.groupBy("key").agg(F.max("zh").alias("other"))
         memory = memory.join(other, "key", "left").withColumn("zh", F.coalesce(F.nullif("zh", F.lit("")), "other", F.lit(NO_TRANSLATION)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, FAIL, Settings
 from ..functions import text as t
+from .substrings import contained, containing
 
 VARIANTS = "variants"
 
@@ -37,11 +38,15 @@ def mode_translation(hist: DataFrame, settings: Settings = DEFAULTS) -> DataFram
 
 
 def common_substring(hist: DataFrame, ratio: float = DEFAULTS.min_consensus) -> DataFrame:
-    """norm, zh: the longest translation of two characters or more that others contain, these being a large enough share of all."""
+    """norm, zh: the longest translation of two characters or more that others contain, these being a large enough share of all.
+
+    A translation whose rarest piece isn't in so large a share meets no other.
+    """
     node = Window.partitionBy("norm")
-    rows = hist.select("norm", "zh", "cnt", "first", F.sum("cnt").over(node).alias("total"))
+    total = hist.groupBy("norm").agg(F.sum("cnt").alias("total"))
+    rows = hist.where(F.length("zh") >= 2).join(total, "norm").select("norm", "zh", "first", "total", (F.col("total") * ratio).alias("need"))
     others = hist.select("norm", F.col("zh").alias("other"), F.col("cnt").alias("n"))
-    support = rows.where(F.length("zh") >= 2).join(others, "norm").where((F.col("other") != F.col("zh")) & F.contains("other", "zh"))
+    support = containing(rows, others, "norm", "zh", "other", "n", "need").where(F.col("other") != F.col("zh"))
     found = support.groupBy("norm", "zh", "total", "first").agg(F.sum("n").alias("support")).where(F.col("support") / F.col("total") >= ratio)
     best = found.withColumn("nth", F.row_number().over(node.orderBy(F.desc(F.length("zh")), "first", "zh")))
     return best.where("nth = 1").select("norm", "zh")
@@ -63,16 +68,9 @@ def build_glossary(buckets: DataFrame, entries: DataFrame, settings: Settings =
 
 
 def _containing(terms: DataFrame, *keep: str) -> DataFrame:
-    """Pairs of terms (en, of one zh) of which long_en contains en: short and long with the columns of keep.
-
-    A long term offers each two characters of it (and each single one, for terms that have no more), so that terms of one
-    translation that have nothing in common don't meet.
-    """
-    low = F.lower("long_en")
-    spots = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("long_en")), lambda i: F.array(F.substring(low, i, F.lit(2)), F.substring(low, i, F.lit(1))))))
-    long = terms.select("zh", *[F.col(c).alias(f"long_{c}") for c in ("en", *keep)]).where("long_en <> ''").withColumn("two", F.explode(spots))
-    short = terms.select("zh", "en", *keep).withColumn("two", F.substring(F.lower("en"), 1, 2))
-    return short.join(long, ["zh", "two"]).where((F.length("long_en") >= F.length("en")) & F.contains(F.lower("long_en"), F.lower("en"))).drop("two")
+    """Pairs of terms (en, of one zh) of which long_en contains en, in any case: short and long with the columns of keep."""
+    long = terms.select("zh", *[F.col(c).alias(f"long_{c}") for c in ("en", *keep)], F.lower("en").alias("long_low"))
+    return containing(terms.select("zh", "en", *keep, F.lower("en").alias("low")), long, "zh", "low", "long_low").where(F.length("long_en") >= F.length("en")).drop("low", "long_low")
 
 
 def conflicts(glossary: DataFrame) -> DataFrame:
@@ -98,13 +96,11 @@ def resolve_conflicts(glossary: DataFrame, buckets: DataFrame, entries: DataFram
 def term_hits(entries: DataFrame, glossary: DataFrame) -> DataFrame:
     """Entries (key, en, zh) with the glossary terms (term, variants, std_zh) whose variants they have as whole words.
 
-    Found by equality of a text's words with each variant's first word, then checked by a pattern: the
-    glossary isn't broadcast and no pair is made without a word in common. Words travel with their keys alone (which are unique).
+    One pass over a text finds all variants that it contains, by an automaton; whether they are whole words is then checked by a pattern. Keys are unique.
     """
-    word = r"(?U)[\w]+"
-    first = glossary.select("term", "std_zh", VARIANTS, F.explode(VARIANTS).alias("v")).select("term", "std_zh", VARIANTS, F.regexp_extract(F.lower("v"), word, 0).alias("w")).where("w <> ''").distinct()
-    words = entries.select("key", F.explode(F.array_distinct(t.all_matches(F.lower("en"), word))).alias("w"))
-    met = words.join(first, "w").select("key", "term", "std_zh", VARIANTS).distinct().join(entries.select("key", "en", "zh"), "key")
+    named = glossary.select("term", "std_zh", VARIANTS, F.explode(F.transform(VARIANTS, lambda v: F.lower(v))).alias("pattern")).distinct()
+    met = contained(entries.select("key", F.lower("en").alias("low")), named.select("pattern"), "key", "low").join(named, "pattern")
+    met = met.select("key", "term", "std_zh", VARIANTS).distinct().join(entries.select("key", "en", "zh"), "key")
     return met.where(F.regexp_like("en", t.word_pattern(F.col(VARIANTS)))).select("key", "en", "zh", "term", "std_zh").distinct()
 
 
@@ -120,8 +116,26 @@ def pick_contexts(hits: DataFrame, shortest: int = 4) -> DataFrame:
 
     hits: term, text, pos.
     """
-    rows = hits.groupBy("term", "text").agg(F.min("pos").alias("pos")).withColumn("n", F.length("text"))
+    texts = hits.groupBy("text").agg(F.min("pos").alias("pos")).withColumn("of", F.sha2("text", 256))
+    return _picked(hits.select("term", F.sha2("text", 256).alias("of"), "pos", F.length("text").alias("n")), shortest).join(texts.select("of", "text"), "of").select("term", "nth", "text")
+
+
+def pick_contexts_of(texts: DataFrame, terms: Column, shortest: int = 4) -> DataFrame:
+    """As pick_contexts, of texts (pos, text) and the terms that each has: only digests, places and lengths travel with the terms, and texts join those that are picked."""
+    rows = texts.select("pos", F.sha2("text", 256).alias("of"), F.length("text").alias("n"), terms.alias("terms"))
+    picked = _picked(rows.select(F.explode("terms").alias("term"), "of", "pos", "n"), shortest)
+    known = texts.select("text", F.sha2("text", 256).alias("of")).dropDuplicates(["of"])
+    return picked.join(known, "of").select("term", "nth", "text")
+
+
+def _picked(hits: DataFrame, shortest: int) -> DataFrame:
+    """term, nth, of: 0 the longest and from 1 the shortest texts. hits: term, of (a text's digest), pos, n (its length). Texts of one length go by their first place.
+
+    How many texts a term has is counted apart, and of its texts only the first in each order are moved, so a term of all texts is no hot group.
+    """
+    rows = hits.groupBy("term", "of").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     w = Window.partitionBy("term")
-    ranked = rows.select("*", F.count("*").over(w).alias("all"), F.row_number().over(w.orderBy("n", "pos", "text")).alias("up"), F.row_number().over(w.orderBy(F.desc("n"), F.desc("pos"), F.desc("text"))).alias("down"))
-    ranked = ranked.where("all >= 2")
-    return ranked.where("down = 1").select("term", F.lit(0).alias("nth"), "text").unionByName(ranked.where(F.col("up") <= shortest).select("term", F.col("up").alias("nth"), "text"))
+    up = rows.withColumn("nth", F.row_number().over(w.orderBy("n", "pos", "of"))).where(F.col("nth") <= shortest)
+    down = rows.withColumn("nth", F.row_number().over(w.orderBy(F.desc("n"), F.desc("pos"), F.desc("of")))).where("nth = 1").withColumn("nth", F.lit(0))
+    several = rows.groupBy("term").agg(F.count("*").alias("all")).where("all >= 2").select("term")
+    return down.unionByName(up).join(several, "term", "left_semi").select("term", "nth", "of")

@@ -6,12 +6,13 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, MERGE_PROMPT, VERIFY_PROMPT, Settings
 from ..functions import text as t
 from .glossary import pick_contexts, term_hits
+from .numbering import numbered
 from .review import Call, retrying
 
 _ARRAY = re.compile(r"\[.*\]", re.DOTALL)
@@ -71,10 +72,9 @@ def _asked(prompts: DataFrame, call: Call, parse, settings: Settings) -> DataFra
     return prompts.select("prompt").mapInPandas(run, "a string, b string")
 
 
-def _batches(blocks: DataFrame, order: list[Column], size: int, head: str) -> DataFrame:
-    """prompt: the blocks (column block) in order, ``size`` in each, under a head. An order over all blocks of a glossary or of the clusters, which are few."""
-    rows = blocks.withColumn("nth", F.row_number().over(Window.orderBy(*order)) - 1)
-    per = rows.groupBy(F.floor(F.col("nth") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("nth", "block"))).alias("all"))
+def _batches(blocks: DataFrame, size: int, head: str) -> DataFrame:
+    """prompt: the blocks (column block) in the order of their numbers (column nth), ``size`` in each, under a head."""
+    per = blocks.groupBy(F.floor(F.col("nth") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("nth", "block"))).alias("all"))
     return per.select("batch", F.concat(F.lit(head + "\n\n"), F.array_join(F.transform("all", lambda x: x["block"]), "\n\n")).alias("prompt"))
 
 
@@ -82,9 +82,10 @@ def merge_prompts(clusters: DataFrame, buckets: DataFrame, settings: Settings =
     """batch, prompt: clusters of terms (norm, cluster) to be judged, the most frequent term of each first."""
     rows = clusters.join(buckets.select("norm", "freq"), "norm")
     terms = F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "norm")))
-    per = rows.groupBy("cluster").agg(terms.alias("terms")).withColumn("no", F.row_number().over(Window.orderBy("cluster")))
+    per = rows.groupBy("cluster").agg(terms.alias("terms")).join(numbered(rows.select("cluster").distinct(), ["cluster"]), "cluster")
     lines = F.array_join(F.transform("terms", lambda x: F.concat(F.lit("  - "), x["norm"])), "\n")
-    return _batches(per.select("cluster", F.concat(F.lit("## 候选组 "), F.col("no").cast("string"), F.lit("\n"), lines).alias("block")), [F.col("cluster")], settings.merge_batch, MERGE_PROMPT)
+    block = F.concat(F.lit("## 候选组 "), (F.col("nth") + 1).cast("string"), F.lit("\n"), lines)
+    return _batches(per.select("nth", block.alias("block")), settings.merge_batch, MERGE_PROMPT)
 
 
 def ask_merges(clusters: DataFrame, buckets: DataFrame, call: Call, settings: Settings = DEFAULTS) -> DataFrame:
@@ -102,7 +103,9 @@ def verify_prompts(glossary: DataFrame, entries: DataFrame, settings: Settings =
     line = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x, i: F.concat(F.lit("  ["), (i + 1).cast("string"), F.lit('] "'), x["text"], F.lit('"\n')))
     per = some.groupBy("term").agg(F.array_join(line, "").alias("lines")).join(glossary.select(low.alias("term"), "en", "zh"), "term")
     block = F.concat(F.lit('Term: "'), "en", F.lit('" -> "'), "zh", F.lit('"\n'), "lines")
-    return _batches(per.select("term", block.alias("block")), [F.col("term")], settings.verify_batch, VERIFY_PROMPT)
+    # terms of one spelling in lower case are one number apart, by their own spelling
+    nth = numbered(per.select("term", "en", "zh"), ["term", "en", "zh"])
+    return _batches(per.join(nth, ["term", "en", "zh"]).select("nth", block.alias("block")), settings.verify_batch, VERIFY_PROMPT)
 
 
 def corrected(glossary: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, GUIDE_PREFIX, Settings
 from ..functions import text as t
 from .lexicon import lookup
+from .numbering import numbered
+from .substrings import contained, spans
 
 # Fixed value: what may stand between the terms that cover a text.
 GAP = r"""[ ,.!?;:'"()\[\]{}<>\-_/%\t\n\r]"""
@@ -16,23 +18,14 @@ GAP = r"""[ ,.!?;:'"()\[\]{}<>\-_/%\t\n\r]"""
 def covered(entries: DataFrame, glossary: DataFrame) -> DataFrame:
     """The entries (key, en, zh) whose source text is nothing but glossary terms (en, zh) and separators and whose target is their translations.
 
-    Terms are found by a join on the characters at a place (two, or the one of a term that has no more), and each place carries no more
-    text than the longest term; the leftmost, then longest, are taken in one pass over an entry's hits. Keys are unique.
+    All terms of a text are found in one pass by an automaton; the leftmost, then longest, are taken in one walk over what it found. Keys are unique.
     """
-    low, terms = F.lower("en"), glossary.select(F.lower("en").alias("term"), F.col("zh").alias("std")).where("term <> ''").distinct()
-    longest = terms.agg(F.max(F.length("term"))).first()[0]
-    if longest is None:
-        return entries.where(F.lit(False)).select("key", "en", "zh")
-    at = F.sequence(F.lit(1), F.length("en"))
-    spots = entries.where("en <> ''").select("key", F.explode(at).alias("s"), low.alias("low")).select("key", "s", F.substring("low", F.col("s"), F.lit(longest)).alias("there"))
-    spots = spots.select("key", "s", "there", F.explode(F.array_distinct(F.array(F.substring("there", 1, 1), F.substring("there", 1, 2)))).alias("c"))
-    hits = spots.join(terms.withColumn("c", F.substring("term", 1, 2)), "c").where(F.startswith("there", "term"))
-    hit = F.struct(F.col("s").alias("s"), (-F.length("term")).alias("n"), F.col("std").alias("std"))
-    per = hits.groupBy("key").agg(F.array_sort(F.collect_list(hit)).alias("hits")).join(entries.select("key", "en", "zh"), "key")
+    terms = glossary.select(F.lower("en").alias("pattern"), F.col("zh").alias("out"))
+    per = spans(entries.where("en <> ''").select("key", F.lower("en").alias("low")), terms, "key", "low").join(entries.select("key", "en", "zh"), "key")
     nothing = lambda a, b: F.regexp_replace(F.substring("en", a, b - a), GAP, "") == ""
     walked = F.aggregate(
-        "hits", F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.lit("").alias("out")),
-        lambda a, h: F.when(h["s"] < a["at"], a).otherwise(F.struct((h["s"] - h["n"]).alias("at"), (a["ok"] & nothing(a["at"], h["s"])).alias("ok"), F.concat(a["out"], h["std"]).alias("out"))),
+        "spans", F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.lit("").alias("out")),
+        lambda a, h: F.when(h["s"] < a["at"], a).otherwise(F.struct((h["s"] + h["n"]).alias("at"), (a["ok"] & nothing(a["at"], h["s"])).alias("ok"), F.concat(a["out"], h["out"]).alias("out"))),
     )
     done = per.withColumn("w", walked)
     rest = F.regexp_replace(F.expr("substring(en, w.at)"), GAP, "") == ""
@@ -69,10 +62,10 @@ def multipart(entries: DataFrame) -> DataFrame:
     return whole.select(F.explode("parts").alias("p"), text("en").alias("full_en"), text("zh").alias("full_zh")).select("p.key", "full_en", "full_zh")
 
 
-def batch_numbers(rows: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
-    """The rows with batch, from 0 in each group; guide pages are batches of their own."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(nth / F.when(F.col(group) == GUIDE_PREFIX, 1).otherwise(size)).cast("long"))
+def batch_numbers(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
+    """The rows with batch, from 0 in each group; guide pages are batches of their own. Rows are sorted and written, so they are best keys without texts."""
+    per = F.when(F.col(group) == GUIDE_PREFIX, 1).otherwise(size)
+    return numbered(rows, order, group).withColumn("batch", F.floor(F.col("nth") / per).cast("long")).drop("nth")
 
 
 def input_guidance(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -83,15 +76,11 @@ def input_guidance(rows: DataFrame, by: list[str]) -> DataFrame:
 def glossary_hints(entries: DataFrame, glossary: DataFrame, most: int = 5) -> DataFrame:
     """key, hints: up to ``most`` glossary terms (en, zh) that the source text contains, in the glossary's order.
 
-    Candidates share the term's first two characters with some place of the text.
+    All terms of a text are found in one pass by an automaton.
     """
-    pairs = F.array_distinct(F.regexp_extract_all(F.lower("en"), F.lit("(?s)(?=(..))"), F.lit(1)))
-    spots = entries.where(F.length("en") >= 2).select("key", F.explode(pairs).alias("two"))
-    terms = glossary.select(F.col("en").alias("term"), F.col("zh").alias("std")).withColumn("two", F.substring(F.lower("term"), 1, 2))
-    # a text meets its candidates once, not at each of its places
-    hits = spots.join(terms, "two").select("key", "term", "std").distinct().join(entries.select("key", "en"), "key")
-    hits = hits.where(F.contains(F.lower("en"), F.lower("term"))).select("key", "term", "std").distinct()
-    few = hits.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("term"))).where(F.col("nth") <= most)
+    terms = glossary.select(F.col("en").alias("term"), F.col("zh").alias("std"), F.lower("en").alias("pattern"))
+    hits = contained(entries.select("key", F.lower("en").alias("low")), terms.select("pattern"), "key", "low").join(terms, "pattern").select("key", "term", "std").distinct()
+    few = hits.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("term", "std"))).where(F.col("nth") <= most)
     one = F.concat(F.lit('"'), "term", F.lit('" → "'), "std", F.lit('"'))
     return few.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", one.alias("hint")))), lambda x: x["hint"]), ", ").alias("hints"))
 
@@ -144,7 +133,7 @@ def prompts(blocks: DataFrame, header: Column, settings: Settings = DEFAULTS, si
     keyboard and mouse if the batch's texts name them; empty without entries, which are key, en, zh).
     """
     rows = blocks.withColumn("prefix", t.key_prefix(F.col("key"), settings))
-    rows = batch_numbers(rows, "prefix", [F.col("key")], size or settings.review_batch)
+    rows = rows.join(batch_numbers(rows.select("prefix", "key"), "prefix", ["key"], size or settings.review_batch).drop("prefix"), "key")
     if entries is not None:
         seen = entries.select("key", F.coalesce("en", F.lit("")).alias("en"), F.coalesce("zh", F.lit("")).alias("zh"))
         seen = seen.select("key", F.col("en").rlike(t.KEYBOARD).alias("keyboard"), F.concat("en", "zh").rlike(t.MOUSE).alias("mouse"))

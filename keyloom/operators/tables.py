@@ -29,6 +29,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted at the end of the process."""
+    path = f"{shared_folder(spark)}/keyloom-engine/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 class Cut:
     """Tables of a computation: ``cut(df)`` writes the rows and gives them as they are read again; ``drop(df)`` deletes one.
 
@@ -36,8 +43,7 @@ class Cut:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/keyloom-engine/{uuid.uuid4().hex}", {}
-        atexit.register(_delete, spark, self.root)
+        self.spark, self.root, self.paths = spark, scratch_path(spark), {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import text as t
 from .graph import connected
+from .substrings import edit_candidates
 
 
 def first_keys(pos: str, key: str, n: int, distinct: bool = False) -> Column:
@@ -103,22 +104,16 @@ def cache_redirects(buckets: DataFrame, cache: DataFrame) -> DataFrame:
 def similar_pairs(terms: DataFrame, threshold: float = DEFAULTS.cluster_threshold) -> DataFrame:
     """a, b, sim of terms (id, term) at or over the threshold; a is the earlier id.
 
-    Pairs are compared only within a band of lengths that the threshold allows, by equal length keys: no cross join.
-    Terms that share a word or whose lengths differ less than 0.4 to 1 count; a term isn't paired with one
-    whose words are a proper subset.
+    Pairs meet by segments that so few edits leave unchanged (edit_candidates). Terms that share a word or whose lengths differ less
+    than 0.4 to 1 count; a term isn't paired with one whose words are a proper subset.
     """
-    n = F.length("term")
-    # the distance is at least the difference of lengths: the longer is at most n / (threshold / 100)
-    reach = F.floor(n * 100.0 / threshold + 1e-9).cast("int")
-    x = terms.select(F.col("id").alias("a"), F.col("term").alias("ta"), F.explode(F.sequence(n, F.greatest(n, reach))).alias("n"))
-    y = terms.select(F.col("id").alias("b"), F.col("term").alias("tb"), n.alias("n"))
-    longest = F.greatest(F.length("ta"), F.length("tb"))
-    bound = F.ceil((1 - threshold / 100) * longest + 0.01 * longest).cast("int")
-    pairs = x.join(y, "n").where((F.col("a") != F.col("b")) & ((F.length("ta") < F.length("tb")) | (F.col("a") < F.col("b")))).where(F.abs(F.length("ta") - F.length("tb")) <= bound)
+    pairs = edit_candidates(terms, threshold).withColumn("sim", t.similarity(F.col("ta"), F.col("tb"))).where(F.col("sim") >= threshold)
     shared = F.arrays_overlap(F.split("ta", " "), F.split("tb", " "))
     ratio = F.least(F.length("ta"), F.length("tb")) / F.greatest(F.length("ta"), F.length("tb"), F.lit(1))
-    ok = (t.similarity(F.col("ta"), F.col("tb")) >= threshold) & (shared | (ratio > 0.4)) & ~t.proper_subset(F.col("ta"), F.col("tb"))
-    return pairs.where(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ta")).otherwise(F.col("tb")).alias("term_a"), F.when(F.col("a") < F.col("b"), F.col("tb")).otherwise(F.col("ta")).alias("term_b"), t.similarity(F.col("ta"), F.col("tb")).alias("sim"))
+    first = F.col("a") < F.col("b")
+    either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    pairs = pairs.where((shared | (ratio > 0.4)) & ~t.proper_subset(F.col("ta"), F.col("tb")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), either("ta", "tb").alias("term_a"), either("tb", "ta").alias("term_b"), "sim")
 
 
 def top_buckets(buckets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

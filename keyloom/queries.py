@@ -12,8 +12,9 @@ from . import adapters as a
 from .config import DEFAULTS, FOCUS, KEY_PREFIXES, KEYBOARD_GUIDANCE, MOUSE_GUIDANCE, OTHER_FOCUS, STOP_WORDS
 from .functions import rules
 from .functions import text as t
-from .operators import align, fuzzy, glossary, history, lemma, lexicon, review, routing, terms, verdicts
-from .operators.tables import cut
+from .operators import align, fuzzy, glossary, history, lemma, lexicon, recall, review, routing, terms, verdicts
+from .operators.recall_index import RecallIndex
+from .operators.tables import cut, scratch_path
 from .plans.review_plan import run_filter, run_review
 from .sources import files, sinks
 
@@ -438,21 +439,12 @@ def term_consistency(spark, d):
     return glossary.check_consistency(parts.select("key", "en", "zh"), words.select("term", F.array("term").alias("variants"), F.concat("term", F.lit("料")).alias("std_zh")))
 
 
-@query("""WITH h AS (SELECT term, text, min(doc_id) AS pos FROM (SELECT w.term, d.doc_id, d.text FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS term, doc_id FROM documents) w JOIN documents d USING (doc_id) WHERE length(term) > 9) GROUP BY 1, 2),
- r AS (SELECT *, count(*) OVER (PARTITION BY term) AS n, row_number() OVER (PARTITION BY term ORDER BY length(text), pos, text) AS up, row_number() OVER (PARTITION BY term ORDER BY length(text) DESC, pos DESC, text DESC) AS down FROM h)
- SELECT term, 0 AS nth, md5(text) AS digest FROM r WHERE n >= 2 AND down = 1 UNION ALL SELECT term, CAST(up AS INTEGER), md5(text) FROM r WHERE n >= 2 AND up <= 4""")
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS term FROM documents), h AS (SELECT term, t.tid, min(t.doc_id) AS pos, any_value(t.n) AS n FROM w JOIN (SELECT doc_id, length(text) AS n, rank() OVER (ORDER BY text) AS tid FROM documents) t USING (doc_id) GROUP BY 1, 2),
+ r AS (SELECT *, count(*) OVER (PARTITION BY term) AS every, row_number() OVER (PARTITION BY term ORDER BY n, pos, tid) AS up, row_number() OVER (PARTITION BY term ORDER BY n DESC, pos DESC, tid DESC) AS down FROM h)
+ SELECT term, nth, md5(text) AS digest FROM (SELECT term, pos, 0 AS nth FROM r WHERE every >= 2 AND down = 1 UNION ALL SELECT term, pos, CAST(up AS INTEGER) FROM r WHERE every >= 2 AND up <= 4) p JOIN documents d ON d.doc_id = p.pos""")
 def context_pick(spark, d):
-    docs = a.table(spark, d, "documents")
-    hits = docs.select(F.explode(F.array_distinct(F.split("text", " "))).alias("term"), "text", F.col("doc_id").alias("pos")).where(F.length("term") > 9)
-    return glossary.pick_contexts(hits).select("term", F.col("nth").cast("int").alias("nth"), F.md5("text").alias("digest"))
-
-
-@query()
-def context_pick_all(spark, d):
-    """As context_pick, for words of any length. Tested by brute force; SQL over all words of whole tables would be slow."""
-    docs = a.table(spark, d, "documents")
-    hits = docs.select(F.explode(F.array_distinct(F.split("text", " "))).alias("term"), "text", F.col("doc_id").alias("pos"))
-    return glossary.pick_contexts(hits).select("term", F.col("nth").cast("int").alias("nth"), F.md5("text").alias("digest"))
+    docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
+    return glossary.pick_contexts_of(docs, F.array_distinct(F.split("text", " "))).select("term", F.col("nth").cast("int").alias("nth"), F.md5("text").alias("digest"))
 
 
 # ---- similarity
@@ -497,6 +489,49 @@ def fuzzy_recall(spark, d):
     return fuzzy.recall(q, mem).select("q_key", "key")
 
 
+#: Lines of which each has one word in common, and the memory after a change of a part of them.
+_LINES = "SELECT CAST(p_partkey AS STRING) AS key, concat('part ', p_name, ' ', p_brand) AS en, p_type AS zh FROM part"
+_LATER = "SELECT key, CASE WHEN CAST(key AS BIGINT) % 10 = 0 THEN concat('changed ', en) ELSE en END AS en, zh FROM lines WHERE CAST(key AS BIGINT) % 10 <> 3 UNION ALL SELECT concat('new', key), concat('fresh ', en), zh FROM lines WHERE CAST(key AS BIGINT) % 10 = 7"
+_CUT = "words AS (SELECT key, lower(unnest(regexp_extract_all(concat(key, ' ', en, ' ', zh), '[A-Za-z0-9]+'))) AS token FROM {0})"
+
+
+def _lines(spark, d):
+    return a.table(spark, d, "part").selectExpr("CAST(p_partkey AS STRING) AS key", "concat('part ', p_name, ' ', p_brand) AS en", "p_type AS zh")
+
+
+@query(f"""WITH lines AS ({_LINES}), {_CUT.format("lines")}, tf AS (SELECT key, token, count(*) AS tf FROM words GROUP BY 1, 2), size AS (SELECT key, count(*) AS d FROM words GROUP BY 1), every AS (SELECT count(*) AS n, avg(d) AS mean FROM size),
+ pre AS (SELECT DISTINCT q_key, unnest(string_split(concat('part ', q_key), ' ')) AS prefix FROM (SELECT DISTINCT p_name AS q_key FROM part)), il AS (SELECT prefix, key, sum(tf) AS tf FROM (SELECT DISTINCT prefix FROM pre) JOIN tf ON starts_with(token, prefix) GROUP BY 1, 2), df AS (SELECT prefix, count(*) AS df FROM il GROUP BY 1),
+ wt AS (SELECT prefix, key, CAST(round(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / mean)) * 1000000) AS BIGINT) AS w FROM il JOIN df USING (prefix) JOIN size USING (key), every),
+ sc AS (SELECT q_key, key, CAST(sum(w) AS BIGINT) AS score, count(*) AS hits FROM pre JOIN wt USING (prefix) GROUP BY 1, 2) SELECT q_key, nth, key, score, hits FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_key ORDER BY score DESC, key) AS INTEGER) AS nth FROM sc) WHERE nth <= 50""")
+def recall_best(spark, d):
+    """The 50 most relevant lines of each query, of whose words all lines have one."""
+    lines = _lines(spark, d)
+    q = a.table(spark, d, "part").select(F.col("p_name").alias("q_key")).distinct().withColumn("query", F.concat(F.lit("part "), "q_key"))
+    return fuzzy.recall_best(q, lines, 50).select("q_key", F.col("nth").cast("int").alias("nth"), "key", F.round(F.col("score") * 1_000_000).cast("long").alias("score"), "hits")
+
+
+def _kept_index(spark, d):
+    lines = _lines(spark, d)
+    n = F.col("key").try_cast("long") % 10  # try: the planner asks it of new keys too
+    changed = lines.where(n != 3).withColumn("en", F.when(n == 0, F.concat(F.lit("changed "), "en")).otherwise(F.col("en")))
+    fresh = lines.where(n == 7).select(F.concat(F.lit("new"), "key").alias("key"), F.concat(F.lit("fresh "), "en").alias("en"), "zh")
+    return RecallIndex.build(lines, scratch_path(spark)).update(changed.unionByName(fresh))
+
+
+@query(f"WITH lines AS ({_LINES}), later AS ({_LATER}), {_CUT.format('later')} SELECT token, CAST(count(DISTINCT key) AS BIGINT) AS lines, CAST(row_number() OVER (ORDER BY token) - 1 AS BIGINT) AS rank FROM words GROUP BY token")
+def recall_index_dictionary(spark, d):
+    """The numbered words of an index that was built and then updated by changed, new and removed lines."""
+    return _kept_index(spark, d).dictionary().select("token", "lines", "rank")
+
+
+@query(f"WITH lines AS ({_LINES}), later AS ({_LATER}), {_CUT.format('later')}, pre AS (SELECT DISTINCT substring(token, 1, 3) AS prefix FROM words WHERE length(token) >= 2) SELECT prefix, key, CAST(count(*) AS BIGINT) AS tf FROM pre JOIN words ON starts_with(token, prefix) GROUP BY 1, 2")
+def recall_index_lookup(spark, d):
+    """How often each line of the updated index has words with each beginning."""
+    index = _kept_index(spark, d)
+    prefixes = index.dictionary().where(F.length("token") >= 2).select(F.substring("token", 1, 3).alias("prefix")).distinct()
+    return recall.inverted(index.matching(prefixes), index.postings()).select("prefix", "key", F.col("tf").cast("long").alias("tf"))
+
+
 # ---- dictionary
 _DICT = "dict AS (SELECT split_part(p_name, ' ', 1) AS origin_name, p_type AS trans_name, p_brand AS modid FROM part), words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT 'tint'), lemma AS (SELECT 'bolt' AS variant, 'red' AS canonical UNION ALL SELECT 'tint', 'blue')"
 

@@ -255,5 +255,5 @@ def test_contexts_of_words_of_any_length_by_brute_force(spark, tmp_path):
         found = sorted({x for x in texts if term in x.split(" ")}, key=lambda x: (len(x), texts.index(x), x))
         if len(found) > 1:
             want |= {(term, 0, found[-1])} | {(term, i + 1, x) for i, x in enumerate(found[:4])}
-    got = queries.QUERIES["context_pick_all"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["context_pick"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.term, r.nth, r.digest) for r in got} == {(w, n, hashlib.md5(x.encode()).hexdigest()) for w, n, x in want}
