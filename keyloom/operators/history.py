@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def intervals(versions: DataFrame, keys: list[str], order: list[Column], values: list[str], version: str) -> DataFrame:
-    """keys, values, version_start, version_end, changes (1 if the key's values ever change), nth.
+def intervals(versions: DataFrame, keys: list[str], order: list[Column], values: list[str], version: str, with_end: bool = False) -> DataFrame:
+    """keys, values, version_start, version_end, changes (1 if the key's values ever change), nth; with_end: end, where the run's last row stands in the order.
 
     A run is a longest sequence of rows, in order, with the same values. One sort by key serves all windows.
     """
@@ -20,9 +20,39 @@ def intervals(versions: DataFrame, keys: list[str], order: list[Column], values:
     rows = rows.withColumns({"_run": F.sum("_new").over(w), "_nth": F.row_number().over(w)})
     # each value is constant in a run; the ends are found by position
     edge = lambda f: f(F.struct("_nth", F.col(version).alias("v")))["v"]
-    runs = rows.groupBy(*keys, "_run").agg(*[F.first(v).alias(v) for v in values], edge(F.min).alias("version_start"), edge(F.max).alias("version_end"))
+    runs = rows.groupBy(*keys, "_run").agg(*[F.first(v).alias(v) for v in values], edge(F.min).alias("version_start"), edge(F.max).alias("version_end"), *([F.max(F.struct(*order)).alias("end")] if with_end else []))
     changed = (F.max("_run").over(Window.partitionBy(*keys)) > 1).cast("int")
-    return runs.select(*keys, *values, "version_start", "version_end", changed.alias("changes"), F.col("_run").cast("long").alias("nth"))
+    return runs.select(*keys, *values, "version_start", "version_end", changed.alias("changes"), F.col("_run").cast("long").alias("nth"), *(["end"] if with_end else []))
+
+
+def extend_intervals(runs: DataFrame, versions: DataFrame, new: DataFrame, keys: list[str], order: list[Column], values: list[str], version: str) -> DataFrame:
+    """What intervals (with_end) gives for all rows, from the runs of the old ones and the new rows.
+
+    Runs of other keys stay as they are. Of a key whose new rows all come after its last run only that run is looked at. Only for
+    keys with rows that come late are the old rows (versions) read again. Keys aren't null.
+    """
+    columns = [*keys, *values, "version_start", "version_end", "changes", "nth", "end"]
+    at = F.struct(*order)
+    new = new.select(*keys, *values, F.col(version).alias("_version"), at.alias("_at"))
+    touched = new.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    nth = Window.partitionBy(*keys)
+    mine = runs.join(touched, keys).withColumn("_last", F.max("nth").over(nth) == F.col("nth"))
+    last = mine.where("_last").withColumn("_late", F.col("_first") <= F.col("end"))
+    late = last.where("_late").select(*keys)
+    # the last run stands before the new rows as one row of its values
+    before = last.where("not _late").select(*keys, *values, F.col("version_end").alias("_version"), F.col("end").alias("_at"))
+    after = intervals(before.unionByName(new.join(late, keys, "left_anti")), keys, [F.col("_at")], values, "_version", True).withColumn("end", F.col("end._at"))
+    known = last.where("not _late").select(*keys, F.col("nth").alias("_nth"), F.col("version_start").alias("_start"))
+    after = after.join(known, keys, "left").withColumns({
+        "version_start": F.when((F.col("nth") == 1) & F.col("_nth").isNotNull(), F.col("_start")).otherwise(F.col("version_start")),
+        "changes": F.when(F.col("_nth") > 1, 1).otherwise(F.col("changes")),
+        "nth": F.col("nth") + F.coalesce("_nth", F.lit(1)) - 1,
+    })
+    old = versions.join(late, keys, "left_semi").select(*keys, *values, F.col(version).alias("_version"), at.alias("_at"))
+    again = intervals(old.unionByName(new.join(late, keys, "left_semi")), keys, [F.col("_at")], values, "_version", True).withColumn("end", F.col("end._at"))
+    kept = runs.join(touched.select(*keys), keys, "left_anti").select(columns)
+    earlier = mine.where("not _last").join(late, keys, "left_anti").select(columns)
+    return kept.unionByName(earlier).unionByName(after.select(columns)).unionByName(again.select(columns))
 
 
 def interval_stats(runs: DataFrame, keys: list[str]) -> DataFrame:

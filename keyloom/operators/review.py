@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, REVIEW, Settings
+from .answers import AnswerLog
 from .verdicts import COLUMNS
 
 Call = Callable[[str], str]
@@ -107,28 +108,42 @@ class Usage:
         return counted
 
 
-def review(prompts: DataFrame, call: Call, source: str = "llm_review", settings: Settings = DEFAULTS, parallel: int | None = None) -> DataFrame:
+def review(prompts: DataFrame, call: Call, source: str = "llm_review", settings: Settings = DEFAULTS, parallel: int | None = None, log: AnswerLog | None = None) -> DataFrame:
     """The verdicts that the callable gives for each prompt; a REVIEW row for a prompt that fails.
 
-    Filter before this step: nothing is pushed through it. parallel bounds how many tasks ask at once, and settings.max_workers
-    how many calls each of them has under way; answers are taken in the prompts' order.
+    With a log, prompts that it has answers to aren't asked, and what is returned reads it: it asks nobody, however often it is computed. Without one
+    nothing is kept, and each computation of the result asks. Filter before this step: nothing is pushed through it. parallel bounds how many
+    tasks ask at once, and settings.max_workers how many calls each of them has under way.
     """
     retries, workers = settings.review_retries, settings.max_workers
 
+    def rows_of(answer: str | None, error: str | None) -> list[dict]:
+        if error is not None:
+            return [{"key": ERROR_KEY, "verdict": REVIEW, "reason": f"LLM调用失败: {error}", "source": "llm_error"}]
+        return [{c: as_text(x.get(c)) for c in COLUMNS} | {"source": source} for x in parse_answer(answer)]
+
+    def table(found) -> pd.DataFrame:
+        return pd.DataFrame([r for rows in found for r in rows], columns=COLUMNS).fillna("").astype(str)
+
+    if log is not None:
+        def read(parts):
+            for part in parts:
+                yield table(rows_of(None if e is not None else a, e) for a, e in zip(part["answer"], part["error"], strict=True))
+
+        return log.ask(prompts, retrying(call, retries), settings, parallel).select("answer", "error").mapInPandas(read, SCHEMA)
+
     def run(parts):
         ask = retrying(call, retries)
 
         def asked(prompt: str) -> list[dict]:
             try:
-                found = parse_answer(ask(prompt))
+                return rows_of(ask(prompt), None)
             except Exception as e:  # noqa: BLE001  a failing batch becomes a row
-                return [{"key": ERROR_KEY, "verdict": REVIEW, "reason": f"LLM调用失败: {e}", "source": "llm_error"}]
-            return [{c: as_text(x.get(c)) for c in COLUMNS} | {"source": source} for x in found]
+                return rows_of(None, str(e))
 
         with ThreadPoolExecutor(workers) as pool:
             for part in parts:
-                rows = [r for found in pool.map(asked, part["prompt"]) for r in found]
-                yield pd.DataFrame(rows, columns=COLUMNS).fillna("").astype(str)
+                yield table(pool.map(asked, part["prompt"]))
 
     rows = prompts.select("prompt")
     return (rows.repartition(parallel) if parallel else rows).mapInPandas(run, SCHEMA)

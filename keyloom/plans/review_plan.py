@@ -13,9 +13,15 @@ from ..functions.text import fuzzy_trigger, is_guide
 from ..operators import glossary as g
 from ..operators import lemma, routing, terms, verdicts
 from ..operators.align import change_warnings, is_deletion
+from ..operators.answers import AnswerLog
 from ..operators.fuzzy import fuzzy_search
 from ..operators.review import Call, review, with_unanswered, without_review
-from ..operators.tables import cut
+from ..operators.tables import cut, scratch_path
+
+
+def _log(rows: DataFrame, log: AnswerLog | None) -> AnswerLog:
+    return log or AnswerLog(rows.sparkSession, scratch_path(rows.sparkSession))
+
 
 def header(changes: str = "", instruction: str = "") -> Column:
     """What stands above a batch of entries: what they are, what to look at, what to mind about changes and devices."""
@@ -91,13 +97,15 @@ def mine_keys(keys: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def run_review(
     entries: DataFrame, call: Call | None = None, settings: Settings = DEFAULTS, cache: DataFrame | None = None, dictionary: DataFrame | None = None, lemmas: DataFrame | None = None,
-    full: DataFrame | None = None, warnings: DataFrame | None = None, merge_call: Call | None = None, change_context: str = "",
+    full: DataFrame | None = None, warnings: DataFrame | None = None, merge_call: Call | None = None, change_context: str = "", log: AnswerLog | None = None,
 ) -> Reviewed:
     """entries: key, en, zh, namespace, pos (and old_en, old_zh of changes). Without a callable, equal texts become REVIEW rows and the rules' verdicts stand.
 
     cache: learned merges of terms (canonical, variants, freq). merge_call: who is asked about terms. dictionary and lemmas: what
     lexicon.lookup takes. full: all entries of which these are the changed ones, to mine terms from. warnings: further verdicts.
+    log: answers that are kept between runs; without it they are kept for this one, so no prompt is asked twice.
     """
+    log = _log(entries, log)
     mined = mine(full if full is not None else entries, cache, merge_call, settings=settings)
     glossary = mined.glossary
     with_variants = glossary.join(mined.buckets.select("norm", "variants"), "norm").select(F.col("en").alias("term"), "variants", F.col("zh").alias("std_zh"))
@@ -125,10 +133,10 @@ def run_review(
         shown = todo.select("key", "en").join(parts.select("key", "full_en"), "key", "left").select("key", F.coalesce("full_en", "en").alias("en"))
         known = routing.dictionary_lines(shown, dictionary, lemmas, settings) if dictionary is not None else None
         blocks = routing.entry_blocks(todo, auto, similar, routing.glossary_hints(shown, glossary.select("en", "zh")), parts, known)
-        asked = review(routing.prompts(blocks, header(change_context), settings, entries=todo), call, settings=settings)
+        asked = review(routing.prompts(blocks, header(change_context), settings, entries=todo), call, settings=settings, log=log)
         queued = routed.where("queue = 'untranslated'").select("key", "en", "zh", "queue")
         same = routing.entry_blocks(queued.select("key", "en", "zh"))
-        said = cut(review(routing.prompts(same, header(), settings), call, "untranslated_review", settings))
+        said = review(routing.prompts(same, header(), settings), call, "untranslated_review", settings, log=log)
         asked = asked.unionByName(with_unanswered(said, queued))
     merged = cut(verdicts.merge_verdicts(verdicts.union_verdicts(fmt, term, asked)))
     return Reviewed(glossary, fmt, term, routed, merged, verdicts.review_stats(entries, merged), verdicts.namespace_report(merged, entries), mined.cache)
@@ -149,16 +157,16 @@ def run_change_review(changes: DataFrame, full: DataFrame, call: Call | None = N
     return replace(done, merged=filled), gone.groupBy("namespace").agg(F.count("*").alias("deletions"))
 
 
-def run_filter(merged: DataFrame, cache: DataFrame, call: Call, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def run_filter(merged: DataFrame, cache: DataFrame, call: Call, settings: Settings = DEFAULTS, log: AnswerLog | None = None) -> tuple[DataFrame, DataFrame]:
     """The merged verdicts after the filter, and the cache with what was asked: cached decisions first, the callable for the rest.
 
-    What the callable doesn't answer stays as it is.
+    What the callable doesn't answer stays as it is. log: as in run_review; both results read it, so both together ask once.
     """
     split = verdicts.split_by_cache(merged, cache)
     todo = split.where("not hit")
     block = F.concat_ws("\n", F.concat(F.lit("key: `"), "key", F.lit("`")), F.concat(F.lit('EN: "'), F.substring("en_current", 1, 200), F.lit('"')), F.concat(F.lit('ZH: "'), F.substring("zh_current", 1, 200), F.lit('"')), F.concat(F.lit("判定: "), "verdict"), F.concat(F.lit("问题: "), "reason"), F.when(F.coalesce("suggestion", F.lit("")) != "", F.concat(F.lit("建议: "), "suggestion")))
     above = F.concat(F.lit("## 问题列表 ("), F.col("n").cast("string"), F.lit("条) "), "label")
-    answers = review(routing.prompts(todo.select("key", block.alias("block")), above, settings, settings.filter_batch), call, "filter", settings)
+    answers = review(routing.prompts(todo.select("key", block.alias("block")), above, settings, settings.filter_batch), call, "filter", settings, log=_log(merged, log))
     said = answers.groupBy("key").agg(F.max_by("verdict", F.struct("verdict", "reason")).alias("v"), F.max_by("reason", F.struct("verdict", "reason")).alias("r"))
     fresh = todo.join(said, "key", "left").select("key", "cache_key", F.when(F.col("v") == PASS, PASS).otherwise("KEEP").alias("action"), F.coalesce("r", F.lit("")).alias("reason"))
     known = split.where("hit").select("key", "cache_key", "action", F.col("cleaned").alias("reason"))

@@ -13,6 +13,7 @@ from .config import DEFAULTS, FOCUS, KEY_PREFIXES, KEYBOARD_GUIDANCE, MOUSE_GUID
 from .functions import rules
 from .functions import text as t
 from .operators import align, fuzzy, glossary, history, lemma, lexicon, recall, review, routing, terms, verdicts
+from .operators.answers import AnswerLog
 from .operators.recall_index import RecallIndex
 from .operators.tables import cut, scratch_path
 from .plans.review_plan import run_filter, run_review
@@ -589,6 +590,15 @@ def batch_number(spark, d):
     return routing.batch_numbers(a.table(spark, d, "conversations").select("conv_id", "turn", "role"), "role", [F.col("conv_id"), F.col("turn")], 25)
 
 
+@query("SELECT id, concat('[{\"key\": \"', CAST(any_value(n) AS STRING), '\"}]') AS answer FROM (SELECT sha256(text) AS id, length(text) AS n FROM conversations WHERE text IS NOT NULL) GROUP BY id")
+def answers_once(spark, d):
+    """Answers to prompts of which some were asked before, some repeat, and all are read twice."""
+    prompts = a.table(spark, d, "conversations").select(F.col("text").alias("prompt"), "turn")
+    log, stub = AnswerLog(spark, scratch_path(spark)), lambda p: '[{"key": "' + str(len(p)) + '"}]'
+    log.ask(prompts.where("turn % 2 = 0"), stub)
+    return log.ask(prompts.unionByName(prompts), stub).select("id", "answer")
+
+
 @query(f"WITH {a.PARTS_SQL}, g AS (SELECT DISTINCT unnest(string_split(en, ' ')) AS term FROM parts), h AS (SELECT key, term, row_number() OVER (PARTITION BY key ORDER BY term) AS nth FROM parts JOIN g ON contains(lower(en), lower(term))) SELECT key, string_agg(concat('\"', term, '\" → \"', term, '料\"'), ', ' ORDER BY nth) AS hints FROM h WHERE nth <= 5 GROUP BY key")
 def glossary_hints(spark, d):
     parts = a.parts(spark, d)
@@ -704,6 +714,16 @@ def version_islands(spark, d):
     return _order_runs(spark, d)
 
 
+@query(_ORDERS + "SELECT k AS o_custkey, v AS o_orderstatus, version_start, version_end, changes, nth FROM iv")
+def version_islands_extended(spark, d):
+    """As version_islands, of which a part of the rows comes later, some after and some between those of their keys."""
+    orders = a.table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderdate", "o_orderkey")
+    same = (["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderstatus"], "o_orderkey")
+    early = (F.col("o_orderkey") % 5 != 0) & ((F.col("o_custkey") % 2 == 0) | (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")))
+    old, new = orders.where(early), orders.where(~early)
+    return history.extend_intervals(cut(history.intervals(old, *same, with_end=True)), old, new, *same).drop("end")
+
+
 @query(_ORDERS + "SELECT CAST(count(*) AS BIGINT) AS n_intervals, CAST(count(*) FILTER (WHERE changes = 1) AS BIGINT) AS n_changed_rows, CAST(count(DISTINCT k) AS BIGINT) AS n_keys, CAST(count(DISTINCT k) FILTER (WHERE changes = 1) AS BIGINT) AS n_changed_keys FROM iv")
 def island_stats(spark, d):
     return history.interval_stats(_order_runs(spark, d), ["o_custkey"])
