@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import text as t
 from .graph import connected
+from .numbering import numbered
 from .substrings import edit_candidates
 
 
@@ -60,6 +61,13 @@ def extract_all(entries: DataFrame, min_freq: int = 2, settings: Settings = DEFA
     return out.withColumn("ord", F.struct("kind", (-F.col("freq")).alias("f"), "term")).drop("kind")
 
 
+def in_order(terms: DataFrame) -> DataFrame:
+    """The terms (term, freq, ...) with rank, from 1: by frequency, then by name; terms of several kinds by kind too. Only names and frequencies are sorted."""
+    by = [c for c in ("term", "ngram_type") if c in terms.columns]
+    nth = numbered(terms.select(*by, "freq"), [F.desc("freq"), *by], name="rank").select(*by, (F.col("rank") + 1).alias("rank"))
+    return terms.join(nth, by)
+
+
 def bucket_terms(terms: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Buckets of terms that are equal in lower case without white space at the ends: norm, normalized, variants, freq, keys, ngram_type, ord.
 

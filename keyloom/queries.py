@@ -18,6 +18,7 @@ from .operators.recall_index import RecallIndex
 from .operators.tables import cut, scratch_path
 from .plans.review_plan import run_filter, run_review
 from .sources import files, sinks
+from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -305,6 +306,12 @@ def ngram_unigrams(spark, d):
     return _doc_terms(spark, d, "unigrams", 2)
 
 
+@query(f"{_DOCS}, f AS (SELECT term, CAST(count(*) AS BIGINT) AS freq FROM (SELECT doc_id, unnest(list_filter(list_distinct(w), lambda x: x NOT IN {_STOPS})) AS term FROM d) GROUP BY 1 HAVING count(*) >= 2) SELECT CAST(row_number() OVER (ORDER BY freq DESC, term) AS BIGINT) AS rank, term, freq FROM f")
+def terms_in_order(spark, d):
+    """The terms of all documents by frequency, then by name, with their place."""
+    return terms.in_order(_doc_terms(spark, d, "unigrams", 2)).select("rank", "term", "freq")
+
+
 @query(_ranked_sql(3, _grams(2)))
 def ngram_bigrams(spark, d):
     return _doc_terms(spark, d, "bigrams", 3)
@@ -426,9 +433,13 @@ def zh_conflicts(spark, d):
     return glossary.conflicts(_names(spark, d))
 
 
-@query()
+_AGAIN = _MODE.replace(">= 0.6", ">= 0.05").replace("mode AS", "mode2 AS").replace("FROM hist)", "FROM hist2)")
+
+
+@query(f"""{_GLOSSARY}, pairs AS (SELECT s.norm, s.zh, l.norm AS long FROM glossary s JOIN glossary l ON s.zh = l.zh AND s.norm <> l.norm AND length(l.en) >= length(s.en) AND contains(lower(l.en), lower(s.en))), keyed AS (SELECT DISTINCT lower(term) AS norm, key FROM o),
+ rest AS (SELECT norm, key FROM keyed WHERE norm IN (SELECT norm FROM pairs) EXCEPT SELECT p.norm, k.key FROM pairs p JOIN keyed k ON k.norm = p.long), hist2 AS (SELECT norm, zh, CAST(count(*) AS BIGINT) AS cnt, min(pos) AS first FROM rest JOIN cand USING (norm, key) GROUP BY 1, 2), {_AGAIN},
+ rescued AS (SELECT m.norm, m.zh AS new_zh FROM mode2 m JOIN glossary g USING (norm) WHERE m.agreed AND m.zh <> g.zh) SELECT norm, en, coalesce(new_zh, zh) AS zh FROM glossary LEFT JOIN rescued USING (norm) WHERE norm NOT IN (SELECT norm FROM pairs) OR new_zh IS NOT NULL""")
 def conflict_rescue(spark, d):
-    """Tested against a plain model of the rescue; SQL would repeat the whole consensus."""
     b = _all_buckets(spark, d)
     return glossary.resolve_conflicts(glossary.build_glossary(b, a.parts(spark, d), _LOOSE), b, a.parts(spark, d), _LOOSE)
 
@@ -963,6 +974,20 @@ def lang_escapes(spark, d):
     return files.map_rows(a.table(spark, d, "part").select(text.alias("value")), "lang").select("key", "value")
 
 
+@query("""WITH best AS (SELECT user_id, event_type, arg_max(CASE WHEN event_id % 3 = 0 THEN 'PASS' ELSE 'KEEP' END, event_id) AS action, max(event_id) AS ord FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2)
+ SELECT CAST(user_id AS STRING) AS key, event_type, action, CAST(count(*) AS BIGINT) AS n, CAST(any_value(ord) AS STRING) AS reason FROM events JOIN best USING (user_id, event_type) GROUP BY ALL""")
+def filter_stream(spark, d):
+    """Events as a stream of verdicts and, a part of them, as a stream of decisions, met in a state store by the cache's key; what the stream answered."""
+    state.use_rocksdb(spark)
+    # a pattern, as a stream takes a folder or what a pattern finds, and the table may be one file
+    schema, at = a.table(spark, d, "events").schema, scratch_path(spark)
+    row = lambda: spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").selectExpr("event_id", "CAST(user_id AS STRING) AS key", "event_type AS verdict", "'' AS zh_current", "event_type AS reason")
+    made = verdicts.with_cache_keys(row().where("event_id % 4 = 0")).select("cache_key", F.when(F.col("event_id") % 3 == 0, "PASS").otherwise("KEEP").alias("action"), F.concat_ws(" ", F.col("event_id").cast("string"), "reason").alias("reason"), F.col("event_id").alias("ord"))
+    state.store(state.decided(row(), made), f"{at}/answers", f"{at}/checkpoint").awaitTermination()
+    said = F.split("reason", " ")
+    return spark.read.schema(state.DECIDED).parquet(f"{at}/answers").groupBy("key", said[1].alias("event_type"), "action", said[0].alias("reason")).agg(F.count("*").alias("n"))
+
+
 # ---- plans
 def _keyed_parts(spark, d):
     return a.parts(spark, d).select("key", "en", "zh", F.col("p_brand").alias("namespace"), "pos")

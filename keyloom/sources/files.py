@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 import time
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.text import strip, valid_term
 from ..operators.align import GUIDE_PATH
+from .change_pages import read_pages
 
 PAIRS = "array<struct<key: string, value: string, warning: string>>"
 
@@ -139,14 +139,12 @@ def read_changed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("filename string, status string").json(path, multiLine=True)
 
 
-def list_changed_files(spark: SparkSession, page: Callable[[int], list[dict]], size: int = 100) -> DataFrame:
-    """The same from a service: page(n) gives the n-th page, from 1; one with fewer than ``size`` files is the last. A change's files are few."""
-    rows: list[tuple] = []
-    for n in itertools.count(1):
-        found = page(n)
-        rows += [(x.get("filename"), x.get("status")) for x in found]
-        if len(found) < size:
-            return spark.createDataFrame(rows, "filename string, status string")
+def list_changed_files(spark: SparkSession, page: Callable[[int], list[dict]], size: int = 100, tasks: int = 1) -> DataFrame:
+    """The same from a service: page(n) gives the n-th page, from 1; one with fewer than ``size`` files is the last.
+
+    One task never asks beyond the last page; more of them do, once each.
+    """
+    return read_pages(spark, page, size, tasks)
 
 
 #: Columns of a table of known keys, each row being a text that stood through some versions; and of the plain one, a row for each version.

@@ -42,6 +42,12 @@ def save_summary(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).sortWithinPartitions("nth").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
+def save_terms(terms: DataFrame, path: str) -> None:
+    """Terms as JSON lines by frequency, then by name; of several files a later name has later terms."""
+    by = [F.desc("freq"), "term"]
+    terms.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").json(path)
+
+
 def save_changes(changes: DataFrame, path: str) -> None:
     """Changed entries as JSON lines in the order of their keys, a folder for each namespace."""
     changes.repartitionByRange("namespace", "key").sortWithinPartitions("namespace", "key").write.mode("overwrite").partitionBy("namespace").json(path)

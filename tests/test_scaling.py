@@ -34,6 +34,16 @@ def test_no_window_sees_the_rows(spark):
     assert "_n#" in window and "k#" not in window  # only the counts of ranges
 
 
+def test_terms_in_order_and_their_sink(spark, tmp_path):
+    from keyloom.sources import sinks
+
+    rows = spark.createDataFrame([("b", 3), ("a", 3), ("c", 9), ("d", 1)], "term string, freq long").repartition(3)
+    assert [(r.rank, r.term) for r in terms.in_order(rows).orderBy("rank").collect()] == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
+    sinks.save_terms(rows, str(tmp_path / "t"))
+    lines = [x for f in sorted((tmp_path / "t").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [x.split('"')[3] for x in lines] == ["c", "a", "b", "d"]
+
+
 # ---- recall
 def memory_of(spark, n, seed=3, common="all"):
     rnd = random.Random(seed)
