@@ -61,12 +61,21 @@ def under(keys: np.ndarray, asked: np.ndarray, length: np.ndarray) -> tuple[np.n
     return np.searchsorted(keys, asked & ~rest), np.searchsorted(keys, asked | rest, "right")
 
 
+def in_range(x: np.ndarray) -> np.ndarray:
+    """The rows, those whose squares would leave the range of doubles times a power of two, which changes no direction."""
+    most = np.abs(x).max(1, keepdims=True, initial=0)
+    odd = (most < 1e-140) | (most > 1e140)
+    return np.where(odd, np.ldexp(x, -np.frexp(most)[1]), x) if odd.any() else x
+
+
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosines of the rows of x and q, in doubles; the same for a pair in whatever company."""
+    x, q = in_range(x), in_range(q)
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
 
 
 def directions(x: np.ndarray) -> np.ndarray:
+    x = in_range(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 

@@ -115,3 +115,18 @@ def test_recall_of_clustered_vectors_away_from_the_origin_and_of_lone_queries(sp
         s[i] = -9
         hit += len(set(np.argsort(-s)[:5].tolist()) & {j for j, _ in got[i]})
     assert all(len(v) == 5 for v in got.values()) and hit >= 0.9 * 5 * len(range(0, len(x), 40))
+
+
+def test_tiny_and_huge_doubles_take_part(spark):
+    """Vectors whose squares are no doubles have the neighbours of their directions."""
+    rnd = np.random.default_rng(3)
+    x = rnd.standard_normal((120, 5))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, [1e-200, 1.0, 1e200, 5e-308] * 30, strict=True))]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 120, 10):
+        cos = unit @ unit[i]
+        cos[i] = -2
+        best = np.argsort(-cos)[:5]
+        assert [got[i, k + 1][0] for k in range(5)] == best.tolist()
+        assert np.allclose([got[i, k + 1][1] for k in range(5)], cos[best], atol=1e-7)

@@ -223,3 +223,16 @@ def test_distinct_features_of_a_text():
     f, o = tox.distinct(data, off)
     # two words, their pairs at 1 and 2 places (éa éa, éa b, éa b): five at most; the other text has one word
     assert o.tolist()[0] == 0 and o[1] == 5 and o[2] - o[1] == 1 and f[o[1]] in f[: o[1]]
+
+
+def test_texts_over_a_batch_are_read_whole(spark):
+    """A text of over 4 MB, of which the end matters."""
+    rows = [(1, "alpha beta " * 450_000 + "last gamma", "en"), (2, "alpha beta. last gamma " * 40, "en"), (3, "alphas " * 4, "en")]
+    docs = table(spark, rows)
+    found = {r.phrase: (r.a, r.n) for r in co.collocations(docs, least=41).collect()}
+    assert found["last gamma"] == (41, 900_002 + 160 + 4)
+    words = {r.word: (r.n, r.form) for r in va.spelling_groups(docs, cut_mod=0).collect()}
+    assert words == {"alpha": (450_040, None), "alphas": (4, "alpha"), "gamma": (41, None)}
+    weights = np.zeros(1 << tox.BITS, np.float32)
+    weights[tox.distinct(np.frombuffer(b"gamma", np.uint8), np.array([0, 5]))[0]] = 9.0
+    assert {r.doc_id: r.predicted for r in tox.score_rows(docs, weights, -5.0, ("doc_id",)).collect()} == {1: 1, 2: 1, 3: 0}
