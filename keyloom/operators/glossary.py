@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, FAIL, Settings
 from ..functions import text as t
 from .substrings import contained, containing
+from .tables import cut
 
 VARIANTS = "variants"
 
@@ -42,7 +43,7 @@ def common_substring(hist: DataFrame, ratio: float = DEFAULTS.min_consensus) ->
 
     A translation whose rarest piece isn't in so large a share meets no other.
     """
-    node = Window.partitionBy("norm")
+    node, hist = Window.partitionBy("norm"), cut(hist)  # read several times
     total = hist.groupBy("norm").agg(F.sum("cnt").alias("total"))
     rows = hist.where(F.length("zh") >= 2).join(total, "norm").select("norm", "zh", "first", "total", (F.col("total") * ratio).alias("need"))
     others = hist.select("norm", F.col("zh").alias("other"), F.col("cnt").alias("n"))
@@ -59,7 +60,7 @@ def build_glossary(buckets: DataFrame, entries: DataFrame, settings: Settings =
     else:
         enough = buckets.join(keys.groupBy("norm").count().where(F.col("count") >= settings.min_freq).select("norm"), "norm")
     enough = enough.where(t.valid_term(F.col("norm"), settings))
-    hist = histogram(candidate_translations(enough, entries, settings, keys))
+    hist = cut(histogram(candidate_translations(enough, entries, settings, keys)))
     mode = mode_translation(hist, settings)
     part = common_substring(hist, settings.min_consensus).withColumnRenamed("zh", "part")
     shortest = F.array_sort(VARIANTS, lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0))[0]
