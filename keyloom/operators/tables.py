@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where none is set and there is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file:///tmp/keyloom-engine-{spark.sparkContext.applicationId}"
     if spark.sparkContext.getCheckpointDir() is None:
