@@ -17,8 +17,22 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 
 
+def broadcast_by_true_size(spark: SparkSession) -> None:
+    """Only tables whose rows have been counted in a shuffle are broadcast, up to the session's threshold.
+
+    Before that the planner knows the sizes of compressed files alone, of which a few MB may be a driver's whole memory of rows.
+    """
+    static = "spark.sql.autoBroadcastJoinThreshold"
+    most = spark.conf.get(static)
+    if most != "-1" and spark.conf.get("spark.sql.adaptive.enabled") == "true":
+        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", most)
+        spark.conf.set(static, "-1")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The whole table, through Spark's reader, so any store that Spark knows will do."""
+    broadcast_by_true_size(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -60,6 +74,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        broadcast_by_true_size(spark)
         self.spark, self.root = spark, f"{shared_root(spark)}/keyloom/{uuid.uuid4().hex}"
 
     def __enter__(self) -> Scratch:
