@@ -11,7 +11,9 @@ puts shingles last that are common in a sample of the texts: that makes groups s
 
 First each text is compared with those in its balls and one neighbour at each of its shingles, in an order of the shingle's own; the
 most similar one before it and the most similar one after it are verified. That costs the rows of the prefixes, and makes a crowd one
-component, or nearly. Then all pairs that meet and aren't connected yet are compared. So a large group of
+component, or nearly. The copies of one text may be similar to it and not to one another; so then each text that still meets other components is compared
+with the text that has the most links, and with one neighbour in another order, at each of its shingles. Last all pairs that meet often enough and aren't connected yet are
+compared; a pair is made once, at the first shingle that both have. So a large group of
 copies costs its rows and not their square, and no pair that could join two components is left out. Pairs are verified: first by
 an upper bound of the similarity from a bitmap of parities, which loses none, then by the similarity of their sets of
 shingles. Texts and shingles that meet are told apart by 64 bits, the shingles of two texts that are compared by 32.
@@ -216,15 +218,23 @@ def in_balls(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return copies.unionByName(links)
 
 
-def neighbours(met: DataFrame) -> DataFrame:
-    """a, b: texts that are next to each other at a shingle. The order is another one at each, so a text has as many neighbours as shingles."""
-    w = Window.partitionBy("shingle").orderBy(F.xxhash64("same", "shingle"))
+def neighbours(met: DataFrame, *salt: Column) -> DataFrame:
+    """a, b: texts that are next to each other at a shingle. The order is another one at each (and for each salt), so a text has as many neighbours as shingles."""
+    w = Window.partitionBy("shingle").orderBy(F.xxhash64("same", "shingle", *salt))
     rows = met.select(F.col("same").alias("x"), F.lag("same").over(w).alias("y")).where("y is not null")
     return rows.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
+def with_hubs(mixed: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b: at each shingle, its texts with the one that has the most links, if that is in another component."""
+    n = links.select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("links"))
+    hub = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "same", "root")).over(Window.partitionBy("shingle"))
+    rows = mixed.join(n, "same", "left").select("same", "root", hub.alias("hub")).where("root <> hub.root and hub.links > 0")
+    return rows.select(F.greatest("same", "hub.same").alias("a"), F.least("same", "hub.same").alias("b"))
+
+
 def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """shingle, same, root, weight of the texts that meet at a shingle where there are several components.
+    """shingle, same, root, weight of the texts that meet at a shingle where there are several components. met: shingle, same, weight.
 
     Of shingles that the same texts have (those of a passage that they share, say) one stands for all; weight is how many they are.
     """
@@ -233,35 +243,58 @@ def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     # who is there: how many, the smallest, the largest, and all their hashes together
     who = {"n": F.count("*"), "least": F.min("same"), "most": F.max("same"), "all": F.bit_xor(F.xxhash64("same"))}
     rows = rows.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high"), *[x.over(w).alias(c) for c, x in who.items()]).where("low < high")
-    one = rows.where("same = least").groupBy(*who).agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight"))
+    one = rows.where("same = least").groupBy(*who).agg(F.min("shingle").alias("shingle"), F.sum("weight").alias("weight"))
     return rows.select("shingle", "same", "root").join(one.select("shingle", "weight"), "shingle")
 
 
 def others(mixed: DataFrame, distinct: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """a, b, rep_a, rep_b: all pairs that meet at enough shingles, may be similar and are in different components."""
-    mixed = scratch.table(mixed.join(distinct.select("same", "n", "bits", "rep"), "same"), "mixed")
-    more = ("shingle", "weight", "root", "n", "bits", "rep")
-    pairs = _side(mixed, "a", *more).join(_side(mixed, "b", *more), F.col("shingle_a") == F.col("shingle_b"))
+    """a, b: all pairs that meet at enough shingles, may be similar and are in different components.
+
+    Each row has all of its text's shingles, so that a pair is made at the first that both have, and only if they are enough. The
+    lowest three bits of a shingle in them are its weight, less one; more than DEEP of it says no more.
+    """
+    ids = mixed.withColumn("id", F.col("shingle").bitwiseAND(F.lit(-DEEP)) + F.least("weight", F.lit(DEEP)) - 1)
+    of = ids.groupBy("same").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    rows = scratch.table(ids.select("id", "same", "root").join(of, "same").join(distinct.select("same", "n", "bits"), "same"), "mixed")
+    more = ("id", "root", "n", "bits", "ids")
+    both = F.array_intersect("ids_a", "ids_b")
+    shared = F.aggregate(both, F.lit(0).cast("long"), lambda x, i: x + i.bitwiseAND(F.lit(DEEP - 1)) + 1)
+    enough = shared >= F.least(F.lit(DEEP), F.floor(F.least("n_a", "n_b") / STEP) + 1)
     different = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    # a pair has a row for each group of shingles that both prefixes have
-    shared = pairs.where(different & _near(least)).groupBy("a", "b").agg(F.sum("weight_a").alias("shared"), F.first(F.struct("n_a", "n_b", "rep_a", "rep_b")).alias("of"))
-    enough = F.col("shared") >= F.least(F.lit(DEEP), F.floor(F.least("of.n_a", "of.n_b") / STEP) + 1)
-    return shared.where(enough).select("a", "b", "of.rep_a", "of.rep_b")
+    pairs = _side(rows, "a", *more).join(_side(rows, "b", *more), (F.col("id_a") == F.col("id_b")) & different & _near(least) & (both[0] == F.col("id_a")) & enough)
+    return pairs.select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, key: str, text: str, s: Scratch) -> DataFrame:
-    """a, b: the pairs (a, b, rep_a, rep_b) whose sets of shingles are similar."""
-    pairs = s.table(pairs, "candidates")
-    # the sets of the texts in them, from the rows of one key (which may be null, or have other texts too)
-    keys = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep"))).distinct().hint("shuffle_hash")
+def sets_of(reps: DataFrame, docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """same, shingles of the texts of some keys (rep); a key may be null, or have other texts too."""
+    keys = reps.distinct().hint("shuffle_hash")
     rows = docs.join(keys, docs[key].eqNullSafe(keys["rep"]), "left_semi").select(F.col(text).alias("text"))
-    sets = s.table(shingle_sets(rows, "text", shingle).dropDuplicates(["same"]), "sets")
+    return shingle_sets(rows, "text", shingle).dropDuplicates(["same"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float, s: Scratch) -> DataFrame:
+    """a, b: the pairs (a, b) whose sets of shingles are similar."""
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     alike = pairs.select("a", "b").join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
-    links = s.table(alike.where(common >= least * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b"), "links")
-    for t in (pairs, sets):
-        s.drop(t)
-    return links
+    return s.table(alike.where(common >= least * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b"), "links")
+
+
+def all_links(met: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, least: float, key: str, text: str, s: Scratch) -> DataFrame:
+    """a, b: similar texts, as many as make each component one."""
+    pairs = s.table(closest(plausible(in_balls(distinct, s).unionByName(neighbours(met)).distinct(), distinct, least)), "candidates")
+    sets = s.table(sets_of(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")), docs, shingle, key, text), "sets")
+    links = verified(pairs, sets, least, s)
+    s.drop(sets)
+    mixed = s.table(apart(met.withColumn("weight", F.lit(1).cast("long")), components(links, s)), "apart")
+    few = s.table(distinct.join(mixed.select("same").distinct(), "same", "left_semi"), "few")
+    sets = s.table(sets_of(few.select("rep"), docs, shingle, key, text), "sets")
+    own = mixed.select("same", "root").distinct()
+    some = neighbours(mixed, F.lit("again")).unionByName(with_hubs(mixed, links)).distinct()
+    some = some.join(_side(own, "a", "root"), "a").join(_side(own, "b", "root"), "b").where("root_a <> root_b").select("a", "b")
+    links = links.unionByName(verified(closest(plausible(some, few, least)), sets, least, s))
+    mixed = s.table(apart(mixed.select("shingle", "same", "weight"), components(links, s)), "apart")
+    rest = s.table(plausible(others(mixed, few, least, s), few, least).select("a", "b"), "candidates")
+    return links.unionByName(verified(rest, sets, least, s))
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,10 +307,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, k
         met = meetings(wide, s)
         distinct = s.table(wide.select("same", "rep", "n", "fp", "bits", "more"), "distinct")
         s.drop(wide)
-        some = plausible(in_balls(distinct, s).unionByName(neighbours(met)).distinct(), distinct, least)
-        links = verified(closest(some), docs, shingle, least, key, text, s)
-        rest = others(apart(met, components(links, s)), distinct, least, s)
-        roots = components(links.unionByName(verified(rest, docs, shingle, least, key, text, s)), s)
+        roots = components(all_links(met, distinct, docs, shingle, least, key, text, s), s)
         lowest = roots.join(distinct.select("same", "rep"), roots["node"] == distinct["same"]).groupBy("root").agg(F.min("rep").alias("component_id"))
         linked = s.table(roots.join(lowest, "root").select(F.col("node").alias("same"), "component_id"), "linked")
         by_text = s.table(distinct.select("same", "rep").join(linked, "same", "left").select("same", F.coalesce("component_id", "rep").alias("component_id")), "by_text")

@@ -1,6 +1,8 @@
 import random
 
-from keyloom.llm.near_copies import near_copies
+import keyloom.llm.near_copies as near
+from keyloom.llm.common import Scratch
+from keyloom.llm.near_copies import near_copies, others
 
 
 def sets(t, k=5):
@@ -107,3 +109,38 @@ def test_long_texts_near_the_limit(as_docs):
     got = {r.doc_id: r.component_id for r in near_copies(as_docs(texts)).collect()}
     want = brute(texts)
     assert got == want and 9 < len(set(want.values())) < len(texts)
+
+
+def test_a_crowd_makes_a_pair_once_and_only_where_enough_is_shared(spark):
+    """Not a row for each shingle that a pair shares, nor one for pairs that share too few."""
+    crowd = [(s, x, x, 1) for x in range(30) for s in range(8, 168, 8)]
+    few = [(1000 + 8 * x, y, y, 1) for x in range(15) for y in (2 * x + 100, 2 * x + 101)]
+    mixed = spark.createDataFrame(crowd + few, "shingle long, same long, root long, weight long")
+    distinct = mixed.select("same").distinct().selectExpr("same", "40L AS n", "array_repeat(0L, 8) AS bits", "array(1L) AS more", "same AS rep")
+    before = {c: spark.conf.get(c, None) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Scratch(spark) as s:
+            found = others(mixed, distinct, 0.8, s)
+            assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a in range(30) for b in range(a)}
+            plans, made = [found._jdf.queryExecution().executedPlan()], []
+            while plans:
+                p = plans.pop()
+                made += [p.metrics().apply("numOutputRows").value()] if p.nodeName().endswith("Join") else []
+                plans += [p.children().apply(i) for i in range(p.children().size())]
+            assert made == [30 * 29 // 2]
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_the_sample_for_the_order_changes_no_result(as_docs, monkeypatch):
+    rnd = random.Random(8)
+    texts = cut_and_extended(rnd, 10, (60, 150))
+    want, got = brute(texts), []
+    for most, common in ((1, 0), (1, 200_000), (5_000, 200_000)):
+        monkeypatch.setattr(near, "SAMPLE", most)
+        monkeypatch.setattr(near, "COMMON", common)
+        got.append({r.doc_id: r.component_id for r in near.near_copies(as_docs(texts)).collect()})
+    assert got == [want] * 3
