@@ -5,9 +5,9 @@ probabilities one join and one window for each length of context (groups of at m
 text's n-grams are looked up in the shards. A text is rejected where its perplexity, smoothed for short texts, is
 over a quantile of those of trusted texts in its language that the model has not learned from.
 
-Trusted are labelled rows of quality 1 that aren't toxic. Half of them, by a hash of the ids, are held out; at most TRUSTED of the
-others (those with the smallest hashes of their ids) are learned from, so the set of ids that is sent to the tasks is bounded.
-All that weren't learned from set the limits: a language's limit is the median of its held-out rows and, over it, the distance from the median to the
+Trusted are labelled rows of quality 1 that aren't toxic. Half of them, by a hash of the ids, are held out; all others are learned from. Up to
+SENT ids of these are sent to the tasks; where there are more, texts and ids are joined by a shuffle.
+The rows that are held out set the limits: a language's limit is the median of its held-out rows and, over it, the distance from the median to the
 KEPT quantile, which counts as often as the language has held-out rows, beside that of all held-out rows, which counts SHRINK times. Quantiles
 are interpolated. So the rule is one at every size, and a language of few rows borrows the spread of all.
 
@@ -21,15 +21,14 @@ columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .ngrams import SYMBOLS, gram_answers, gram_counts, levels, make_blocks, score_blocks, with_shorter
 
-#: Bytes of context; most trusted rows; the quantile of their perplexities that is still kept.
-ORDER, TRUSTED, KEPT = 3, 200_000, 0.998
+#: Bytes of context; most ids that are sent to the tasks; the quantile of trusted rows' perplexities that is still kept.
+ORDER, SENT, KEPT = 3, 200_000, 0.998
 #: Share of trusted rows that is held out; rows' worth that the spread of all languages has in a language's limit.
 HELD, SHRINK = 0.5, 10
 #: Width of the histogram of log perplexities that quantiles are read from.
@@ -76,19 +75,9 @@ def trusted_rows(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.bool_and(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good")).where("good").select(key)
 
 
-def bounded(good: DataFrame, key: str, most: int) -> np.ndarray:
-    """Sorted ids of at most ``most`` rows."""
-    h = F.xxhash64(key)
-    n = good.count()
-    if n > most:  # near the smallest hashes first, then exactly them: no sort of all ids
-        good = good.where(h / F.lit(2.0**64) + 0.5 <= (most + 6 * most**0.5) / n)
-    ids = good.select(key).orderBy(h).limit(most).toArrow()[key]
-    return np.sort(ids.to_numpy())
-
-
-def trusted_ids(labels: DataFrame, key: str = "doc_id", most: int = TRUSTED) -> np.ndarray:
-    """Sorted ids of at most ``most`` trusted rows."""
-    return bounded(trusted_rows(labels, key), key, most)
+def trusted_ids(labels: DataFrame, key: str = "doc_id", most: int = SENT) -> np.ndarray:
+    """Sorted ids of trusted rows, at most ``most`` (those with the smallest hashes): to look at, the operator takes all."""
+    return np.sort(trusted_rows(labels, key).orderBy(F.xxhash64(key)).limit(most).toArrow()[key].to_numpy())
 
 
 def folds(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -97,10 +86,11 @@ def folds(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, (F.pmod(F.xxhash64(key, F.lit("held")), F.lit(1 << 20)) < HELD * (1 << 20)).alias("held"))
 
 
-def flagged(docs: DataFrame, ids: np.ndarray, key: str, name: str) -> DataFrame:
-    """docs with a column that says whether the key is among ids, of which there are at most TRUSTED: they are broadcast."""
-    few = docs.sparkSession.createDataFrame(pa.table({"_id": pa.array(ids, pa.int64())}), "_id long").withColumn(name, F.lit(True))
-    return docs.join(F.broadcast(few), F.col(key) == F.col("_id"), "left").drop("_id").withColumn(name, F.coalesce(name, F.lit(False)))
+def flagged(docs: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+    """docs with a column that says whether the key is among ids (a column of the same name, distinct). Up to SENT of them are broadcast, more are met in a shuffle."""
+    few = ids.limit(SENT + 1).count() <= SENT
+    ids = ids.select(F.col(key).alias("_id"), F.lit(True).alias(name)).hint("broadcast" if few else "shuffle_hash")
+    return docs.join(ids, F.col(key) == F.col("_id"), "left").drop("_id").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def perplexities(docs: DataFrame, train: str, scratch: Scratch, order: int = ORDER, keys: tuple[str, ...] = ("doc_id", "lang"), text: str = "text") -> DataFrame:
@@ -159,10 +149,10 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int =
     smoothed: the perplexity if PRIOR more bytes had the median of the language; it is what is compared.
     """
     fold = scratch.table(folds(docs.select("doc_id"), labels), "folds")
-    learned = bounded(fold.where("not held"), "doc_id", TRUSTED)
-    if not len(learned):  # a few rows that are all held out
-        learned = bounded(fold, "doc_id", TRUSTED)
-    scored = perplexities(flagged(docs.select("doc_id", "lang", "text"), learned, "doc_id", "train"), "train", scratch, order)
+    learned = fold.where("not held")
+    if learned.isEmpty():  # a few rows that are all held out
+        learned = fold
+    scored = perplexities(flagged(docs.select("doc_id", "lang", "text"), learned.select("doc_id"), "doc_id", "train"), "train", scratch, order)
     known = fold.select(F.col("doc_id").alias("known"), "held").hint("shuffle_hash")
     alone = F.col("held") if not fold.where("held").isEmpty() else F.lit(True)
     scored = scored.join(known, F.col("doc_id") == F.col("known"), "left").withColumn("held", F.col("known").isNotNull() & (alone | ~F.col("trusted"))).drop("known")

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import kneser_ney
 from keyloom.llm.common import Scratch
@@ -115,3 +116,18 @@ def test_a_rare_language_keeps_its_clean_texts(spark, trusted):
     kept = {r.doc_id: r.keep for r in quality(docs, labels).collect()}
     assert sum(kept[i] for i in range(400 + trusted, len(texts))) >= 90
     assert sum(kept[i] for i in range(400)) >= 396
+
+
+def test_all_trusted_rows_that_are_not_held_out_are_learned_from(spark, monkeypatch):
+    """However many there are: with more ids than are sent to the tasks, the result is the same."""
+    rnd = np.random.default_rng(5)
+    texts = [" ".join("".join(rnd.choice(list("abcdefgh"), 4)) for _ in range(20)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("aa"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    rows, learned, flagged = [], [], kneser_ney.flagged
+    monkeypatch.setattr(kneser_ney, "flagged", lambda d, ids, *a: learned.append(ids.count()) or flagged(d, ids, *a))
+    for most in (200_000, 3):
+        monkeypatch.setattr(kneser_ney, "SENT", most)
+        rows.append({r.doc_id: (round(r.perplexity, 6), round(r.threshold, 6), r.keep) for r in quality(docs, labels).collect()})
+    held = {r.doc_id for r in kneser_ney.folds(docs, labels).where("held").collect()}
+    assert rows[0] == rows[1] and learned == [50 - len(held)] * 2 and len(held) < 47
