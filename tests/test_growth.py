@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.operators import terms
 
@@ -29,3 +30,10 @@ def test_ngrams_are_found_once(spark, kind, n, min_freq):
     got = terms.extract_terms(df, kind, min_freq)
     assert {r.term: (r.freq, r["keys"]) for r in got.collect()} == {g: (len(at), [k for _, k in sorted(at)[:5]]) for g, at in want.items() if len(at) >= min_freq}
     assert plan_of(got).count("Generate explode") == 1
+
+
+def test_terms_are_put_in_order_from_a_table(spark):
+    rows = spark.createDataFrame([("a", "x y x"), ("b", "xx yy xx"), ("c", "xx zz")], "key string, value string").withColumn("pos", F.lit(1).cast("long"))
+    got = terms.in_order(terms.extract_terms(rows, "unigrams", 1))
+    assert [(r.rank, r.term, r.freq, r["keys"]) for r in got.orderBy("rank").collect()] == [(1, "xx", 2, ["b", "c"]), (2, "yy", 1, ["b"]), (3, "zz", 1, ["c"])]
+    assert "Generate explode" not in plan_of(got)
