@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import terms
+from keyloom.operators import answers, terms
+from keyloom.operators.tables import scratch_path
 
 
 def plan_of(df) -> str:
@@ -37,3 +38,32 @@ def test_terms_are_put_in_order_from_a_table(spark):
     got = terms.in_order(terms.extract_terms(rows, "unigrams", 1))
     assert [(r.rank, r.term, r.freq, r["keys"]) for r in got.orderBy("rank").collect()] == [(1, "xx", 2, ["b", "c"]), (2, "yy", 1, ["b"]), (3, "zz", 1, ["c"])]
     assert "Generate explode" not in plan_of(got)
+
+
+# ---- answers
+def test_rounds_read_the_prompts_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(answers, "EACH", 5)
+    seen, asked = tmp_path / "seen", tmp_path / "asked"
+
+    @F.udf("string")
+    def prompt(i):
+        with seen.open("a") as f:
+            f.write(f"{i}\n")
+        return f"p{i}"
+
+    def call(p):
+        with asked.open("a") as f:
+            f.write(f"{p}\n")
+        if p == "p7":
+            raise ValueError("no")
+        return p.upper()
+
+    log = answers.AnswerLog(spark, scratch_path(spark))
+    got = log.ask(spark.range(23).select(prompt("id").alias("prompt")), call)
+    lines = lambda f: f.read_text().split()
+    # each prompt is made once to be tested for null and once to be kept, whatever the number of rounds
+    assert len(lines(seen)) <= 2 * 23 and sorted(lines(asked)) == sorted(f"p{i}" for i in range(23))
+    assert sorted((r.answer or "", r.error) for r in got.collect()) == sorted([("", "no"), *((f"P{i}", None) for i in range(23) if i != 7)])
+    asked.unlink()
+    log.ask(spark.range(3, 25).select(prompt("id").alias("prompt")), call)
+    assert sorted(lines(asked)) == ["p23", "p24", "p7"]
