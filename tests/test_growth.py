@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import answers, terms
+from keyloom.operators import answers, glossary, routing, tables, terms
 from keyloom.operators.tables import scratch_path
 
 
@@ -67,3 +67,18 @@ def test_rounds_read_the_prompts_once(spark, tmp_path, monkeypatch):
     asked.unlink()
     log.ask(spark.range(3, 25).select(prompt("id").alias("prompt")), call)
     assert sorted(lines(asked)) == ["p23", "p24", "p7"]
+
+
+# ---- hits of a glossary
+def test_hits_are_dealt_over_as_many_tasks_as_entries_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 10)
+    rows = [(f"k{i:03}", ["Iron sword", "a red Sword", "none", "swords"][i % 4], "铁") for i in range(200)]
+    entries = spark.createDataFrame(rows, "key string, en string, zh string")
+    words = spark.createDataFrame([("sword", ["sword", "iron sword"], "剑"), ("iron", ["iron"], "铁")], "term string, variants array<string>, std_zh string")
+    hits = glossary.term_hits(entries, words)
+    whole = {0: {"sword", "iron"}, 1: {"sword"}}
+    assert sorted((r.key, r.term) for r in hits.collect()) == sorted((k, w) for i, (k, _, _) in enumerate(rows) for w in whole.get(i % 4, ()))
+    assert plan_of(hits).count("RepartitionByExpression [key") == 2 and "], 21" in plan_of(hits)
+    hints = routing.glossary_hints(entries.select("key", "en"), words.select(F.col("term").alias("en"), F.col("std_zh").alias("zh")))
+    assert {r.key: r.hints for r in hints.collect()} == {k: ['"iron" → "铁", "sword" → "剑"', '"sword" → "剑"', None, '"sword" → "剑"'][i % 4] for i, (k, _, _) in enumerate(rows) if i % 4 != 2}
+    assert "RepartitionByExpression [key" in plan_of(hints) and "], 21" in plan_of(hints)
