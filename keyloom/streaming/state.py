@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -22,8 +21,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _text = lambda *names: StructType([StructField(n, StringType()) for n in names])
 DECIDED = _text("cache_key", "key", "action", "reason")
 MOVED = _text("variant", "canonical", "was")
-#: Rows handed out at once.
-_ROWS = 4096
+_DECIDED, _MOVED = Row(*DECIDED.fieldNames()), Row(*MOVED.fieldNames())
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -31,54 +29,42 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _frames(rows: Iterator[tuple], schema: StructType) -> Iterator[pd.DataFrame]:
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == _ROWS:
-            yield pd.DataFrame(held, columns=schema.fieldNames())
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=schema.fieldNames())
-
-
 class FilterDecisions(StatefulProcessor):
     """For each cache key the decision with the largest ``ord``, and the keys of verdicts that wait for one.
 
-    A verdict whose decision is known is answered at once, others when it comes; a later decision holds for later verdicts.
+    A verdict whose decision is known is answered at once, others when it comes; a later decision holds for later verdicts. Of decisions
+    with the same ``ord`` in a batch the last by action and reason counts, no reason being the last.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.decision = handle.getValueState("decision", StructType([StructField("ord", LongType()), *_text("action", "reason").fields]))
         self.waiting = handle.getListState("waiting", _text("key"))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         asked: list[str] = []
-        best = self.decision.get() if self.decision.exists() else None
-        was = best
-        for part in rows:
-            made = part[part["action"].notna()]
-            if len(made):
-                top = made.sort_values(["ord", "action", "reason"]).iloc[-1]
-                if best is None or int(top["ord"]) >= best[0]:
-                    best = (int(top["ord"]), top["action"], top["reason"] or "")
-            asked += part.loc[part["action"].isna(), "key"].tolist()
+        top = None
+        for _, asks, action, reason, ord_ in rows:
+            if action is None:
+                asked.append(asks)
+            elif top is None or (ord_, action, reason is None, reason or "") > top:
+                top = ord_, action, reason is None, reason or ""
+        was = self.decision.get()
+        best = was if top is None or (was is not None and top[0] < was[0]) else (top[0], top[1], top[3])
         if best is None:
             self.waiting.appendList([(k,) for k in asked])
             return
         if best != was:
             self.decision.update(best)
-
-        def answered() -> Iterator[tuple]:
-            if was is None:
-                for (k,) in self.waiting.get():
-                    yield key[0], k, best[1], best[2]
-            for k in asked:
-                yield key[0], k, best[1], best[2]
-
-        yield from _frames(answered(), DECIDED)
+        answer = lambda k: _DECIDED(key[0], k, best[1], best[2])
         if was is None:
-            self.waiting.clear()
+            n = 0
+            for (k,) in self.waiting.get():
+                n += 1
+                yield answer(k)
+            if n:
+                self.waiting.clear()
+        for k in asked:
+            yield answer(k)
 
     def close(self) -> None:
         pass
@@ -90,17 +76,15 @@ class LearnedMerges(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.canonical = handle.getValueState("canonical", StructType([StructField("ord", LongType()), StructField("canonical", StringType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        was = self.canonical.get() if self.canonical.exists() else None
-        best = was
-        for part in rows:
-            for ord_, to in zip(part["ord"].tolist(), part["canonical"].tolist(), strict=True):
-                if best is None or ord_ > best[0] or (ord_ == best[0] and to < best[1]):
-                    best = (int(ord_), to)
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        was = best = self.canonical.get()
+        for _, to, ord_ in rows:
+            if best is None or ord_ > best[0] or (ord_ == best[0] and to < best[1]):
+                best = ord_, to
         if best != was:
             self.canonical.update(best)
             if was is None or was[1] != best[1]:
-                yield pd.DataFrame([(key[0], best[1], None if was is None else was[1])], columns=MOVED.fieldNames())
+                yield _MOVED(key[0], best[1], None if was is None else was[1])
 
     def close(self) -> None:
         pass
@@ -114,7 +98,7 @@ def decided(verdicts: DataFrame, decisions: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     asked = verdicts.select(cache_key(F.col("key"), F.col("verdict"), F.col("zh_current"), F.col("reason")).alias("cache_key"), "key", none("string").alias("action"), none("string").alias("reason"), none("long").alias("ord"))
     made = decisions.select("cache_key", none("string").alias("key"), "action", "reason", F.col("ord").cast("long").alias("ord"))
-    return asked.unionByName(made).groupBy("cache_key").transformWithStateInPandas(FilterDecisions(), DECIDED, "Append", "None")
+    return asked.unionByName(made).groupBy("cache_key").transformWithState(FilterDecisions(), DECIDED, "Append", "None")
 
 
 def merged_terms(merges: DataFrame) -> DataFrame:
@@ -123,7 +107,7 @@ def merged_terms(merges: DataFrame) -> DataFrame:
     merges: a stream of norm, target, ord; a target is a variant of itself.
     """
     rows = merges.select(F.explode(F.array("norm", "target")).alias("v"), F.col("target").alias("canonical"), F.col("ord").cast("long").alias("ord"))
-    return rows.select(strip(F.lower("v")).alias("variant"), "canonical", "ord").groupBy("variant").transformWithStateInPandas(LearnedMerges(), MOVED, "Append", "None")
+    return rows.select(strip(F.lower("v")).alias("variant"), "canonical", "ord").groupBy("variant").transformWithState(LearnedMerges(), MOVED, "Append", "None")
 
 
 def store(stream: DataFrame, path: str, checkpoint: str):

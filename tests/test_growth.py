@@ -82,3 +82,60 @@ def test_hits_are_dealt_over_as_many_tasks_as_entries_ask_for(spark, monkeypatch
     hints = routing.glossary_hints(entries.select("key", "en"), words.select(F.col("term").alias("en"), F.col("std_zh").alias("zh")))
     assert {r.key: r.hints for r in hints.collect()} == {k: ['"iron" → "铁", "sword" → "剑"', '"sword" → "剑"', None, '"sword" → "剑"'][i % 4] for i, (k, _, _) in enumerate(rows) if i % 4 != 2}
     assert "RepartitionByExpression [key" in plan_of(hints) and "], 21" in plan_of(hints)
+
+
+# ---- filter decisions
+class Store:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.list = [], None, []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        # the value is asked for first, and then what waits
+        self.calls.append("get")
+        return self.value if self.calls.count("get") == 1 else iter(self.list)
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def appendList(self, rows):  # noqa: N802
+        self.calls.append("append")
+        self.list += rows
+
+    def clear(self):
+        self.calls.append("clear")
+        self.list = []
+
+
+def test_a_key_costs_few_calls_of_the_store_and_no_frames():
+    from pyspark.sql import Row
+
+    from keyloom.streaming.state import FilterDecisions
+
+    store, decisions = Store(), FilterDecisions()
+    decisions.init(store)
+
+    def given(*rows):
+        store.calls = []
+        found = list(decisions.handleInputRows(("c",), iter([Row(cache_key="c", key=k, action=action, reason=why, ord=o) for k, action, why, o in rows]), None))
+        return [tuple(r) for r in found], store.calls
+
+    asked = lambda k: (k, None, None, None)
+    made = lambda action, why, o: (None, action, why, o)
+    assert given(asked("a"), asked("b")) == ([], ["get", "append"])
+    # of one batch the decision with the largest ord counts, wherever it stands; of several with it the last, no reason being the last
+    got, calls = given(made("KEEP", "x", 2), asked("d"), made("PASS", "z", 3), made("PASS", None, 3), made("KEEP", "y", 1))
+    assert got == [("c", k, "PASS", "") for k in "abd"] and calls == ["get", "update", "get", "clear"]
+    assert given(asked("e"), made("KEEP", "x", 2)) == ([("c", "e", "PASS", "")], ["get"])
+    assert given(asked("f"), made("KEEP", "x", 3)) == ([("c", "f", "KEEP", "x")], ["get", "update"])
