@@ -139,3 +139,40 @@ def test_a_key_costs_few_calls_of_the_store_and_no_frames():
     assert got == [("c", k, "PASS", "") for k in "abd"] and calls == ["get", "update", "get", "clear"]
     assert given(asked("e"), made("KEEP", "x", 2)) == ([("c", "e", "PASS", "")], ["get"])
     assert given(asked("f"), made("KEEP", "x", 3)) == ([("c", "f", "KEEP", "x")], ["get", "update"])
+
+
+# ---- verdicts that several steps read
+def counted(path):
+    """A column function that notes each value that is computed, and a function that tells how many were."""
+
+    @F.udf("string")
+    def noted(x):
+        with path.open("a") as f:
+            f.write("x\n")
+        return x
+
+    return noted, lambda: len(path.read_text().split()) if path.exists() else 0
+
+
+def test_the_filter_computes_its_verdicts_once(spark, tmp_path):
+    from keyloom.plans.review_plan import run_filter
+
+    noted, n = counted(tmp_path / "n")
+    rows = [(f"k{i}", "e", "z", "FAIL" if i % 2 else "SUGGEST", "", f"r{i}", "format_check") for i in range(40)]
+    merged = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("key", "en_current", "zh_current", "verdict", "suggestion", "reason", "source"))).withColumn("reason", noted("reason"))
+    cache = spark.createDataFrame([], "cache_key string, action string, reason string")
+    out, after = run_filter(merged, cache, lambda p: '[{"key": "k3", "verdict": "PASS", "reason": ""}, {"key": "k4", "verdict": "KEEP", "reason": "why"}]')
+    want = {r[0]: (r[3], r[5]) for r in rows} | {"k3": ("PASS", ""), "k4": ("SUGGEST", "why")}
+    assert {r.key: (r.verdict, r.reason) for r in out.collect()} == want and after.count() == 40
+    assert n() == 40
+
+
+def test_prompts_are_made_once(spark, tmp_path):
+    noted, n = counted(tmp_path / "n")
+    log = answers.AnswerLog(spark, scratch_path(spark))
+    # a prompt that is never null is made for its row alone
+    prompts = spark.range(12).select(F.concat(F.lit("p"), noted(F.col("id").cast("string"))).alias("prompt"))
+    got = log.ask(prompts, lambda p: p.upper())
+    first = n()
+    assert sorted(r.answer for r in got.collect()) == sorted(f"P{i}" for i in range(12)) and got.count() == 12
+    assert n() == first
