@@ -176,3 +176,12 @@ def test_prompts_are_made_once(spark, tmp_path):
     first = n()
     assert sorted(r.answer for r in got.collect()) == sorted(f"P{i}" for i in range(12)) and got.count() == 12
     assert n() == first
+
+
+@pytest.mark.parametrize("name", ["verdict_keep_all"])
+def test_rules_run_once_for_all_that_a_query_reads(spark, name):
+    from keyloom.queries import QUERIES
+
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    # the verdicts are read from a table, however often
+    assert "posexplode" not in plan_of(got) and got.count() > 0
