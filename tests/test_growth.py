@@ -178,7 +178,7 @@ def test_prompts_are_made_once(spark, tmp_path):
     assert n() == first
 
 
-@pytest.mark.parametrize("name", ["verdict_keep_all"])
+@pytest.mark.parametrize("name", ["verdict_keep_all", "untranslated_split"])
 def test_rules_run_once_for_all_that_a_query_reads(spark, name):
     from keyloom.queries import QUERIES
 
