@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import by_key, cut, tasks_for
 
-def intervals(versions: DataFrame, keys: list[str], order: list[Column], values: list[str], version: str, with_end: bool = False) -> DataFrame:
+#: Most versions of a task, which sorts them for its windows and joins; of a key all are in one.
+EACH = 200_000
+
+
+def intervals(versions: DataFrame, keys: list[str], order: list[Column], values: list[str], version: str, with_end: bool = False, tasks: int | None = None) -> DataFrame:
     """keys, values, version_start, version_end, changes (1 if the key's values ever change), nth; with_end: end, where the run's last row stands in the order.
 
-    A run is a longest sequence of rows, in order, with the same values. One sort by key serves all windows.
+    A run is a longest sequence of rows, in order, with the same values. One sort by key serves all windows. Rows are dealt by key over
+    as many tasks as leave each EACH rows, whatever the session would take; tasks: how many, where that is known.
     """
+    versions = by_key(versions, keys, tasks or tasks_for(versions, rows=EACH))
     w = Window.partitionBy(*keys).orderBy(*order)
     first = F.row_number().over(w) == 1
     same = F.lit(True)
@@ -33,26 +40,31 @@ def extend_intervals(runs: DataFrame, versions: DataFrame, new: DataFrame, keys:
     """
     columns = [*keys, *values, "version_start", "version_end", "changes", "nth", "end"]
     at = F.struct(*order)
-    new = new.select(*keys, *values, F.col(version).alias("_version"), at.alias("_at"))
-    touched = new.groupBy(*keys).agg(F.min("_at").alias("_first"))
-    nth = Window.partitionBy(*keys)
-    mine = runs.join(touched, keys).withColumn("_last", F.max("nth").over(nth) == F.col("nth"))
-    last = mine.where("_last").withColumn("_late", F.col("_first") <= F.col("end"))
-    late = last.where("_late").select(*keys)
+    # what several steps read is a table, and each step one of its own: so a task sorts for one step, over as many tasks as rows ask for
+    new = cut(new.select(*keys, *values, F.col(version).alias("_version"), at.alias("_at")))
+    tasks = tasks_for(versions, new, rows=EACH)
+    dealt = lambda df: by_key(df, keys, tasks)
+    touched = dealt(new.select(*keys, "_at")).groupBy(*keys).agg(F.min("_at").alias("_first"))
+    key = Window.partitionBy(*keys)
+    runs = dealt(runs.select(columns)).join(touched, keys, "left").withColumn("_last", F.max("nth").over(key) == F.col("nth"))
+    runs = cut(runs.withColumn("_late", F.coalesce(F.max(F.col("_last") & (F.col("_first") <= F.col("end"))).over(key), F.lit(False))))
+    last = runs.where("_last and _first is not null")
+    late, known = last.where("_late").select(*keys), last.where("not _late")
     # the last run stands before the new rows as one row of its values
-    before = last.where("not _late").select(*keys, *values, F.col("version_end").alias("_version"), F.col("end").alias("_at"))
-    after = intervals(before.unionByName(new.join(late, keys, "left_anti")), keys, [F.col("_at")], values, "_version", True).withColumn("end", F.col("end._at"))
-    known = last.where("not _late").select(*keys, F.col("nth").alias("_nth"), F.col("version_start").alias("_start"))
-    after = after.join(known, keys, "left").withColumns({
+    before = known.select(*keys, *values, F.col("version_end").alias("_version"), F.col("end").alias("_at"))
+    met = lambda df, how: dealt(df).join(dealt(late), keys, how)
+    of = lambda rows: cut(intervals(rows, keys, [F.col("_at")], values, "_version", True, tasks).withColumn("end", F.col("end._at")))
+    after = of(before.unionByName(met(new, "left_anti")))
+    after = dealt(after).join(dealt(known.select(*keys, F.col("nth").alias("_nth"), F.col("version_start").alias("_start"))), keys, "left").withColumns({
         "version_start": F.when((F.col("nth") == 1) & F.col("_nth").isNotNull(), F.col("_start")).otherwise(F.col("version_start")),
         "changes": F.when(F.col("_nth") > 1, 1).otherwise(F.col("changes")),
         "nth": F.col("nth") + F.coalesce("_nth", F.lit(1)) - 1,
     })
-    old = versions.join(late, keys, "left_semi").select(*keys, *values, F.col(version).alias("_version"), at.alias("_at"))
-    again = intervals(old.unionByName(new.join(late, keys, "left_semi")), keys, [F.col("_at")], values, "_version", True).withColumn("end", F.col("end._at"))
-    kept = runs.join(touched.select(*keys), keys, "left_anti").select(columns)
-    earlier = mine.where("not _last").join(late, keys, "left_anti").select(columns)
-    return kept.unionByName(earlier).unionByName(after.select(columns)).unionByName(again.select(columns))
+    old = versions.select(*keys, *values, F.col(version).alias("_version"), at.alias("_at"))
+    again = of(met(old, "left_semi").unionByName(met(new, "left_semi")))
+    # runs of other keys, and those before the last of keys without late rows
+    kept = runs.where("_first is null or not (_last or _late)")
+    return kept.select(columns).unionByName(after.select(columns)).unionByName(again.select(columns))
 
 
 def interval_stats(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -185,3 +185,25 @@ def test_rules_run_once_for_all_that_a_query_reads(spark, name):
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
     # the verdicts are read from a table, however often
     assert "posexplode" not in plan_of(got) and got.count() > 0
+
+
+# ---- intervals
+def test_intervals_are_dealt_over_as_many_tasks_as_versions_ask_for(spark, monkeypatch):
+    from keyloom.operators import history
+
+    monkeypatch.setattr(history, "EACH", 10)
+    rnd = random.Random(7)
+    rows = [(f"k{rnd.randrange(40)}", i, rnd.choice("ab"), f"v{i}") for i in range(300)]
+    table = lambda x: spark.createDataFrame(x, "key string, day int, en string, version string")
+    how = (["key"], [F.col("day")], ["en"], "version")
+    want = history.intervals(table(rows), *how, with_end=True)
+    assert "RepartitionByExpression [key" in plan_of(want) and "], 31" in plan_of(want)
+    assert want.rdd.getNumPartitions() == 31
+    # keys that are only old, only new, in order, and with late rows
+    old = [r for r in rows if (r[1] < 200 and r[1] % 9 and r[0] != "k1") or r[0] in ("k2", "k3")]
+    new = [r for r in rows if r not in old and r[0] not in ("k2", "k3")]
+    got = history.extend_intervals(history.intervals(table(old), *how, with_end=True), table(old), table(new), *how)
+    plain = lambda df: sorted((r.key, r.en, r.version_start, r.version_end, r.changes, r.nth, r.end.day) for r in df.collect())
+    assert plain(got) == plain(want) and plain(want)
+    # what is put together are tables; no task sorts for several steps at once
+    assert "Window" not in plan_of(got)
