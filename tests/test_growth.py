@@ -69,6 +69,54 @@ def test_rounds_read_the_prompts_once(spark, tmp_path, monkeypatch):
     assert sorted(lines(asked)) == ["p23", "p24", "p7"]
 
 
+def per_task(log):
+    """How many prompts each task of a log's rounds had."""
+    return sorted(r["count"] for r in log.rows().groupBy(F.input_file_name()).count().collect())
+
+
+def test_a_quick_reviewer_has_few_tasks(spark):
+    log = answers.AnswerLog(spark, scratch_path(spark))
+    got = log.ask(spark.range(3000).select(F.concat(F.lit("p"), "id").alias("prompt")), lambda p: p.upper())
+    assert sorted(r.answer for r in got.collect()) == sorted(f"P{i}" for i in range(3000))
+    # a round of a short task for each core, and the rest in tasks of about MOST
+    assert sum(per_task(log)) == 3000 and len(per_task(log)) <= spark.sparkContext.defaultParallelism * 2 + 4
+
+
+def test_a_slow_reviewers_tasks_stay_short(spark, monkeypatch):
+    monkeypatch.setattr(answers, "SECONDS", 1)
+
+    def call(p):
+        import time
+
+        time.sleep(0.2)
+        return p.upper()
+
+    log = answers.AnswerLog(spark, scratch_path(spark))
+    got = log.ask(spark.range(300).select(F.concat(F.lit("p"), "id").alias("prompt")), call)
+    assert sorted(r.answer for r in got.collect()) == sorted(f"P{i}" for i in range(300))
+    # 4 at once of 0.2 seconds are 20 a second, so that no task has more than the shortest ones, as they are dealt by chance
+    assert sum(per_task(log)) == 300 and per_task(log)[-1] <= 2 * 32 and len(per_task(log)) >= 300 // 32
+
+
+def test_each_bucket_is_asked_once_in_many_rounds(spark, tmp_path, monkeypatch):
+    for name, value in (("EACH", 5), ("MOST", 5), ("PER_WORKER", 1)):
+        monkeypatch.setattr(answers, name, value)
+    asked = tmp_path / "asked"
+
+    def call(p):
+        with asked.open("a") as f:
+            f.write(f"{p}\n")
+        if p == "p7":
+            raise ValueError("no")
+        return p.upper()
+
+    log = answers.AnswerLog(spark, scratch_path(spark))
+    got = log.ask(spark.range(60).select(F.concat(F.lit("p"), "id").alias("prompt")), call, parallel=1)
+    assert sorted(asked.read_text().split()) == sorted(f"p{i}" for i in range(60))
+    assert {r.answer for r in got.collect()} == {None, *(f"P{i}" for i in range(60) if i != 7)} and got.where("error = 'no'").count() == 1
+    assert spark.read.parquet(log.path).select("part").distinct().count() >= 8
+
+
 # ---- hits of a glossary
 def test_hits_are_dealt_over_as_many_tasks_as_entries_ask_for(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS", 10)
